@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, secrets
+from . import bpe, langid, secrets, sharding
 from .common import table
 
 #: Vocabulary files of public tokenizers; operators take the path as a parameter.
@@ -17,10 +17,20 @@ def op4_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), BYTE_BPE, digests=True).withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
 
 
+def op6_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of near-equal bytes."""
+    return sharding.shard(table(spark, sf_dir, "documents"), 8)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text."""
+    return langid.identify(table(spark, sf_dir, "documents"), PIECES)
+
+
 def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every whole text, with the spread of each over sources."""
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op4_bpe_transducer, op9_secret_ownership)}
+QUERIES = {f.__name__: f for f in (op4_bpe_transducer, op6_minimax_shards, op7_language_id, op9_secret_ownership)}
 ORACLES: dict[str, str] = {}
