@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, langid, secrets, sharding
+from . import bpe, langid, linededup, mixing, secrets, sharding
 from .common import table
 
 #: Vocabulary files of public tokenizers; operators take the path as a parameter.
@@ -12,11 +12,32 @@ BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+#: Target weights by path of domain, language and source; what isn't named weighs 1.
+WEIGHTS = {(f"domain{d}", lang): w for d in range(4) for lang, w in (("en", 4), ("de", 2), ("fr", 2), ("es", 2))}
+
+
+def levels() -> dict:
+    """The tree of op1 and of the pipeline, from the root on."""
+    return {"domain": mixing.domain_of(F.col("source")), "lang": F.col("lang"), "source": F.col("source")}
+
+
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of all tokens, dealt to domains, languages and sources by weight, in at most two epochs."""
+    found = mixing.mix(table(spark, sf_dir, "documents"), levels(), WEIGHTS)
+    return found.select("doc_id", F.array_join("_path", "/").alias("leaf"), F.col("_tokens").alias("n_tokens"), F.col("_copies").alias("n_copies"), F.col("_budget").alias("leaf_budget"))
+
+
 def op4_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text, encoded and decoded again."""
     return bpe.encode(table(spark, sf_dir, "documents"), BYTE_BPE, digests=True).withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
 
 
+def op5_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the blocks of lines that an earlier document has."""
+    found = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", F.col("_lines").alias("n_lines"), F.col("_deleted").alias("n_deleted"))
+
+
 def op6_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of near-equal bytes."""
     return sharding.shard(table(spark, sf_dir, "documents"), 8)
@@ -32,5 +53,5 @@ def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op4_bpe_transducer, op6_minimax_shards, op7_language_id, op9_secret_ownership)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op4_bpe_transducer, op5_line_alignment, op6_minimax_shards, op7_language_id, op9_secret_ownership)}
 ORACLES: dict[str, str] = {}
