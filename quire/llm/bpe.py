@@ -342,7 +342,9 @@ def compile_lexicon(docs: DataFrame, vocab_path: str, text_col: str = "text", si
     with open(path, "rb") as f:
         name = f"lexicon-{base64.b32encode(hashlib.sha256(f.read()).digest()[:10]).decode().lower()}"
     os.rename(path, path := os.path.join(folder, name))
-    docs.sparkSession.sparkContext.addFile(path)
+    context = docs.sparkSession.sparkContext
+    if name not in {f.rsplit("/", 1)[-1] for f in context.listFiles}:  # the name tells the content
+        context.addFile(path)
     return name
 
 
