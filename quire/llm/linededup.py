@@ -36,8 +36,21 @@ def _longest_rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _numbered(lines: Sequence[int]) -> list[tuple[int, int]]:
+    """Each line with the number of its occurrence."""
+    seen: Counter[int] = Counter()
+    out = []
+    for h in lines:
+        out.append((h, seen[h]))
+        seen[h] += 1
+    return out
+
+
 def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
-    """Aligned places (i, j) with a[i] == b[j], rising in both: common ends, then lines unique in both, and again between these."""
+    """Aligned places (i, j) with a[i] == b[j], rising in both: common ends, then lines unique in both, and again between these.
+
+    Where no line is unique in both, equal lines count as different ones by how often they have occurred so far.
+    """
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -53,6 +66,9 @@ def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
         one_a, one_b = Counter(a[i:m]), Counter(b[j:n])
         place = {h: k for k, h in enumerate(b[j:n], j) if one_b[h] == 1}
         anchors = _longest_rising([(k, place[h]) for k, h in enumerate(a[i:m], i) if one_a[h] == 1 and h in place])
+        if not anchors:
+            left, right = _numbered(a[i:m]), {x: k for k, x in enumerate(_numbered(b[j:n]), j)}
+            anchors = _longest_rising([(k, right[x]) for k, x in enumerate(left, i) if x in right])
         if not anchors:
             continue
         for p, q in [*anchors, (m, n)]:
