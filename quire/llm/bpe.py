@@ -23,7 +23,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
 from . import automaton
-from .common import columns, written
+from .common import columns, most_frequent
 
 #: Fixed value: the split of byte-level BPE into words, in the notation of the tokenizers' documentation. splitter() writes it for re.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -328,21 +328,9 @@ def _counts(vocab_path: str, most: int = MEMO):
 
 
 def frequent_words(docs: DataFrame, vocab_path: str, text_col: str = "text", size: int = 50_000) -> list[str]:
-    """The words of all texts from the lowest frequency on that leaves at most size of them.
-
-    Frequencies are taken in steps of an eighth of a power of two; a few hundred step counts tell where to stop, so the
-    driver gets no more words than it keeps.
-    """
+    """The most frequent words of all texts, size of them at most."""
     counted = columns(docs, text=text_col).mapInArrow(_counts(vocab_path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    step = F.floor(F.log2("n") * 8).cast("int")
-    counted = written(counted.filter("n > 1").withColumn("step", step), "words")
-    left, least = size, 0
-    for r in counted.groupBy("step").count().orderBy(F.desc("step")).collect():
-        left -= r["count"]
-        if left < 0:
-            least = r.step + 1
-            break
-    return [r.word for r in counted.filter(F.col("step") >= least).select("word").collect()]
+    return [r.word for r in most_frequent(counted.filter("n > 1"), size, "words").select("word").collect()]
 
 
 def compile_lexicon(docs: DataFrame, vocab_path: str, text_col: str = "text", size: int = 50_000) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, langid, linededup, mixing, secrets, sharding
+from . import bpe, langid, linededup, mixing, ngramjoin, secrets, sharding
 from .common import table
 
 #: Vocabulary files of public tokenizers; operators take the path as a parameter.
@@ -48,10 +48,15 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op8_ngram_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that share 85 % of their four-word shingles."""
+    return ngramjoin.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every whole text, with the spread of each over sources."""
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op4_bpe_transducer, op5_line_alignment, op6_minimax_shards, op7_language_id, op9_secret_ownership)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op4_bpe_transducer, op5_line_alignment, op6_minimax_shards, op7_language_id, op8_ngram_product, op9_secret_ownership)}
 ORACLES: dict[str, str] = {}

@@ -45,3 +45,24 @@ def drop_written(spark: SparkSession) -> None:
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     for found in fs.globStatus(jvm.org.apache.hadoop.fs.Path(folder, "quire-*")) or []:
         fs.delete(found.getPath(), True)
+
+
+def most_frequent(counted: DataFrame, size: int, name: str, count: str = "n") -> DataFrame:
+    """The rows of counted from the lowest frequency on that leaves at most size of them.
+
+    Frequencies are taken in steps of an eighth of a power of two; a few hundred step counts tell where to stop, so the
+    driver never gets more rows than are kept.
+    """
+    stepped = written(counted.withColumn("_step", F.floor(F.log2(count) * 8).cast("int")), name)
+    left, least = size, 0
+    for r in stepped.groupBy("_step").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("_step")).collect():
+        left -= r.rows
+        if left < 0:
+            least = r._step + 1
+            break
+    return stepped.filter(F.col("_step") >= least).drop("_step")
+
+
+def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """df, marked for broadcast if it has few rows; for narrow rows that are written already. Beyond that the join shuffles."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
