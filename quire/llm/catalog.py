@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, langid, linededup, mixing, ngramjoin, secrets, sharding, vectors
+from . import bpe, langid, linededup, mixing, ngramjoin, pii, secrets, sharding, vectors
 from .common import table
 
 #: Vocabulary files of public tokenizers; operators take the path as a parameter.
@@ -27,6 +27,11 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.array_join("_path", "/").alias("leaf"), F.col("_tokens").alias("n_tokens"), F.col("_copies").alias("n_copies"), F.col("_budget").alias("leaf_budget"))
 
 
+def op2_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every whole text."""
+    return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def op3_flat_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all embeddings under links of cosine 0.9."""
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
@@ -68,5 +73,5 @@ def op10_pruned_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op3_flat_graph_dedup, op4_bpe_transducer, op5_line_alignment, op6_minimax_shards, op7_language_id, op8_ngram_product, op9_secret_ownership, op10_pruned_graph_search)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_pii_boosting, op3_flat_graph_dedup, op4_bpe_transducer, op5_line_alignment, op6_minimax_shards, op7_language_id, op8_ngram_product, op9_secret_ownership, op10_pruned_graph_search)}
 ORACLES: dict[str, str] = {}
