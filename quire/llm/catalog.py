@@ -24,7 +24,7 @@ def levels() -> dict:
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of all tokens, dealt to domains, languages and sources by weight, in at most two epochs."""
     found = mixing.mix(table(spark, sf_dir, "documents"), levels(), WEIGHTS)
-    return found.select("doc_id", F.array_join("_path", "/").alias("leaf"), F.col("_tokens").alias("n_tokens"), F.col("_copies").alias("n_copies"), F.col("_budget").alias("leaf_budget"))
+    return found.select("row.doc_id", F.array_join("path", "/").alias("leaf"), F.col("tokens").alias("n_tokens"), F.col("copies").alias("n_copies"), F.col("budget").alias("leaf_budget"))
 
 
 def op2_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def op4_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text without the blocks of lines that an earlier document has."""
     found = linededup.dedup_lines(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "text", F.col("_lines").alias("n_lines"), F.col("_deleted").alias("n_deleted"))
+    return found.select("row.doc_id", "row.text", F.col("lines").alias("n_lines"), F.col("deleted").alias("n_deleted"))
 
 
 def op6_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

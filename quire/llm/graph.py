@@ -46,7 +46,8 @@ class Graph:
         self.links[new] = self._prune(met, gap)
         src = np.repeat(new, self.degree)
         dst = self.links[new].ravel()
-        src, dst = src[dst >= 0], dst[dst >= 0]
+        back = (dst >= 0) & ~(self.links[dst] == src[:, None]).any(1)
+        src, dst = src[back], dst[back]
         order = np.argsort(dst, kind="stable")
         src, dst = src[order], dst[order]
         begin = np.flatnonzero(np.concatenate([[True], dst[1:] != dst[:-1]])) if len(dst) else np.empty(0, np.int64)

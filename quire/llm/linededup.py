@@ -104,7 +104,7 @@ def _align(least: int):
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 5, rare: int = 5) -> DataFrame:
-    """docs with all their columns, the text without the blocks that an earlier document has, and _lines and _deleted.
+    """The rows of docs, as a struct `row`, the text without the blocks that an earlier document has; and lines, deleted.
 
     Earlier is the lower id (null first); rows with equal ids follow one another as they are read. A line that at most
     `rare` documents hold pairs each with every earlier one; any more frequent line pairs its holders with the first of
@@ -132,4 +132,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = rows.join(gone.hint("shuffle_hash"), "rid", "left")
     none = F.array().cast("array<int>")
     kept = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n"))
-    return out.select(*[kept.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in names], F.coalesce(F.size(lines), F.lit(0)).alias("_lines"), F.size(F.coalesce("gone", none)).alias("_deleted"))
+    row = F.struct(*[kept.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in names])
+    return out.select(row.alias("row"), F.when(text.isNull(), 0).otherwise(F.size(lines)).alias("lines"), F.size(F.coalesce("gone", none)).alias("deleted"))

@@ -72,7 +72,7 @@ def domain_of(source: Column) -> Column:
 
 
 def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[tuple[str, ...], float], share: float = 0.5, epochs: int = 2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The chosen rows of docs with all their columns, and _path (the leaf), _tokens, _copies and _budget.
+    """The chosen rows of docs, as a struct `row`, with path (of the leaf), tokens, copies and the leaf's budget.
 
     levels: the tree's levels from the root on, as columns of docs; a null counts as the name "". weights: by path, 1
     where not given. share: the budget, of all tokens. A leaf with budget b and t tokens gives b // t whole epochs, and of
@@ -101,5 +101,5 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[tuple[st
     sure = dealt.filter(F.col("_bucket") != F.col("_cut")).withColumn("_copies", F.col("_whole") + (F.col("_bucket") < F.col("_cut")).cast("long"))
     near = dealt.filter(F.col("_bucket") == F.col("_cut")).withColumn("_sofar", F.sum("_tokens").over(order) + F.col("_before"))
     near = near.withColumn("_copies", F.col("_whole") + (F.col("_sofar") <= F.col("_rest")).cast("long"))
-    keep = ["_row.*", "_path", "_tokens", "_copies", "_budget"]
-    return sure.select("_row", *keep[1:]).unionByName(near.select("_row", *keep[1:])).filter("_copies > 0").select(*keep)
+    keep = [F.col("_row").alias("row"), *[F.col(f"_{c}").alias(c) for c in ("path", "tokens", "copies", "budget")]]
+    return sure.select(*keep).unionByName(near.select(*keep)).filter("copies > 0")

@@ -35,9 +35,9 @@ def _matches(text: Column, rule: str) -> Column:
 def _valid(kind: Column, s: Column) -> Column:
     """What a match of a rule must satisfy besides."""
     number = lambda p: F.regexp_replace(p, "^0+", "")
-    ip = F.forall(F.split(s, r"\."), lambda p: (F.length(number(p)) <= 3) & (F.coalesce(number(p).cast("int"), F.lit(0)) <= 255))
+    ip = F.forall(F.split(s, r"\."), lambda p: (F.length(number(p)) <= 3) & (F.coalesce(number(p).try_cast("int"), F.lit(0)) <= 255))
     digits = F.reverse(F.regexp_replace(s, "[^0-9]", ""))
-    doubled = lambda c, i: F.when(i % 2 == 1, F.when(c.cast("int") > 4, c.cast("int") * 2 - 9).otherwise(c.cast("int") * 2)).otherwise(c.cast("int"))
+    doubled = lambda c, i: F.when(i % 2 == 1, F.when(c.try_cast("int") > 4, c.try_cast("int") * 2 - 9).otherwise(c.try_cast("int") * 2)).otherwise(c.try_cast("int"))
     luhn = F.aggregate(F.transform(F.split(digits, ""), doubled), F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))) % 10 == 0
     count = F.length(F.regexp_replace(s, "[^0-9]", ""))
     return F.when(kind == 1, ip).when(kind == 2, luhn).when(kind == 3, count.between(9, 15)).otherwise(True)
