@@ -119,13 +119,17 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", F.coalesce(F.col("base").cast(SPAN), none).alias("base"), F.coalesce(F.col("added").cast(SPAN), none).alias("added"))
 
 
+def _of_kind(kind: int):
+    return lambda x: x["kind"] == kind  # of one argument: a second one would be the place
+
+
 def digest(found: DataFrame) -> DataFrame:
     """doc_id, counts of the base kinds, the digest of the base spans, all spans, and the count of added ones."""
     names = F.array(*map(F.lit, KINDS))
     listed = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"])), ",")
     return found.select(
         "doc_id",
-        *[F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{n}") for k, n in enumerate(KINDS)],
+        *[F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{n}") for k, n in enumerate(KINDS)],
         F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
         listed(F.array_sort(F.concat("base", "added"))).alias("spans"),
         F.size("added").cast("long").alias("n_added"),

@@ -94,6 +94,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return hits.select("rid", "doc_id").join(per_row, "rid", "left").select("doc_id", F.coalesce("spans", none).alias("spans"))
 
 
+def _of_kind(kind: int):
+    return lambda x: x["kind"] == kind  # of one argument: a second one would be the place
+
+
 def digest(spans: DataFrame) -> DataFrame:
     """doc_id, counts of the base kinds, the digest of the base spans, all spans, and counts of live and copied ones."""
     names = F.array(*map(F.lit, KINDS))
@@ -101,7 +105,7 @@ def digest(spans: DataFrame) -> DataFrame:
     count = lambda f: F.size(F.filter("spans", f)).cast("long")
     return spans.select(
         "doc_id",
-        *[count(lambda x, k=k: x["kind"] == k).alias(f"n_{name}") for k, name in enumerate(KINDS[:3])],
+        *[count(_of_kind(k)).alias(f"n_{name}") for k, name in enumerate(KINDS[:3])],
         F.sha2(listed(F.filter("spans", lambda x: x["kind"] < 3)), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),
         count(lambda x: x["live"]).alias("n_live"),

@@ -309,6 +309,7 @@ def test_secrets_against_brute_force(spark, docs, none):
     for k, text, _ in rows:
         want = sorted((m.start(), n, m.end()) for n, (p, ok) in enumerate(plain) for m in p.finditer(text or "") if ok(m))
         assert by[k].base_sha256 == hashlib.sha256(",".join(f"{secrets.KINDS[n]}:{a}:{b}" for a, n, b in want).encode()).hexdigest()
+        assert [by[k][f"n_{x}"] for x in secrets.KINDS[:3]] == [sum(w[1] == n for w in want) for n in range(3)]
     assert secrets.digest(secrets.scan_secrets(docs)).count() == docs.count()
     assert secrets.scan_secrets(none).count() == 0
 
