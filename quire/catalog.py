@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import kernels
+
+QUERIES: dict = dict(kernels.QUERIES)
+ORACLES: dict = dict(kernels.ORACLES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship query."""
-    return QUERIES["latest_copy"](spark, sf_dir)
+    return QUERIES["path_diff"](spark, sf_dir)
