@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import kernels
+from .plans import files, kernels
 
-QUERIES: dict = dict(kernels.QUERIES)
-ORACLES: dict = dict(kernels.ORACLES)
+QUERIES: dict = kernels.QUERIES | files.QUERIES
+ORACLES: dict = kernels.ORACLES | files.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship query."""
-    return QUERIES["path_diff"](spark, sf_dir)
+    """Texts set in pages, read back from the files."""
+    return QUERIES["pdf_text"](spark, sf_dir)
