@@ -245,7 +245,7 @@ def affine_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", r6(x).alias("x"), r6(y).alias("y"), r6(bx).alias("back_x"))
 
 
-@query("SELECT p_partkey, round(least(-p_size, -p_size + 0.5 * p_size), 6) AS x0, 0.0::DOUBLE AS y0, round(0.5 * p_size, 6) AS x1, round(2.0 * p_size, 6) AS y1 FROM part")
+@query("SELECT p_partkey, (-p_size)::DOUBLE AS x0, 0.0::DOUBLE AS y0, round(0.5::DOUBLE * p_size, 6) AS x1, round(2.0::DOUBLE * p_size, 6) AS y1 FROM part")
 def quad_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, zero = F.col("p_size").cast("double"), F.lit(0.0)
     b = geometry.box_bounds([0.5, 1.0, -1.0, 1.0, 0.0, 0.0], zero, zero, s, s)
