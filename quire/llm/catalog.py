@@ -74,4 +74,20 @@ def op10_pruned_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_pii_boosting, op3_flat_graph_dedup, op4_bpe_transducer, op5_line_alignment, op6_minimax_shards, op7_language_id, op8_ngram_product, op9_secret_ownership, op10_pruned_graph_search)}
-ORACLES: dict[str, str] = {}
+#: Links of the n-gram join and of the near-duplicates, and the smallest id that they reach, in plain SQL. The others train
+#: models, encode, align, hash or report offsets; SQL has no such functions, and tests hold them against brute force.
+REACH = """l AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
+walk AS (SELECT u AS node, u AS seen FROM l UNION SELECT walk.node, l.v FROM walk JOIN l ON l.u = walk.seen),
+comp AS (SELECT node, least(node, min(seen)) AS c FROM walk GROUP BY node)"""
+
+ORACLES: dict[str, str] = {
+    "op3_flat_graph_dedup": f"""WITH RECURSIVE e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings),
+n AS (SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS size FROM e WHERE x IS NOT NULL),
+links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM n a JOIN n b ON a.vec_id < b.vec_id AND list_dot_product(a.x, b.x) >= 0.9 * a.size * b.size), {REACH}
+SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.u = e.vec_id) AS n_links, coalesce(comp.c, e.vec_id) AS component_id, coalesce(comp.c, e.vec_id) = e.vec_id AS kept FROM e LEFT JOIN comp ON comp.node = e.vec_id""",
+    "op8_ngram_product": f"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x09-\\x0d\\x20]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS g FROM d),
+x AS (SELECT doc_id, len(g) AS n, unnest(g) AS t FROM s),
+links AS (SELECT a.doc_id AS u, b.doc_id AS v FROM x a JOIN x b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))), {REACH}
+SELECT s.doc_id, len(g)::BIGINT AS n_shingles, coalesce(comp.c, s.doc_id) AS component_id FROM s LEFT JOIN comp ON comp.node = s.doc_id""",
+}
