@@ -8,8 +8,8 @@ from ..functions import dates, geometry, text as texts
 from . import relations
 
 PAGE = ["doc_id", "page"]
-#: Marks that separate words when glyphs are put in lines.
-AREAS = ("page-count", "page-box", "page-content", "page-fonts", "fonts", "attributes")
+#: The areas of a comparison.
+AREAS = ("page-count", "page-box", "page-content", "page-fonts", "fonts", "page-piece", "attributes", "duplicate-keys")
 
 
 def visible(hidden: str = "hidden", clipped: str = "clipped") -> Column:
@@ -116,11 +116,12 @@ def authority(properties: DataFrame) -> DataFrame:
     return some.join(mod, "doc_id", "left").select("doc_id", said.alias("authority"))
 
 
-def compare(pairs: DataFrame, pages: DataFrame, fonts: DataFrame, nodes: DataFrame) -> DataFrame:
+def compare(pairs: DataFrame, pages: DataFrame, fonts: DataFrame, nodes: DataFrame, warnings: DataFrame | None = None, areas: tuple[str, ...] = AREAS) -> DataFrame:
     """(a, b, kind, page, path, left, right): what differs between documents a and b. Object numbers never matter.
 
     One plan for each area, all of them joins within a pair: page count, boxes with their explicitness, content by
-    canonical operations, fonts of a page and of the document, and entries of the page dictionaries.
+    canonical operations, fonts of a page and of the document, private data and other entries of the page dictionaries,
+    and, given the tables of warnings, how many dictionaries name a key twice.
     """
     side = lambda df, s: pairs.join(df.withColumnRenamed("doc_id", s), s)
     keys = ["a", "b", "page"]
@@ -148,11 +149,17 @@ def compare(pairs: DataFrame, pages: DataFrame, fonts: DataFrame, nodes: DataFra
     entries = nodes.join(pages.select("doc_id", "page", "object_number"), ["doc_id", "object_number"]).filter((F.col("path") != "") & ~F.col("path").rlike(skip) & ~F.col("kind").isin("reference"))
     entries = entries.select("doc_id", "page", "path", F.concat_ws(":", F.when(F.col("kind").isin("integer", "real"), "number").otherwise(F.col("kind")), F.coalesce(F.col("number").cast("string"), "bytes")).alias("v"))
     ea, eb = side(entries, "a").withColumnRenamed("v", "left"), side(entries, "b").withColumnRenamed("v", "right")
-    attr = ea.join(eb, [*keys, "path"], "full_outer").filter(~F.col("left").eqNullSafe(F.col("right"))).join(common, keys, "left_semi").select("a", "b", F.lit("attributes").alias("kind"), "page", "path", "left", "right")
-    out = counts
-    for part in (box, content, gone(["a", "b", "page", "path"], "page-fonts"), gone(["a", "b", "path"], "fonts"), attr):
+    attr = ea.join(eb, [*keys, "path"], "full_outer").filter(~F.col("left").eqNullSafe(F.col("right"))).join(common, keys, "left_semi").select("a", "b", F.when(F.col("path").startswith("/PieceInfo"), "page-piece").otherwise("attributes").alias("kind"), "page", "path", "left", "right")
+    parts = [counts, box, content, gone(["a", "b", "page", "path"], "page-fonts"), gone(["a", "b", "path"], "fonts"), attr]
+    if warnings is not None:
+        twice = warnings.filter("code = 'duplicate-key'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+        n = lambda s, name: pairs.join(twice.select(F.col("doc_id").alias(s), F.col("n").alias(name)), s, "left")
+        both = n("a", "left").join(n("b", "right"), ["a", "b"]).filter(~F.col("left").eqNullSafe(F.col("right")))
+        parts.append(both.select("a", "b", F.lit("duplicate-keys").alias("kind"), F.lit(None).cast("int").alias("page"), F.lit("").alias("path"), F.col("left").cast("string").alias("left"), F.col("right").cast("string").alias("right")))
+    out = parts[0]
+    for part in parts[1:]:
         out = out.unionByName(part)
-    return out
+    return out.filter(F.col("kind").isin(*areas))
 
 
 #: The rules of a print check; those without a plan here are reported as not checked.
