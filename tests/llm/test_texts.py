@@ -277,6 +277,12 @@ def test_jaccard_groups_against_brute_force(spark, docs, size, percent):
         rows.append((1000 + k, " ".join(base)))
     common = words(rng, 60)
     rows += [(2000 + k, f"{words(rng, rng.randint(20, 60))} {common}") for k in range(30)]  # unrelated but for a passage
+    base = words(rng, 60).split(" ")  # near copies of one text that mostly miss the threshold among themselves
+    for k in range(120):
+        own = base[:]
+        for at in rng.sample(range(60), 2):
+            own[at] = f"odd{k}"
+        rows.append((3000 + k, " ".join(own)))
     sets = [(k, shingle_set(t, size)) for k, t in rows]
     linked = [(a, b) for i, (a, x) in enumerate(sets) for b, y in sets[:i] if x and y and 100 * len(x & y) >= percent * len(x | y)]
     want = smallest_linked({k for k, _ in sets}, linked)
