@@ -82,15 +82,17 @@ class State:
     blend: bytes = b"Normal"
     masked: bool = False
     clip: tuple | None = None
+    tile: Stream | None = None
 
 
 class Interpreter:
     """Runs a page's content in order. events: (seq, kind, values) for glyph, paint, select and cover."""
 
-    def __init__(self, doc):
-        self.doc, self.events, self.warnings = doc, [], []
+    def __init__(self, doc, annotations: str = "none"):
+        """annotations: whose appearances are drawn after the page: none, printable or all."""
+        self.doc, self.events, self.warnings, self.annotations = doc, [], [], annotations
         self.fonts: dict = {}
-        self.count = 0
+        self.count = self.nested = 0
 
     def page(self, page) -> list[tuple[int, str, dict]]:
         resources = self.doc.inherited(page, b"Resources")[0]
@@ -99,9 +101,39 @@ class Interpreter:
         except PdfError as e:
             self.warnings.append(e.code)
             data = b""
-        self.run(data, resources if isinstance(resources, dict) else {}, State(), 0, frozenset())
+        resources = resources if isinstance(resources, dict) else {}
+        self.run(data, resources, State(), 0, frozenset())
+        if self.annotations != "none":
+            for a in self.doc.get(page.dict.get(b"Annots")) or []:
+                self.annotation(self.doc.get(a), resources)
         return self.events
 
+    def annotation(self, a, resources: dict) -> None:
+        """The normal appearance, its box under its matrix moved and scaled onto the annotation's rectangle."""
+        if not isinstance(a, dict):
+            return
+        flags = self.doc.get(a.get(b"F", 0))
+        hidden, printed = flags & 2, flags & 4
+        if hidden or (self.annotations == "printable" and not printed):
+            return
+        look = self.doc.get((self.doc.get(a.get(b"AP")) or {}).get(b"N"))
+        if isinstance(look, dict):
+            look = self.doc.get(look.get(self.doc.get(a.get(b"AS"))))
+        rect = self.doc.get(a.get(b"Rect"))
+        if not isinstance(look, Stream) or not isinstance(rect, list):
+            return
+        number = lambda v: [float(self.doc.get(x)) for x in v]
+        r, b = number(rect), number(self.doc.get(look.dict.get(b"BBox")) or [0, 0, 1, 1])
+        m = tuple(number(self.doc.get(look.dict.get(b"Matrix")) or IDENTITY))
+        x0, y0, x1, y1 = _bounds([[at(m, p, q) for p, q in ((b[0], b[1]), (b[2], b[1]), (b[2], b[3]), (b[0], b[3]))]])
+        if x1 == x0 or y1 == y0:
+            return
+        left, low = min(r[0], r[2]), min(r[1], r[3])
+        sx, sy = abs(r[2] - r[0]) / (x1 - x0), abs(r[3] - r[1]) / (y1 - y0)
+        own = self.doc.get(look.dict.get(b"Resources"))
+        move = (sx, 0.0, 0.0, sy, left - x0 * sx, low - y0 * sy)
+        self.run(self.doc.decoded(look)[0], own if isinstance(own, dict) else resources, State(ctm=mul(m, move), clip=(left, low, left + abs(r[2] - r[0]), low + abs(r[3] - r[1]))), 1, frozenset())
+
     def emit(self, kind: str, **values) -> None:
         self.events.append((len(self.events), kind, values))
 
@@ -182,6 +214,9 @@ class Interpreter:
                 elif op in (b"sc", b"scn", b"SC", b"SCN"):
                     side = "stroke" if op.isupper() else "fill"
                     s = replace(s, **{side: (getattr(s, side)[0], tuple(n))})
+                    if v and isinstance(v[-1], Name) and side == "fill":
+                        cell = self._find(resources, b"Pattern", v[-1])[1]
+                        s = replace(s, tile=cell if isinstance(cell, Stream) and self.doc.get(cell.dict.get(b"PatternType")) == 1 else None)
                 elif op == b"gs":
                     _, g = self._find(resources, b"ExtGState", v[0])
                     s = self.state(s, g if isinstance(g, dict) else {})
@@ -212,6 +247,8 @@ class Interpreter:
                     if op in PAINT:
                         rule, stroke, _ = PAINT[op]
                         self.paint(path, rects, rule, stroke, s)
+                        if rule and path and s.tile is not None and s.fill[0].startswith(b"Pattern"):
+                            self.cell(s, _bounds(path), resources, depth, forms)
                     if pending and path:
                         s = replace(s, clip=_meet(s.clip, _bounds(path)))
                     path, rects, pending = [], [], False
@@ -306,6 +343,31 @@ class Interpreter:
             own = self.doc.get(x.dict.get(b"Resources"))
             self.run(self.doc.decoded(x)[0], own if isinstance(own, dict) else resources, inner, depth + 1, forms | {key})
 
+    def cell(self, s: State, box: tuple, resources: dict, depth: int, forms: frozenset) -> None:
+        """A tiling pattern's cell, once, within what it paints; an uncoloured one paints in the current colour."""
+        d, key = s.tile.dict, id(s.tile)
+        if key in forms:
+            self.warnings.append("pattern-cycle")
+            return
+        own = self.doc.get(d.get(b"Resources"))
+        colour = s.fill if self.doc.get(d.get(b"PaintType")) == 2 else State().fill
+        if colour[0].startswith(b"Pattern:"):
+            colour = (colour[0][8:], colour[1])
+        matrix = self.doc.get(d.get(b"Matrix"))
+        m = tuple(float(self.doc.get(x)) for x in matrix) if isinstance(matrix, list) else IDENTITY
+        self.run(self.doc.decoded(s.tile)[0], own if isinstance(own, dict) else resources, State(ctm=m, fill=colour, clip=_meet(s.clip, box)), depth + 1, forms | {key})
+
+    def procedure(self, f: Font, code: int, m, s: State) -> None:
+        """What a Type 3 glyph's procedure paints."""
+        proc = f.procedures.get(code)
+        if proc is None or self.nested > 4:
+            return
+        self.nested += 1
+        try:
+            self.run(self.doc.decoded(proc)[0], f.resources, replace(s, ctm=mul(f.matrix, m)), 1, frozenset())
+        finally:
+            self.nested -= 1
+
     def show(self, parts, s: State, tm, marks):
         f = s.font
         if f is None:
@@ -328,6 +390,8 @@ class Interpreter:
                 hidden = "render-mode" if s.mode % 4 == 3 else "transparent" if alpha == 0 else "degenerate" if abs(m[0] * m[3] - m[1] * m[2]) < 1e-9 else None
                 x, y = at(m, 0, 0)
                 self.emit("glyph", code=code, bytes=size, text=text, reason=reason, font=f.name, x=x, y=y, box=list(box), size=s.size, width=width, hidden=hidden, clipped=s.clip is not None and _meet(s.clip, box) is None, actual=span[0] if span else None, span=span[1] if span else None, space=s.fill[0].decode("latin-1"))
+                if f.procedures and hidden is None:
+                    self.procedure(f, code, m, s)
                 tm = mul((1, 0, 0, 1, *shift), tm)
         return tm
 

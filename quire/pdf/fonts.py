@@ -129,6 +129,9 @@ class Font:
     unicode: CMap | None
     vertical: bool = False
     problems: tuple = ()
+    procedures: dict = field(default_factory=dict)
+    resources: dict = field(default_factory=dict)
+    matrix: tuple = (0.001, 0.0, 0.0, 0.001, 0.0, 0.0)
 
     def glyphs(self, data: bytes):
         """(code, bytes, width, text, reason) of each code; the reason tells why there is no text."""
@@ -149,6 +152,7 @@ def load_font(doc, d: dict, key) -> Font:
     u = get(d.get(b"ToUnicode"))
     unicode = parse_cmap(doc.decoded(u)[0]) if isinstance(u, Stream) else None
     problems, widths, texts, cmap, default, vertical = [], {}, {}, None, 0.0, False
+    procedures, resources, matrix = {}, {}, (0.001, 0.0, 0.0, 0.001, 0.0, 0.0)
     inner = d
     if subtype == b"Type0":
         kids = get(d.get(b"DescendantFonts"))
@@ -179,18 +183,23 @@ def load_font(doc, d: dict, key) -> Font:
         base = get(e.get(b"BaseEncoding")) if isinstance(e, dict) else e
         codec = CODECS.get(base, "cp1252")
         texts = {c: bytes([c]).decode(codec, "replace") for c in range(32, 256)} if subtype != b"Type3" else {}
+        drawn = get(d.get(b"CharProcs")) if subtype == b"Type3" else None
         if isinstance(e, dict):
             code = 0
             for x in get(e.get(b"Differences")) or []:
                 x = get(x)
                 if isinstance(x, Name):
                     texts[code] = name_text(x.decode("latin-1"))
+                    if isinstance(drawn, dict) and isinstance(p := get(drawn.get(x)), Stream):
+                        procedures[code] = p
                     code += 1
                 elif isinstance(x, int):
                     code = x
         if subtype == b"Type3":
             m = get(d.get(b"FontMatrix")) or [0.001, 0, 0, 0.001, 0, 0]
             widths = {c: w * float(get(m[0])) * 1000 for c, w in widths.items()}
+            matrix = tuple(float(get(x)) for x in m)
+            resources = get(d.get(b"Resources")) or {}
     descriptor = get(inner.get(b"FontDescriptor"))
     embedded = None
     if isinstance(descriptor, dict):
@@ -199,4 +208,4 @@ def load_font(doc, d: dict, key) -> Font:
             default = float(get(descriptor.get(b"MissingWidth", 0)))
     elif subtype != b"Type3":
         problems.append("missing-descriptor")
-    return Font(key, subtype.decode("latin-1"), name, tag, malformed, "Type3" if subtype == b"Type3" else embedded, widths, default, texts, cmap, unicode, vertical, tuple(problems))
+    return Font(key, subtype.decode("latin-1"), name, tag, malformed, "Type3" if subtype == b"Type3" else embedded, widths, default, texts, cmap, unicode, vertical, tuple(problems), procedures, resources, matrix)

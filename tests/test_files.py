@@ -166,6 +166,30 @@ def test_forms_clips_and_cycles():
     assert found == [[100, 0, 110, 10]] and it.warnings == ["form-cycle"]
 
 
+def boxes_of(it, page):
+    return [(v["space"], v["box"]) for _, k, v in it.page(page) if k == "paint"]
+
+
+def test_tiling_patterns():
+    tile = Stream({b"PatternType": 1, b"PaintType": 1, b"BBox": [0, 0, 5, 5]}, b"1 0 0 rg 0 0 5 5 re f")
+    it, d = events(b"/Pattern cs /P scn 2 2 50 50 re f", {b"Resources": {b"Pattern": {b"P": Ref(100, 0)}}}, {100: tile})
+    assert boxes_of(it, d.pages[0]) == [("Pattern", [2, 2, 52, 52]), ("DeviceRGB", [2, 2, 5, 5])]
+
+
+def test_type_3_procedures():
+    font = {b"Subtype": Name(b"Type3"), b"FontMatrix": [0.01, 0, 0, 0.01, 0, 0], b"FirstChar": 65, b"Widths": [50], b"Encoding": {b"Differences": [65, Name(b"box")]}, b"CharProcs": {b"box": Ref(101, 0)}}
+    it, d = events(b"BT /F 10 Tf 5 5 Td (AA) Tj ET", {b"Resources": {b"Font": {b"F": Ref(100, 0)}}}, {100: font, 101: Stream({}, b"50 0 d0 0 0 50 50 re f")})
+    assert [b for _, b in boxes_of(it, d.pages[0])] == [[5, 5, 10, 10], [10, 5, 15, 10]]
+
+
+def test_annotations():
+    look = Stream({b"Subtype": Name(b"Form"), b"BBox": [0, 0, 10, 10]}, b"0 0 10 10 re f")
+    notes = [{b"Rect": [100, 100, 120, 140], b"F": flags, b"AP": {b"N": Ref(100, 0)}} for flags in (4, 0, 6)]
+    _, d = events(b"", {b"Annots": notes}, {100: look})
+    seen = lambda mode: [b for _, b in boxes_of(Interpreter(d, mode), d.pages[0])]
+    assert seen("none") == [] and seen("printable") == [[100, 100, 120, 140]] and len(seen("all")) == 2
+
+
 def test_inline_image_is_one_operation():
     ops = list(operations(b"q BI /W 1 /H 1 /BPC 8 /CS /G ID \xffEI\x01 EI Q"))
     assert [o for o, _, _ in ops] == [b"q", b"BI", b"Q"] and ops[1][1][0][b"W"] == 1
