@@ -112,3 +112,15 @@ def parametric(x: Column, kind: int, p: Sequence[float]) -> Column:
 def promoted_grey(g: Column) -> Column:
     """Grey as process colour: black ink alone."""
     return F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0) - g)
+
+
+def calibrated_rgb(a: Column, b: Column, c: Column, gamma: Sequence[float] = (1.0, 1.0, 1.0), matrix: Sequence[float] = (1, 0, 0, 0, 1, 0, 0, 0, 1)) -> tuple[Column, Column, Column]:
+    """XYZ of a calibrated RGB colour: each component to its power, then the matrix, given by columns for a, b and c."""
+    p = [F.pow(clip(x, 0.0, 1.0), F.lit(float(g))) for x, g in zip((a, b, c), gamma, strict=True)]
+    return tuple(p[0] * float(matrix[k]) + p[1] * float(matrix[3 + k]) + p[2] * float(matrix[6 + k]) for k in range(3))
+
+
+def calibrated_grey(a: Column, white: Sequence[float], gamma: float = 1.0) -> tuple[Column, Column, Column]:
+    """XYZ of a calibrated grey."""
+    p = F.pow(clip(a, 0.0, 1.0), F.lit(float(gamma)))
+    return tuple(p * float(w) for w in white)

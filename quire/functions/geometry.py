@@ -61,3 +61,16 @@ def inside(points: Sequence[tuple[float, float]], x: Column, y: Column, even_odd
 def contains(outer: Column, inner: Column, slack: float = 0.0) -> Column:
     """Whether box [x0 y0 x1 y1] holds another."""
     return (inner[0] >= outer[0] - slack) & (inner[1] >= outer[1] - slack) & (inner[2] <= outer[2] + slack) & (inner[3] <= outer[3] + slack)
+
+
+def quadratic_to_cubic(p0: Column, p1: Column, p2: Column) -> tuple[Column, Column]:
+    """One coordinate of the two handles of the cubic curve that a quadratic one is."""
+    return p0 + (p1 - p0) * 2 / 3, p2 + (p1 - p2) * 2 / 3
+
+
+def miter(ax: Column, ay: Column, bx: Column, by: Column, width: Column, limit: float = 10.0) -> Column:
+    """How far a join's point reaches from the corner between two unit directions: half the width where the limit bevels it."""
+    half = F.sqrt(F.greatest((F.lit(1.0) - (ax * bx + ay * by)) / 2, F.lit(0.0)))  # the sine of half the angle between the legs, turned
+    sine = F.sqrt(F.greatest(F.lit(1.0) - half * half, F.lit(0.0)))
+    ratio = F.lit(1.0) / F.nullif(sine, F.lit(0.0))
+    return F.when(ratio <= limit, width / 2 * ratio).otherwise(width / 2)

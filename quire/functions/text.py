@@ -77,3 +77,9 @@ def utf16_offset(text: Column, code_points: Column) -> Column:
     """The UTF-16 offset of a place counted in code points: characters beyond U+FFFF count twice."""
     head = F.left(text, code_points)
     return F.length(head) + F.length(head) - F.length(F.regexp_replace(head, r"[\x{10000}-\x{10FFFF}]", ""))
+
+
+def uuid_text(digest: Column) -> Column:
+    """32 hexadecimal digits as a name-based identifier: version 3, and the variant's bits set."""
+    variant = F.element_at(F.array(*[F.lit(c) for c in "89ab"]), F.conv(F.substring(digest, 17, 1), 16, 10).cast("int") % 4 + 1)
+    return F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("3"), F.substring(digest, 14, 3)), F.concat(variant, F.substring(digest, 18, 3)), F.substring(digest, 21, 12))

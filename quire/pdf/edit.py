@@ -11,6 +11,8 @@ import numpy as np
 from . import metadata
 from .content import operations
 from .document import Document
+from .filters import deflate
+from .images import icc_header
 from .objects import Name, PdfError, Ref, Str, Stream, number_text, serialize
 from .write import rewrite, update
 
@@ -50,6 +52,21 @@ def prepare_pages(data: bytes) -> bytes:
     return save(doc, edits)
 
 
+def add_output_intent(data: bytes, profile: bytes, condition: str, info: str = "", registry: str = "http://www.color.org") -> bytes:
+    """Names the printing condition that the file is made for, with its profile. A file that has an intent is refused."""
+    doc = Document(data)
+    if doc.get(doc.catalog.get(b"OutputIntents")):
+        raise PdfError("has-output-intent")
+    head = icc_header(profile)
+    channels = {"GRAY": 1, "RGB": 3, "CMYK": 4}.get(head["space"])
+    if head["class"] != "prtr" or channels is None:
+        raise PdfError("invalid-profile", "no output profile")
+    num = max(doc.index, default=0) + 1
+    intent = {b"Type": Name(b"OutputIntent"), b"S": Name(b"GTS_PDFX"), b"OutputConditionIdentifier": Str(condition.encode("latin-1")), b"Info": Str(info.encode("latin-1")), b"RegistryName": Str(registry.encode("latin-1")), b"DestOutputProfile": Ref(num, 0)}
+    edits = {num: Stream({b"N": channels, b"Filter": Name(b"FlateDecode")}, deflate(profile)), num + 1: intent, doc.trailer[b"Root"].num: doc.catalog | {b"OutputIntents": [Ref(num + 1, 0)]}}
+    return save(doc, edits)
+
+
 def set_metadata(data: bytes, values: dict[str, str | None]) -> bytes:
     """Sets keys of the information dictionary and the packet alike; None takes a key away. A signed file is refused."""
     doc = Document(data)

@@ -158,3 +158,14 @@ def decode(data: bytes, filters: list, parms: list, limit: int = 256 << 20) -> t
         if len(data) > limit:
             raise PdfError("size-limit", "decoded stream")
     return data, warnings
+
+
+def deflate(data: bytes, level: int = 6) -> bytes:
+    return zlib.compress(data, level)
+
+
+def zstd_frame(data: bytes, level: int = 3) -> bytes:
+    """One frame that names its content's size."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=level, write_content_size=True).compress(data)

@@ -144,3 +144,12 @@ def transform(source: Profile, target: Profile, intent: str = "relative"):
         return out
 
     return run
+
+
+def convert_rows(pixels: np.ndarray, f) -> np.ndarray:
+    """Samples (rows, width, channels) of 8 or 16 bits through a transform. Each distinct colour is converted once."""
+    top = 65535 if pixels.dtype == np.uint16 else 255
+    flat = pixels.reshape(-1, pixels.shape[-1])
+    colours, place = np.unique(flat, axis=0, return_inverse=True)
+    out = np.floor(np.clip(f(colours / top), 0, 1) * top + 0.5).astype(pixels.dtype)
+    return out[place.ravel()].reshape(*pixels.shape[:-1], out.shape[-1])

@@ -74,6 +74,37 @@ def test_boxes_and_colours():
     assert b"rg" not in content and b"RG" not in content and b"0 0 0 1 k" in content and content.count(b" k\n") == 2
 
 
+def test_output_intents():
+    f = edit.add_output_intent(page_file([(b"", {})]), cmyk_profile(), "FOGRA39")
+    d = Document(f)
+    intent = d.get(d.get(d.catalog[b"OutputIntents"])[0])
+    assert intent[b"OutputConditionIdentifier"] == Str(b"FOGRA39") and d.decoded(d.get(intent[b"DestOutputProfile"]))[0] == cmyk_profile()
+    with pytest.raises(PdfError, match="has-output-intent"):
+        edit.add_output_intent(f, cmyk_profile(), "x")
+
+
+def test_rows_of_an_image():
+    t = icc.transform(icc.Profile(rgb_profile()), icc.Profile(cmyk_profile()))
+    p = np.array([[[255, 255, 255], [0, 0, 0]], [[255, 255, 255], [255, 255, 255]]], np.uint8)
+    out = icc.convert_rows(p, t)
+    assert out.shape == (2, 2, 4) and (out[p[..., 0] == 255] == 0).all() and out[0, 1, 3] > 250
+
+
+def test_columns_of_geometry_and_identifiers(spark):
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from quire.functions import colour, geometry, text
+
+    u = uuid.uuid3(uuid.NAMESPACE_URL, "x")
+    c1, c2 = geometry.quadratic_to_cubic(F.lit(0.0), F.lit(3.0), F.lit(0.0))
+    x, _, z = colour.calibrated_rgb(F.lit(1.0), F.lit(0.5), F.lit(0.0), (1, 2, 1), (0.4, 0.2, 0.1, 0.3, 0.6, 0.1, 0.2, 0.1, 0.7))
+    row = spark.range(1).select(c1.alias("c1"), c2.alias("c2"), x.alias("x"), z.alias("z"), geometry.miter(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(2.0)).alias("m"), text.uuid_text(F.md5(F.lit(uuid.NAMESPACE_URL.bytes + b"x"))).alias("u")).first()
+    assert (row.c1, row.c2) == (2.0, 2.0) and row.x == pytest.approx(0.475) and row.z == pytest.approx(0.125)
+    assert row.m == pytest.approx(2**0.5) and row.u == str(u)
+
+
 def test_many_files_and_the_sink(spark, tmp_path):
     rows = [("a", bytearray(page_file([(b"", {})]))), ("b", bytearray(b"nothing")), ("c", None)]
     got = edits.edit_files(spark.createDataFrame(rows, "doc_id string, content binary"), edit.prepare_pages)
