@@ -45,6 +45,13 @@ def page_text(glyphs: DataFrame) -> DataFrame:
     return parts.groupBy(*PAGE).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "u"))), lambda x: x["u"]), "").alias("text"))
 
 
+def evidence_level(glyphs: DataFrame) -> DataFrame:
+    """(doc_id, page, level, disagreeing): glyph-checked where embedded programs confirm every selected glyph, else encoding-only."""
+    seen = glyphs.filter(visible())
+    sure = F.count_if(F.col("evidence") == "confirmed") == F.count(F.lit(1))
+    return seen.groupBy(*PAGE).agg(F.when(sure, "glyph-checked").otherwise("encoding-only").alias("level"), F.count_if(F.col("evidence") == "disagrees").alias("disagreeing"))
+
+
 def match_text(found: DataFrame, intended: DataFrame) -> DataFrame:
     """found (doc_id, page, text) against intended (doc_id, page, text): status and counts of kept, missing and extra characters.
 

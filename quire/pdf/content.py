@@ -389,7 +389,7 @@ class Interpreter:
                 alpha = s.stroke_alpha if s.mode % 4 == 1 else s.fill_alpha
                 hidden = "render-mode" if s.mode % 4 == 3 else "transparent" if alpha == 0 else "degenerate" if abs(m[0] * m[3] - m[1] * m[2]) < 1e-9 else None
                 x, y = at(m, 0, 0)
-                self.emit("glyph", code=code, bytes=size, text=text, reason=reason, font=f.name, x=x, y=y, box=list(box), size=s.size, width=width, hidden=hidden, clipped=s.clip is not None and _meet(s.clip, box) is None, actual=span[0] if span else None, span=span[1] if span else None, space=s.fill[0].decode("latin-1"))
+                self.emit("glyph", code=code, bytes=size, text=text, reason=reason, font=f.name, x=x, y=y, box=list(box), size=s.size, width=width, hidden=hidden, clipped=s.clip is not None and _meet(s.clip, box) is None, actual=span[0] if span else None, span=span[1] if span else None, space=s.fill[0].decode("latin-1"), evidence=f.evidence(code, text))
                 if f.procedures and hidden is None:
                     self.procedure(f, code, m, s)
                 tm = mul((1, 0, 0, 1, *shift), tm)

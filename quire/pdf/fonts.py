@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 from dataclasses import dataclass, field
 
-from .objects import EOF, Keyword, Name, Reader, Stream, Str
+from .objects import EOF, Keyword, Name, PdfError, Reader, Stream, Str
+from .truetype import character_map, evidence, tables
 
 #: Glyph names of characters that aren't named after themselves, in the order of ASCII.
 NAMES = dict(zip("space exclam quotedbl numbersign dollar percent ampersand quotesingle parenleft parenright asterisk plus comma hyphen period slash zero one two three four five six seven eight nine colon semicolon less equal greater question at bracketleft backslash bracketright asciicircum underscore grave braceleft bar braceright asciitilde".split(), " !\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~", strict=True))
@@ -132,6 +134,16 @@ class Font:
     procedures: dict = field(default_factory=dict)
     resources: dict = field(default_factory=dict)
     matrix: tuple = (0.001, 0.0, 0.0, 0.001, 0.0, 0.0)
+    program: tuple | None = None
+    to_glyph: bytes | None = None
+
+    def evidence(self, code: int, text: str | None) -> str | None:
+        """Whether the embedded program's own map leads from the text to the glyph; null where that can't be asked."""
+        if self.program is None or not text or self.cmap is None:
+            return None
+        cid = self.cmap.get(code) or 0
+        glyph = int.from_bytes(self.to_glyph[2 * cid : 2 * cid + 2], "big") if self.to_glyph is not None else cid
+        return evidence(text, glyph, *self.program)
 
     def glyphs(self, data: bytes):
         """(code, bytes, width, text, reason) of each code; the reason tells why there is no text."""
@@ -208,4 +220,12 @@ def load_font(doc, d: dict, key) -> Font:
             default = float(get(descriptor.get(b"MissingWidth", 0)))
     elif subtype != b"Type3":
         problems.append("missing-descriptor")
-    return Font(key, subtype.decode("latin-1"), name, tag, malformed, "Type3" if subtype == b"Type3" else embedded, widths, default, texts, cmap, unicode, vertical, tuple(problems), procedures, resources, matrix)
+    program = to_glyph = None
+    if subtype == b"Type0" and embedded == "FontFile2":
+        try:
+            program = character_map(tables(doc.decoded(get(descriptor[b"FontFile2"]))[0])["cmap"])
+        except (PdfError, KeyError, IndexError, struct.error):
+            problems.append("unreadable-program")
+        m = get(inner.get(b"CIDToGIDMap"))
+        to_glyph = doc.decoded(m)[0] if isinstance(m, Stream) else None
+    return Font(key, subtype.decode("latin-1"), name, tag, malformed, "Type3" if subtype == b"Type3" else embedded, widths, default, texts, cmap, unicode, vertical, tuple(problems), procedures, resources, matrix, program, to_glyph)

@@ -28,7 +28,7 @@ TABLES = {
     "pdf_nodes": "object_number int, path string, depth int, ordinal int, kind string, number double, bytes string, ref_num int, ref_gen int",
     "pdf_pages": f"page int, object_number int, rotate int, user_unit double, media {BOX}, crop {BOX}, bleed {BOX}, trim {BOX}, art {BOX}, explicit array<string>, rotate_depth int, content_digest string, tokens_digest string, complete boolean",
     "pdf_operations": "page int, seq int, operator string, operands string",
-    "pdf_glyphs": f"page int, seq int, code int, text string, reason string, font string, x double, y double, size double, width double, box {BOX}, hidden string, clipped boolean, span int, actual string, space string",
+    "pdf_glyphs": f"page int, seq int, code int, text string, reason string, font string, x double, y double, size double, width double, box {BOX}, hidden string, clipped boolean, span int, actual string, space string, evidence string",
     "pdf_paints": f"page int, seq int, what string, space string, components {BOX}, stroke boolean, box {BOX}, alpha double",
     "pdf_selects": f"page int, seq int, space string, components {BOX}, stroke boolean",
     "pdf_covers": f"page int, seq int, box {BOX}",

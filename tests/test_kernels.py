@@ -79,3 +79,24 @@ def test_jpeg():
     for cut in range(0, 150, 7):
         with pytest.raises((PdfError, IndexError)):
             jpeg.decode_jpeg(jpeg_of(levels)[:cut])
+
+
+def test_evidence_of_embedded_programs(spark):
+    from quire.operators import documents
+    from quire.pdf.objects import Name
+    from quire.sources import pdf
+
+    n = Name
+    text = b"1 begincodespacerange <0000> <ffff> endcodespacerange 2 beginbfchar <0001> <0041> <0002> <0043> endbfchar"
+    extra = {
+        100: {b"Subtype": n(b"Type0"), b"BaseFont": n(b"X"), b"Encoding": n(b"Identity-H"), b"DescendantFonts": [Ref(101, 0)], b"ToUnicode": Ref(103, 0)},
+        101: {b"Subtype": n(b"CIDFontType2"), b"FontDescriptor": {b"FontFile2": Ref(102, 0)}, b"DW": 500},
+        102: Stream({}, font()),
+        103: Stream({}, text),
+    }
+    entries = {b"Resources": {b"Font": {b"F": Ref(100, 0)}}}
+    pages = [(b"BT /F 9 Tf <0001> Tj ET", entries), (b"BT /F 9 Tf <00010002> Tj ET", entries)]
+    files = spark.createDataFrame([("d", bytearray(page_file(pages, extra)))], "doc_id string, content binary")
+    glyphs = pdf.table(pdf.parse_files(files), "pdf_glyphs")
+    got = {r.page: (r.level, r.disagreeing) for r in documents.evidence_level(glyphs).collect()}
+    assert got == {0: ("glyph-checked", 0), 1: ("encoding-only", 0)}
