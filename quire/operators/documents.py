@@ -52,16 +52,23 @@ def evidence_level(glyphs: DataFrame) -> DataFrame:
     return seen.groupBy(*PAGE).agg(F.when(sure, "glyph-checked").otherwise("encoding-only").alias("level"), F.count_if(F.col("evidence") == "disagrees").alias("disagreeing"))
 
 
-def match_text(found: DataFrame, intended: DataFrame) -> DataFrame:
+def match_text(found: DataFrame, intended: DataFrame, equivalents: dict[str, str] | None = None, pages: DataFrame | None = None) -> DataFrame:
     """found (doc_id, page, text) against intended (doc_id, page, text): status and counts of kept, missing and extra characters.
 
-    White space is left out on both sides, folds apply to the page's text alone, nothing is normalised. A page without
-    text to compare is unverified.
+    White space is left out on both sides, folds apply to the page's text alone, nothing is normalised. equivalents:
+    characters of the page and what they count as, after the folds. A page without text to compare, or, given the table
+    of pages, one that couldn't be read to its end, is unverified unless its text differs.
     """
-    both = intended.select(*PAGE, texts.strip_white_space(F.col("text")).alias("want")).join(found.select(*PAGE, texts.strip_white_space(texts.fold(F.col("text"))).alias("have")), PAGE, "left")
+    have = texts.fold(F.col("text"))
+    for a, b in (equivalents or {}).items():
+        have = F.replace(have, F.lit(a), F.lit(b))
+    both = intended.select(*PAGE, texts.strip_white_space(F.col("text")).alias("want")).join(found.select(*PAGE, texts.strip_white_space(have).alias("have")), PAGE, "left")
+    if pages is not None:
+        both = both.join(pages.select(*PAGE, "complete"), PAGE, "left")
+    whole = F.coalesce("complete", F.lit(False)) if pages is not None else F.lit(True)
     steps = F.udf(_char_steps, "struct<kept:int,missing:int,extra:int>", useArrow=True)
     differ = both.withColumn("s", F.when(F.col("have").eqNullSafe(F.col("want")), F.struct(F.length("want").alias("kept"), F.lit(0).alias("missing"), F.lit(0).alias("extra"))).otherwise(steps("want", F.coalesce("have", F.lit("")))))
-    status = F.when(F.col("have").isNull() & (F.length("want") > 0), "unverified").when(F.col("s.missing") + F.col("s.extra") == 0, "match").otherwise("mismatch")
+    status = F.when(F.col("have").isNull() & (F.length("want") > 0), "unverified").when(F.col("s.missing") + F.col("s.extra") > 0, "mismatch").when(whole, "match").otherwise("unverified")
     return differ.select(*PAGE, status.alias("status"), "s.kept", "s.missing", "s.extra")
 
 

@@ -134,11 +134,30 @@ def _curve(tag: bytes, x: np.ndarray) -> np.ndarray:
     return np.interp(x, np.linspace(0, 1, len(table)), table) if table else np.power(x, gamma) if gamma else x
 
 
-def transform(source: Profile, target: Profile, intent: str = "relative"):
-    """A function of device colours (rows, 0 to 1). Paper white stays free of ink but for the absolute intent."""
+def black_point(p: Profile, intent: str) -> float:
+    """The luminance of the darkest neutral that a profile reproduces."""
+    if p.head["space"] == "RGB":
+        dark = p.to_lab(np.zeros((1, 3)), intent)
+    elif p._table("B2A", intent) and p._table("A2B", intent):
+        dark = p.to_lab(p.from_lab(np.zeros((1, 3)), intent), intent)  # what black comes to in ink and back
+    else:
+        return 0.0
+    return float(xyz(np.array([[np.clip(dark[0, 0], 0, 50), 0.0, 0.0]]))[0, 1])
+
+
+def transform(source: Profile, target: Profile, intent: str = "relative", compensate: bool = False):
+    """A function of device colours (rows, 0 to 1). Paper white stays free of ink but for the absolute intent.
+
+    compensate: the source's black is brought to the target's by a straight line in XYZ that leaves white in place.
+    """
+    low, high = (black_point(source, intent), black_point(target, intent)) if compensate and intent != "absolute" else (0.0, 0.0)
+    scale = (1 - high) / (1 - low)
 
     def run(x: np.ndarray) -> np.ndarray:
-        out = target.from_lab(source.to_lab(x, intent), intent)
+        v = source.to_lab(x, intent)
+        if low != high:
+            v = lab(xyz(v) * scale + (1 - scale) * D50)
+        out = target.from_lab(v, intent)
         if intent != "absolute" and source.head["space"] == "RGB" and target.head["space"] == "CMYK":
             out[(x == 1).all(1)] = 0
         return out

@@ -42,6 +42,9 @@ def test_profiles():
     t = icc.transform(p, icc.Profile(cmyk_profile()))
     out = t(np.array([[1.0, 1, 1], [0, 0, 0], [0.5, 0.5, 0.5]]))
     assert (out[0] == 0).all() and out[1, 3] == pytest.approx(1, abs=0.01) and 0.3 < out[2, 3] < 0.6
+    assert icc.black_point(p, "relative") == pytest.approx(0, abs=1e-6)
+    same = icc.transform(p, icc.Profile(cmyk_profile()), compensate=True)(np.array([[0.2, 0.5, 0.7]]))
+    assert np.allclose(same, t(np.array([[0.2, 0.5, 0.7]])))
     x = np.random.default_rng(0).random((50, 3))
     plane = np.fromfunction(lambda i, j, k: i + 2 * j + 3 * k, (4, 4, 4))[..., None] / 3
     want = (x @ [1.0, 2, 3])[:, None]

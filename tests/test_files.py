@@ -267,3 +267,12 @@ def test_private_data_and_double_keys_are_compared(spark):
     t = [pdf.table(records, f"pdf_{n}") for n in ("pages", "fonts", "nodes", "warnings")]
     got = documents.compare(spark.createDataFrame([("a", "b")], "a string, b string"), *t).collect()
     assert sorted((r.kind, r.path) for r in got) == [("duplicate-keys", ""), ("page-piece", "/PieceInfo/App/V")]
+
+
+def test_matching_with_equivalents_and_incomplete_pages(spark):
+    found = spark.createDataFrame([("a", 0, "x y"), ("a", 1, "same"), ("a", 2, "same")], "doc_id string, page int, text string")
+    want = spark.createDataFrame([("a", 0, "xz"), ("a", 1, "same"), ("a", 2, "same"), ("a", 3, "none there")], "doc_id string, page int, text string")
+    pages = spark.createDataFrame([("a", 0, True), ("a", 1, True), ("a", 2, False), ("a", 3, True)], "doc_id string, page int, complete boolean")
+    said = lambda **k: {r.page: r.status for r in documents.match_text(found, want, **k).collect()}
+    assert said() == {0: "mismatch", 1: "match", 2: "match", 3: "unverified"}
+    assert said(equivalents={"y": "z"}, pages=pages) == {0: "match", 1: "match", 2: "unverified", 3: "unverified"}
