@@ -23,7 +23,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
 from . import automaton
-from .common import columns, most_frequent
+from .common import columns, give_back, most_frequent
 
 #: Fixed value: the split of byte-level BPE into words, in the notation of the tokenizers' documentation. splitter() writes it for re.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -33,7 +33,7 @@ NEVER = np.int32(2**31 - 1)
 #: Longer words are merged one by one with a heap.
 WIDE = 48
 #: Entries of a worker's memo and of its counts; beyond that they are emptied (counts: sent on).
-MEMO = 200_000
+MEMO = 100_000
 
 
 def splitter() -> re.Pattern:
@@ -279,7 +279,7 @@ def spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(end[-1] if len(end) else 0) + np.repeat(start - end + count, count)
 
 
-def groups(texts: Iterator[str | None], most: int = 2_000_000) -> Iterator[list[str]]:
+def groups(texts: Iterator[str | None], most: int = 500_000) -> Iterator[list[str]]:
     """Texts in lists of about that many characters; null counts as empty."""
     out, n = [], 0
     for t in texts:
@@ -323,6 +323,7 @@ def _counts(vocab_path: str, most: int = MEMO):
                 if len(held) > most:
                     yield send()
         yield send()
+        give_back()
 
     return counts
 
@@ -350,16 +351,20 @@ def compile_lexicon(docs: DataFrame, vocab_path: str, text_col: str = "text", si
 
 def _coded(vocab_path: str, name: str, digests: bool):
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = _once(("coder", vocab_path, name), lambda: Coder(Vocabulary(vocab_path), automaton.Lexicon(SparkFiles.get(name))))
+        c = Coder(_once(("vocabulary", vocab_path), lambda: Vocabulary(vocab_path)), automaton.Lexicon(SparkFiles.get(name)))
         for batch in batches:
-            n, ids, text = [], [], []
-            for group in groups(t.as_py() for t in batch.column("text")):
+            keep = [i for i, f in enumerate(batch.schema.names) if f != "text"]
+            at = 0
+            for group in groups(t.as_py() for t in batch.column("text")):  # ids take more room than their texts, so each group is sent on by itself
+                n, ids, text = [], [], []
                 for found, decoded in c.run(group):
                     n.append(found.count(",") + 1 if found else 0)
                     ids.append(hashlib.sha256(found.encode()).hexdigest() if digests else found)
                     text.append(hashlib.sha256(decoded.encode()).hexdigest() if digests else decoded)
-            keep = [i for i, f in enumerate(batch.schema.names) if f != "text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], [*[batch.schema.names[i] for i in keep], "n_tokens", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(at, len(group)) for i in keep], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], [*[batch.schema.names[i] for i in keep], "n_tokens", "ids", "decoded"])
+                at += len(group)
+        del c
+        give_back()
 
     return coded
 

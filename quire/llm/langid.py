@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .bpe import groups
-from .common import columns
+from .common import columns, give_back
 
 #: Letters of a word that are scored together; longer words are cut.
 WIDE = 24
 LONGEST = 10
 BASE = np.uint64(0x9E3779B97F4A7C15)
 LETTERS = re.compile(r"[^\W\d_]+")
-MEMO = 250_000
+MEMO = 100_000
 
 
 def pieces(path: str) -> list[str]:
@@ -125,7 +125,7 @@ def _alike(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     start = np.cumsum(size) - size
     for n in np.unique(size).tolist():
         which = np.flatnonzero(size == n)
-        for part in np.array_split(which, -(-len(which) // 20_000)):
+        for part in np.array_split(which, -(-len(which) // 5_000)):
             m = np.full((len(part), n + 1), ord("▁"), np.uint32)
             m[:, 1:] = letters[start[part, None] + np.arange(n)]
             yield part, m
@@ -218,6 +218,8 @@ def _predict(model: Model):
         for batch in batches:
             found = [x for g in groups(t.as_py() for t in batch.column("text")) for x in scorer.run(g)]
             yield batch.append_column("lang_pred", pa.array([a for a, _ in found], pa.string())).append_column("score", pa.array([b for _, b in found], pa.float64()))
+        del scorer
+        give_back()
 
     return predict
 
