@@ -1,19 +1,25 @@
 """Line dedup by pairwise alignment.
 
 Documents that share rare lines are aligned line by line with patience diff; blocks of lines that both have, in the same
-order, are deleted from the later one.
+order, are deleted from the later one. Of frequent lines, what the first holder leaves is tried against the other holders.
 """
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import written
+from .common import small, written
+
+#: A factor of the hashes of runs of lines, and its inverse modulo 2 ** 64.
+FACTOR = 0x9E3779B97F4A7C15
+INVERSE = pow(FACTOR, -1, 2**64)
 
 
 def _longest_rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -103,12 +109,123 @@ def _align(least: int):
     return align
 
 
+def windows(hashes: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of the shortest runs of lines with the least number of words that start or end at each line.
+
+    Whatever block of so many words two documents have in common, such runs that both have cover it.
+    """
+    n, total = len(hashes), np.concatenate([[0], np.cumsum(words)])
+    start = np.concatenate([np.arange(n), np.searchsorted(total, total[1:] - least, "right") - 1])
+    end = np.concatenate([np.searchsorted(total, total[:-1] + least, "left"), np.arange(1, n + 1)])
+    fits = (start >= 0) & (end <= n)
+    start, end = np.unique(np.stack([start[fits], end[fits]]), axis=1) if fits.any() else (start[:0], end[:0])
+    power = lambda x: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, x, np.uint64)]))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes.view(np.uint64) * power(FACTOR)[:n], dtype=np.uint64)])
+    key = (sums[end] - sums[start]) * power(INVERSE)[start] + (end - start).astype(np.uint64) * np.uint64(FACTOR)
+    return key.view(np.int64), start, end
+
+
+def _left(gone: list[int] | None, n: int) -> np.ndarray:
+    """The number of lines that are not gone, before each place."""
+    kept = np.ones(n, np.int64)
+    kept[gone or []] = 0
+    return np.concatenate([[0], np.cumsum(kept)])
+
+
+def _frequent_windows(least: int):
+    """Those that consist of frequent and blank lines; open: not deleted whole."""
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {"w": [], "start": [], "stop": [], "open": []}
+            for h, n, often, gone in zip(*[batch.column(c) for c in ("hashes", "words", "often", "gone")], strict=True):
+                h, n = h.values.to_numpy(), n.values.to_numpy()
+                w, start, end = windows(h, n, least)
+                other = np.concatenate([[0], np.cumsum((n > 0) & ~np.isin(h, often.values.to_numpy()))])
+                ok = other[end] == other[start]
+                left = _left(gone.as_py(), len(h))
+                for c, x in zip(out, (w, start, end, left[end] > left[start]), strict=True):
+                    out[c].append(x[ok].tolist())
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("key"), *[pa.array(x, pa.list_(k)) for x, k in zip(out.values(), kinds, strict=True)]], ["rid", "key", *out])
+
+    return frequent
+
+
+def _still_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for runs, gone in zip(batch.column("runs").to_pylist(), batch.column("gone").to_pylist(), strict=True):
+            left = _left(gone, max([r["stop"] for r in runs] + [k + 1 for k in gone or []]))
+            out.append([r for r in runs if left[r["stop"]] > left[r["start"]]])
+        yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("key"), pa.array(out, batch.schema.field("runs").type)], ["rid", "key", "runs"])
+
+
+def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A digest of a document's lines, in which runs of lines that no other document has are all the same."""
+    for batch in batches:
+        found = []
+        for h, n, shared in zip(*[batch.column(c) for c in ("hashes", "words", "shared")], strict=True):
+            h, n = h.values.to_numpy(), n.values.to_numpy()
+            own = (n > 0) & ~np.isin(h, shared.values.to_numpy())
+            keep = ~own | np.concatenate([[True], ~own[:-1]])
+            found.append(hashlib.blake2b(np.where(own, 0, h)[keep].tobytes() + own[keep].tobytes(), digest_size=16).digest())
+        yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(found, pa.binary())], ["rid", "outline"])
+
+
+def _deleted(pairs: DataFrame, seq: DataFrame, least_words: int) -> DataFrame:
+    """(rid, gone): for each pair (first, rid) that has any, the places to delete."""
+    # Inner joins, and no operator after them needs a key together: AQE may split the rows of a document that many others follow.
+    both = pairs.join(seq.select(F.col("rid").alias("first"), F.col("hashes").alias("a")), "first").join(seq.select("rid", F.col("hashes").alias("b"), "words"), "rid")
+    return written(both.select("rid", "a", "b", "words").mapInArrow(_align(least_words), "rid long, gone array<int>").filter(F.size("gone") > 0), "gone")
+
+
+def _places(gone: DataFrame) -> DataFrame:
+    return gone.select("rid", F.explode("gone").alias("k")).groupBy("rid").agg(F.collect_set("k").alias("gone"))
+
+
+def _left_by_first(seq: DataFrame, shared: DataFrame, gone: DataFrame, rare: int, least_words: int) -> DataFrame:
+    """gone, with what other holders than the first delete of blocks of frequent lines.
+
+    A shortest run of lines of least_words words that is not deleted whole is tried against every earlier holder of that
+    run. Of holders that differ in lines of their own alone the first stands for all: the others align as it does.
+    Holders are taken in order, each time four times as many, by the documents that still have such runs.
+    """
+    known = shared.groupBy("rid").agg(F.collect_list("h").alias("shared"), F.collect_list(F.when(F.col("n") > rare, F.col("h"))).alias("often"))
+    known = written(known.filter(F.size("often") > 0), "known")
+    kind = f"rid long, key {seq.schema['key'].dataType.simpleString()}"
+    asked = seq.join(known.select("rid", "often"), "rid").join(_places(gone), "rid", "left").select("rid", "key", "hashes", "words", "often", "gone")
+    runs = written(asked.mapInArrow(_frequent_windows(least_words), f"{kind}, w array<long>, start array<int>, stop array<int>, open array<boolean>").filter(F.size("w") > 0), "runs")
+    each = runs.select("rid", "key", F.explode(F.arrays_zip("w", "start", "stop", "open")).alias("run")).select("rid", "key", "run.*")
+    span = each.groupBy("w").agg(F.min("key").alias("first"), F.max(F.when(F.col("open"), F.col("key"))).alias("last"))
+    span = written(span.filter(F.col("last") > F.col("first")).select("w", "first"), "spans")
+    left = each.filter("open").join(small(span), "w").filter(F.col("key") > F.col("first"))
+    left = written(left.groupBy("rid", "key").agg(F.collect_list(F.struct("w", "start", "stop")).alias("runs")), "left")
+    held = written(each.select("w", "rid", "key").join(small(span.select("w")), "w").distinct(), "holders")
+    need = seq.join(small(held.select("rid").distinct()), "rid", "left_semi").join(known.select("rid", "shared"), "rid")
+    outline = need.select("rid", "hashes", "words", "shared").mapInArrow(_outline, "rid long, outline binary")
+    reps = held.join(outline, "rid").groupBy("w", "outline").agg(F.min("key").alias("key"))
+    reps = written(reps.select("w", F.col("key").alias("rep"), F.row_number().over(Window.partitionBy("w").orderBy("key")).alias("nth")), "reps")
+    most = reps.agg(F.max("nth")).first()[0] or 0
+    low, high = 1, 4
+    while low <= most and left.limit(1).count():
+        tried = left.select("rid", "key", F.explode("runs.w").alias("w")).distinct().join(reps.filter(F.col("nth").between(low, high)), "w")
+        pairs = tried.filter(F.col("rep") < F.col("key")).select(F.col("rep.rid").alias("first"), "rid").distinct()
+        more = _deleted(pairs, seq, least_words)
+        gone = gone.unionByName(more)
+        still = left.join(_places(more), "rid", "left").select("rid", "key", "runs", "gone").mapInArrow(_still_open, left.schema)
+        left = written(still.filter(F.size("runs") > 0), "left")
+        low, high = high + 1, 4 * high
+    return gone
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 5, rare: int = 5) -> DataFrame:
     """The rows of docs, as a struct `row`, the text without the blocks that an earlier document has; and lines, deleted.
 
     Earlier is the lower id (null first); rows with equal ids follow one another as they are read. A line that at most
     `rare` documents hold pairs each with every earlier one; any more frequent line pairs its holders with the first of
-    them, so that none goes unused and pairs grow with the lines, not with their square. Blocks of fewer than
+    them, and what that leaves of its blocks is tried against the others: the result is that of all pairs, while pairs
+    grow with the lines wherever the first holder has the block in the same order. Blocks of fewer than
     least_words words stay; blank lines count no words. Null text stays null; a text that is wholly a copy becomes
     empty; the row stays. An empty table gives an empty result.
     """
@@ -125,10 +242,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = few.alias("a").join(few.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.key") < F.col("b.key"))).select(F.col("a.rid").alias("first"), F.col("b.rid").alias("rid"))
     far = shared.filter((F.col("n") > rare) & (F.col("first") < F.col("key"))).select(F.col("first.rid").alias("first"), "rid")
     pairs = near.unionByName(far).distinct()
-    # Inner joins, and no operator after them needs a key together: AQE may split the rows of a document that many others follow.
-    both = pairs.join(seq.select(F.col("rid").alias("first"), F.col("hashes").alias("a")), "first").join(seq.select("rid", F.col("hashes").alias("b"), "words"), "rid")
-    gone = both.select("rid", "a", "b", "words").mapInArrow(_align(least_words), "rid long, gone array<int>").filter(F.size("gone") > 0)
-    gone = gone.select("rid", F.explode("gone").alias("k")).groupBy("rid").agg(F.collect_set("k").alias("gone"))
+    gone = _places(_left_by_first(seq, shared, _deleted(pairs, seq, least_words), rare, least_words))
     out = rows.join(gone.hint("shuffle_hash"), "rid", "left")
     none = F.array().cast("array<int>")
     kept = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n"))

@@ -2,7 +2,7 @@
 
 import random
 
-from quire.llm import ngramjoin
+from quire.llm import linededup, ngramjoin
 
 from .helpers import shingle_set, smallest_linked
 
@@ -35,3 +35,37 @@ def test_jaccard_groups_of_families_of_unequal_sizes(spark):
     got = {r.doc_id: r.component_id for r in ngramjoin.jaccard_groups(spark.createDataFrame(every, "doc_id long, text string")).collect()}
     wrong = sorted({k // 100 for k in want if got[k] != want[k]})
     assert not wrong, f"{len(wrong)} families"
+
+
+# ------------------------------------------------------------------ line dedup
+
+
+def by_all_pairs(docs, least=5):
+    """Each text without what any earlier one deletes."""
+    split = [t.split("\n") for t in docs]
+    out = []
+    for k, b in enumerate(split):
+        gone = {p for a in split[:k] for p in linededup.common_blocks(a, b, [len(x.split()) for x in b], least)}
+        out.append("\n".join(x for p, x in enumerate(b) if p not in gone))
+    return out
+
+
+def test_frequent_lines_are_tried_against_every_holder(spark):
+    p, q = "one line of five words", "another line of six words here"
+    docs = [f"{p}\n{q}", f"{q}\n{p}"] + [f"own {k} a\n{q}\n{p}\nown {k} b" for k in range(8)] + [f"{p}\nodd\n{p}", f"{p}\nodd\n{p}\nown c"]
+    got = linededup.dedup_lines(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).select("row.*").collect()
+    want = by_all_pairs(docs)
+    assert want[2] == "own 0 a\nown 0 b"
+    assert {r.doc_id: r.text for r in got} == dict(enumerate(want))
+
+
+def test_line_dedup_is_that_of_all_pairs(spark):
+    rng = random.Random(9)
+    for size in (1, 3):
+        pool = ["", " ", "a", "b c", "d e f", "g h i j", *[f"frequent line number {k} of them" for k in range(5)]] + [f"seldom {k}" for k in range(10)]
+        pool = pool if size == 1 else pool[:8]
+        docs = []
+        for k in range(150):
+            docs.append("\n".join(rng.choice([*pool, f"own {k}"]) for _ in range(rng.randint(1, 5 * size))))
+        got = linededup.dedup_lines(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)).select("row.*").collect()
+        assert {r.doc_id: r.text for r in got} == dict(enumerate(by_all_pairs(docs)))
