@@ -194,8 +194,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
     Leaders go to the shards of their two nearest centroids; each shard builds a robust-pruned graph, a leader's links
     from all its shards are united, and a range-expanding greedy search from each shard's medoid finds the leaders
     near enough for links. By the balls' radii two balls link wholly, not at all, or are compared member by member,
-    in blocks. The found links are audited against brute force for a bounded sample; below the target the beams are
-    doubled and the graphs built again.
+    in blocks. The found links are audited against brute force for a bounded sample; below the target the beams and
+    the shards of a leader are doubled and the graphs built again, and if that ends below it too, all leaders are
+    compared with one another, in blocks.
     """
     src = columns(vectors, vec_id=F.col(id_col).cast("long"), vec=F.col(vector_col).cast("array<double>")).withColumn("rid", F.monotonically_increasing_id())
     rows = written(src, "vectors")
@@ -206,7 +207,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
     sizes = {r.dim: r.n for r in nodes.groupBy(F.size("vec").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
     middle = {d: centroids(nodes, n, d) for d, n in sizes.items()}
     theta, ball = math.acos(least), math.cos(0.44 * math.acos(least))
-    near = nodes.select("node", "vec", "times").mapInArrow(_assign(middle, 2), "node long, vec array<double>, times long, clusters array<int>")
+    near = nodes.select("node", "vec", "times").mapInArrow(_assign(middle, 1), "node long, vec array<double>, times long, clusters array<int>")
     near = written(near, "assigned")
     # Rows of a cluster, dealt into as many parts as keep each about a shard's size, even if one cluster holds everything.
     held = near.groupBy(F.col("clusters")[0].alias("cluster")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each centroid
@@ -215,14 +216,17 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
     covered = near.select(F.col("clusters")[0].alias("cluster"), salt.alias("salt"), "node", "vec").groupBy("cluster", "salt").applyInPandas(_cover(ball), "node long, leader long, cos double")
     covered = written(covered, "balls")
     stats = covered.join(nodes.select("node", "times"), "node").groupBy("leader").agg(F.min("cos").alias("cos"), F.sum("times").alias("total"))
-    leaders = written(stats.join(near.select(F.col("node").alias("leader"), "vec", "clusters"), "leader").select("leader", "vec", "clusters", "total", F.acos(F.least(F.col("cos"), F.lit(1.0))).alias("radius")), "leaders")
+    leaders = written(stats.join(near.select(F.col("node").alias("leader"), "vec", "clusters"), "leader").select("leader", "vec", "total", F.acos(F.least(F.col("cos"), F.lit(1.0))).alias("radius")), "leaders")
+    many = 2
     while True:
-        pairs = written(_leader_pairs(leaders, theta, degree, beam), "pairs")
+        exact = beam > 512
+        dealt = leaders.withColumn("clusters", F.array(F.size("vec"))) if exact else written(leaders.mapInArrow(_assign(middle, many), "leader long, vec array<double>, total long, radius double, clusters array<int>"), "dealt")
+        pairs = written(_leader_pairs(dealt, theta, degree, beam, exact), "pairs")
         found = _linked(pairs, leaders, covered, nodes, theta, least)
         per_node = written(found[0], "links")
-        if beam >= 512 or audit(nodes, per_node, least) >= target:
+        if exact or audit(nodes, per_node.join(covered, "node"), least) >= target:
             break
-        beam, degree = beam * 2, degree * 2
+        many, beam, degree = many * 2, beam * 2, degree * 2
     comps = components(found[1])
     own = covered.join(comps.withColumnRenamed("node", "leader"), "leader", "left").select("node", F.coalesce("comp", "leader").alias("comp"))
     of_node = written(nodes.select("node", "raw", "least").join(own, "node").join(per_node, "node"), "placed")
@@ -240,8 +244,8 @@ def _lookup(values: dict[int, int], key: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), key)
 
 
-def _leader_pairs(leaders: DataFrame, theta: float, degree: int, beam: int) -> DataFrame:
-    """(a, b, cos) with a < b: leaders met whose balls can hold links."""
+def _leader_pairs(leaders: DataFrame, theta: float, degree: int, beam: int, exact: bool = False) -> DataFrame:
+    """(a, b, cos) with a < b: leaders met whose balls can hold links; exact: every leader meets all of its shard, without a graph."""
     each = leaders.select("leader", "vec", "radius", F.explode("clusters").alias("cluster"))
     held = each.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()
     cuts = {r.cluster: -(-r.n // SHARD) for r in held if r.n > SHARD}
@@ -253,9 +257,12 @@ def _leader_pairs(leaders: DataFrame, theta: float, degree: int, beam: int) -> D
         ids = group["leader"].to_numpy()
         return pd.DataFrame({"leader": ids, "links": [ids[r[r >= 0]] for r in g.links]})
 
-    built = each.groupBy("cluster", "salt").applyInPandas(build, "leader long, links array<long>")
-    united = built.groupBy("leader").agg(F.array_distinct(F.flatten(F.collect_list("links"))).alias("links"))  # two shards a leader
-    held = written(each.join(united, "leader"), "united")
+    if exact:
+        held = each.withColumn("links", F.array().cast("array<bigint>"))
+    else:
+        built = each.groupBy("cluster", "salt").applyInPandas(build, "leader long, links array<long>")
+        united = built.groupBy("leader").agg(F.array_distinct(F.flatten(F.collect_list("links"))).alias("links"))  # a few shards a leader
+        held = written(each.join(united, "leader"), "united")
     asked = held.select(F.col("cluster").alias("cluster"), "leader", "vec", "radius", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.pmod(F.xxhash64("leader"), F.col("salts")).cast("int").alias("block"))
     shards = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
 
@@ -275,7 +282,11 @@ def _leader_pairs(leaders: DataFrame, theta: float, degree: int, beam: int) -> D
         reach = np.minimum(theta + asked["radius"].to_numpy() + radius.max() + 1e-4, math.pi)
         out = []
         for k in range(0, len(q), 1024):
-            for j, near in enumerate(g.within(q[k : k + 1024].astype(np.float32), (2 - 2 * np.cos(reach[k : k + 1024])).astype(np.float32) + np.float32(1e-5), beam), k):
+            if exact:
+                met = (np.flatnonzero(r) for r in q[k : k + 1024] @ x.T >= np.cos(reach[k : k + 1024])[:, None] - 1e-5)
+            else:
+                met = g.within(q[k : k + 1024].astype(np.float32), (2 - 2 * np.cos(reach[k : k + 1024])).astype(np.float32) + np.float32(1e-5), beam)
+            for j, near in enumerate(met, k):
                 cos = x[near] @ q[j]
                 ok = np.arccos(np.clip(cos, -1, 1)) <= theta + asked["radius"].iloc[j] + radius[near] + EPS
                 out += [(min(who[j], ids[n]), max(who[j], ids[n]), c) for n, c in zip(near[ok].tolist(), cos[ok].tolist(), strict=True) if ids[n] != who[j]]
@@ -325,8 +336,9 @@ def _linked(pairs: DataFrame, leaders: DataFrame, covered: DataFrame, nodes: Dat
     return per_node, edges
 
 
-def audit(nodes: DataFrame, per_node: DataFrame, least: float, size: int = 128) -> float:
-    """The share found of all links of a bounded sample of nodes, which is compared with every node."""
+def audit(nodes: DataFrame, per_node: DataFrame, least: float, size: int = 1024) -> float:
+    """The share found of the links of a bounded sample of nodes, which is compared with every node: the mean over the
+    nodes of a ball, then over balls, so that a hot group counts as any other. A node's own copies don't count."""
     rate = F.xxhash64(F.lit(9), "node")
     sample = nodes.select("node", "vec").orderBy(rate).limit(size).collect()
     if not sample:
@@ -337,16 +349,19 @@ def audit(nodes: DataFrame, per_node: DataFrame, least: float, size: int = 128)
         by_dim[d] = np.array([r.node for r in own]), np.array([r.vec for r in own])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, int] = {}
+        total = {d: np.zeros(len(ids), np.int64) for d, (ids, _) in by_dim.items()}
         for batch in batches:
-            for v, t in zip(batch.column("vec"), batch.column("times").to_pylist(), strict=True):
-                x = v.values.to_numpy()
-                if len(x) in by_dim:
-                    ids, q = by_dim[len(x)]
-                    for i in ids[q @ x >= least].tolist():
-                        total[i] = total.get(i, 0) + t
-        yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64()), pa.array(total.values(), pa.int64())], ["node", "n"])
-
-    truth = nodes.select("vec", "times").mapInArrow(count, "node long, n long").groupBy("node").agg((F.sum("n") - 1).alias("n"))
-    row = truth.join(per_node, "node").agg(F.sum(F.least("n", "n_links")), F.sum("n")).first()
-    return 1.0 if not row[1] else row[0] / row[1]
+            times, dim = batch.column("times").to_numpy(), np.array([len(v) for v in batch.column("vec")])
+            for d, (_, q) in by_dim.items():
+                own = np.flatnonzero(dim == d)
+                for at in np.array_split(own, -(-len(own) // 1024)) if len(own) else []:
+                    x = np.stack([batch.column("vec")[int(k)].values.to_numpy() for k in at])
+                    total[d] += times[at] @ (x @ q.T >= least)
+        for d, (ids, _) in by_dim.items():
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[d], pa.int64())], ["node", "n"])
+
+    truth = nodes.select("vec", "times").mapInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    both = truth.join(nodes.select("node", "times"), "node").join(per_node, "node")
+    want, got = F.col("n") - F.col("times"), F.col("n_links") - F.col("times") + 1
+    share = both.filter(want > 0).groupBy("leader").agg(F.avg(F.least(got, want) / want).alias("share")).agg(F.avg("share")).first()[0]
+    return 1.0 if share is None else share

@@ -2,7 +2,9 @@
 
 import random
 
-from quire.llm import linededup, ngramjoin
+import numpy as np
+
+from quire.llm import linededup, ngramjoin, vectors
 
 from .helpers import shingle_set, smallest_linked
 
@@ -69,3 +71,29 @@ def test_line_dedup_is_that_of_all_pairs(spark):
             docs.append("\n".join(rng.choice([*pool, f"own {k}"]) for _ in range(rng.randint(1, 5 * size))))
         got = linededup.dedup_lines(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)).select("row.*").collect()
         assert {r.doc_id: r.text for r in got} == dict(enumerate(by_all_pairs(docs)))
+
+
+# ------------------------------------------------------------------ near-duplicates of vectors
+
+
+def test_links_across_many_centroids(spark):
+    rng = np.random.default_rng(7)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    pairs = unit(rng.normal(size=(3500, 12)))
+    other = unit(rng.normal(size=(3500, 12)))
+    other = unit(other - (other * pairs).sum(1, keepdims=True) * pairs)
+    x = np.concatenate([pairs, pairs * 0.91 + other * np.sqrt(1 - 0.91**2), unit(rng.normal(size=12) + rng.normal(size=(3000, 12)) * 0.02)])
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicates(spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    true = (x @ x.T >= 0.9).sum(1) - 1
+    found = np.array([got[k] for k in range(len(x))])
+    assert (found <= true).all()
+    own = true[:7000] > 0
+    assert (found[:7000][own] / true[:7000][own]).mean() >= 0.98
+
+
+def test_an_audit_that_is_never_met_ends_in_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "audit", lambda *a, **b: 0.0)
+    x = np.random.default_rng(1).normal(size=(600, 5))
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicates(spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "vec_id long, embedding array<double>"), beam=512).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert [got[k] for k in range(600)] == ((u @ u.T >= 0.9).sum(1) - 1).tolist()
