@@ -95,7 +95,7 @@ def pdf_box_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make(r) -> bytes:
         return page_file([(b"", {} if r.size % 3 == 0 else {b"TrimBox": [r.size, r.size, 570 + r.size, 700]})])
 
-    files = made(table(spark, sf_dir, "part").filter("p_partkey <= 400").select(F.col("p_partkey").alias("doc_id"), F.col("p_size").alias("size")), make)
+    files = made(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_size").alias("size")), make)
     t = parsed(files, "pdf_documents", "pdf_pages", "pdf_objects", "pdf_nodes", "pdf_fonts", "pdf_properties")
     return documents.check_rules(*t).filter("rule = 'boxes'").select(F.col("doc_id").cast("long").alias("p_partkey"), "status")
 
