@@ -75,7 +75,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     src = columns(docs, doc_id=id_col, text=text).withColumn("rid", F.monotonically_increasing_id())
-    some = F.contains("text", F.lit("@")) | F.col("text").rlike("[0-9].?.?[0-9]") | F.col("text").rlike(r"(?i)[(\[]at[)\]]| dot ")
+    some = F.contains("text", F.lit("@")) | F.col("text").rlike("[0-9].?.?[0-9]") | F.col("text").rlike(PHONE) | F.col("text").rlike(r"(?i)[(\[]at[)\]]| dot ")
     rows = written(src.select("rid", "doc_id", F.when(some, F.col("text")).alias("text")), "texts")
     held = rows.filter("text is not null")
     each = None

@@ -1,10 +1,11 @@
 """Cases in which an operator once did less than its whole job."""
 
+import hashlib
 import random
 
 import numpy as np
 
-from quire.llm import linededup, ngramjoin, vectors
+from quire.llm import linededup, ngramjoin, pii, vectors
 
 from .helpers import shingle_set, smallest_linked
 
@@ -97,3 +98,12 @@ def test_an_audit_that_is_never_met_ends_in_all_pairs(spark, monkeypatch):
     got = {r.vec_id: r.n_links for r in vectors.near_duplicates(spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "vec_id long, embedding array<double>"), beam=512).collect()}
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     assert [got[k] for k in range(600)] == ((u @ u.T >= 0.9).sum(1) - 1).tolist()
+
+
+# ------------------------------------------------------------------ personal data
+
+
+def test_phones_of_digits_far_apart(spark):
+    text = "+4 - 9 - 1 - 7 - 0 - 1 - 2 - 3 - 4 - 5"
+    (got,) = pii.digest(pii.find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string"))).collect()
+    assert got.n_phone == 1 and got.base_sha256 == hashlib.sha256(f"phone:0:{len(text)}".encode()).hexdigest()
