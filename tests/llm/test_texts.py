@@ -242,9 +242,72 @@ def test_forward_sums_all_segmentations():
 
     for w in ("a", "ab", "abba", "bab", "aé"):
         assert m.score([w])[0, 0] == pytest.approx(np.log(total("▁" + w)))
-    before = m.score(["abba", "ba"]).sum()
-    used = m.expect(*[x for x in [next(iter(m_)) for m_ in [[(mm, np.ones((1, 1)))] for _, mm in langid._alike(["abba"])]]][0]) + 0.0
-    assert used[:-2].sum() > 1 and np.isfinite(before)
+
+
+def test_words_of_any_length_are_summed_whole():
+    vocabulary = ["▁", "a", "b", "ab", "▁a", "ba", "bbab" * 5]
+    m = langid.Model.blank(vocabulary, ["x", "y"])
+    m.p[:-2] = np.random.default_rng(1).random((7, 2)) / 4
+    for word in ("abba", "bbab" * 7, "é" * 40, "ab" * 3000):
+        letters = "▁" + word
+        sums, scale = [np.ones(2)], 0.0
+        for i in range(1, len(letters) + 1):
+            now = sum((sums[i - n] * (m.p[vocabulary.index(x)] if (x := letters[i - n : i]) in vocabulary else 1e-7 if n == 1 else 0) for n in range(1, min(i, 20) + 1)), np.zeros(2))
+            sums.append(now)
+            if now.min() < 1e-100:
+                sums[-21:] = [x / now for x in sums[-21:]]
+                scale = scale + np.log(now)
+        assert m.score([word])[0] == pytest.approx(np.log(sums[-1]) + scale, rel=1e-9)
+    word, weight = np.array([[ord(c) for c in "▁abbabbabab"]], np.uint32), np.array([[2.0, 3.0]])
+    assert np.allclose(m.expect(word, weight), m._long_expect(word[0], weight[0]))
+
+
+def by_enumeration(vocabulary, langs, rows, rounds):
+    """The model's piece probabilities, with every cut of every word listed."""
+    known = {*vocabulary}
+
+    def cuts(w):
+        if not w:
+            yield ()
+        for k in range(1, len(w) + 1):
+            if w[:k] in known or k == 1:
+                yield from ((w[:k], *rest) for rest in cuts(w[k:]))
+
+    p = {lang: dict.fromkeys(vocabulary, 1 / len(vocabulary)) for lang in langs}
+    of = lambda lang, c: np.prod([p[lang].get(x, 1e-7) for x in c])
+    for _ in range(rounds):
+        for lang in langs:
+            used = dict.fromkeys(vocabulary, 0.02)
+            for w in (w for own, text in rows if own == lang for w in re.findall(r"[^\W\d_]+", text.lower())):
+                each = [(c, of(lang, c)) for c in cuts("▁" + w)]
+                for c, x in each:
+                    for piece in c:
+                        if piece in known:
+                            used[piece] += x / sum(y for _, y in each)
+            p[lang] = {x: n / sum(used.values()) for x, n in used.items()}
+    return lambda text: {lang: sum(np.log(sum(of(lang, c) for c in cuts("▁" + w))) for w in re.findall(r"[^\W\d_]+", text.lower())) for lang in langs}
+
+
+def test_identify_against_enumeration(spark, monkeypatch):
+    vocabulary = ["▁", "a", "b", "c", "ab", "▁a", "ba", "▁ca", "bc"]
+    monkeypatch.setattr(langid, "pieces", lambda path: vocabulary)
+    rng = random.Random(3)
+    word = {"xx": "aab", "yy": "bbc"}
+    rows = [(k, " ".join("".join(rng.choice(word[lang] + "abc") for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(1, 6))), lang) for k in range(60) for lang in [rng.choice(["xx", "yy"])]]
+    rows += [(60, "ABBA d1é, cab", None), (61, None, "xx"), (62, "1 2", "yy"), (None, "ab", "yy"), (0, rows[0][1], rows[0][2])]
+    found = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), "none").collect()
+    assert len(found) == len(rows)
+    out = {str(r.doc_id): r.held_out for r in found}
+    fitted = {(i, lang, t) for i, t, lang in rows if lang and t and not out[str(i)]}
+    score = by_enumeration(vocabulary, ["xx", "yy"], [(lang, t) for _, lang, t in fitted], 4)
+    by = {str(r.doc_id): r for r in found}
+    for i, text, _ in rows:
+        if not any(map(str.isalpha, text or "")):
+            assert (by[str(i)].lang_pred, by[str(i)].score) == ("und", 0.0)
+            continue
+        s = score(text)
+        best = max(s, key=s.get)
+        assert by[str(i)].lang_pred == best and by[str(i)].score == pytest.approx(1 / sum(np.exp(x - s[best]) for x in s.values()), abs=1e-4)
 
 
 def test_languages_on_held_out_rows(spark, none):
@@ -260,6 +323,7 @@ def test_languages_of_awkward_rows(docs):
     assert [got[k].lang_pred for k in (500, 501, 502, 503)] == ["und"] * 4
     assert got[504].lang_pred in ("en", "de", "fr") and got[None].held_out is False
     kept = langid.accepted(docs, PIECES)
+    assert langid.accepted(docs.limit(0), PIECES).count() == 0 and kept.filter("doc_id = 0").count() == 3  # repeated rows go alike
     assert kept.columns == docs.columns and not {500, 501, 502, 503} & {r.doc_id for r in kept.collect()}
 
 
