@@ -24,7 +24,7 @@ def levels() -> dict:
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of all tokens, dealt to domains, languages and sources by weight, in at most two epochs."""
     found = mixing.mix(table(spark, sf_dir, "documents"), levels(), WEIGHTS)
-    return found.select("row.doc_id", F.array_join("path", "/").alias("leaf"), F.col("tokens").alias("n_tokens"), F.col("copies").alias("n_copies"), F.col("budget").alias("leaf_budget"))
+    return found.select("row.doc_id", F.array_join("path", "/").alias("leaf"), F.col("tokens").alias("n_tokens"), F.col("copies").alias("n_copies"), F.col("budget").alias("leaf_budget"), F.col("given").alias("leaf_given"))
 
 
 def op2_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:

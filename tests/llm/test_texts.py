@@ -43,13 +43,15 @@ def test_mixing_against_brute_force(spark, docs, none):
     for r in docs.select("lang", "source", mixing.domain_of(docs.source).alias("d"), mixing.tokens_of(docs.text).alias("t")).collect():
         total[r.d, r.lang or "", r.source or ""] += r.t
     plan = mixing.leaf_budgets(total, WEIGHTS, sum(total.values()) // 2, 2)
-    used = Counter()
+    used, given = Counter(), {}
     for r in rows:
         used[tuple(r.path)] += r.tokens * r.copies
+        given[tuple(r.path)] = r.given
         assert 1 <= r.copies <= 2 and r.budget == plan[tuple(r.path)]
-    every = docs.select(docs.doc_id, docs.text, mixing.domain_of(docs.source).alias("d"), docs.lang, docs.source, mixing.tokens_of(docs.text).alias("t"), F_hash(docs)).collect()
+    every = docs.select(docs.doc_id, docs.text, mixing.domain_of(docs.source).alias("d"), docs.lang, docs.source, mixing.tokens_of(docs.text).alias("t"), *[F_hash(docs, e) for e in range(2)]).collect()
     for path, b in plan.items():
-        own = sorted((r for r in every if (r.d, r.lang or "", r.source or "") == path), key=lambda r: (r.h % 2**64, r.doc_id is None, r.doc_id or 0))
+        epoch = b // total[path] if total[path] else 0
+        own = sorted((r for r in every if (r.d, r.lang or "", r.source or "") == path), key=lambda r: (r[f"h{min(epoch, 1)}"] % 2**64, r.doc_id is None, r.doc_id or 0))
         rest, want = b % total[path] if total[path] else 0, (b // total[path] if total[path] else 0) * total[path]
         sofar = 0
         for r in own:
@@ -57,14 +59,32 @@ def test_mixing_against_brute_force(spark, docs, none):
             if sofar > rest:
                 break
             want += r.t
-        assert used[path] == want
+        assert used[path] == want and given.get(path, want) == want
     assert mixing.mix(none, levels(), WEIGHTS).count() == 0
 
 
-def F_hash(docs):
+def F_hash(docs, epoch):
     from pyspark.sql import functions as F
 
-    return F.xxhash64(F.lit(17), docs.doc_id.cast("string")).alias("h")
+    return F.xxhash64(F.lit(17), F.lit(epoch).cast("long"), docs.doc_id.cast("string")).alias(f"h{epoch}")
+
+
+def test_epochs_have_orders_of_their_own(spark):
+    """Of two leaves with the same ids, one gives a half of its first epoch and one all of it and half of a second."""
+    docs = spark.createDataFrame([(k, "a b", lang) for k in range(200) for lang in ("x", "y")], "doc_id long, text string, lang string")
+    got = mixing.mix(docs, {"lang": docs.lang}, {("x",): 1, ("y",): 3}, share=1.0, epochs=2, seed=3).collect()
+    first = {r.row.doc_id for r in got if r.path == ["x"]}
+    second = {r.row.doc_id for r in got if r.path == ["y"] and r.copies == 2}
+    assert len(first) == len(second) == 100 and len(first & second) < 80
+    assert {r.row.doc_id for r in got if r.path == ["y"]} == {*range(200)} and {r.given for r in got} == {200, 600}
+
+
+def test_equal_rows_are_taken_together(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x")] * 5 + [(2, "d", "x"), (3, "", "x"), (4, None, "x")], "doc_id long, text string, lang string")
+    for share in (0.1, 0.5, 0.9, 1.0):
+        got = mixing.mix(docs, {"lang": docs.lang}, {}, share=share, epochs=1).collect()
+        assert sum(r.row.doc_id == 1 for r in got) in (0, 5) and sum(r.tokens for r in got) <= 16 * share
+        assert all(r.given == sum(x.tokens for x in got) for r in got)
 
 
 # ------------------------------------------------------------------ personal data
