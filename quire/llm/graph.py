@@ -98,8 +98,9 @@ class Graph:
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """For each query the rows of a beam, nearest first, and their squared distances; -1 where there are fewer."""
         q = np.ascontiguousarray(q, np.float32)
-        if len(q) > 1024:
-            parts = [self.search(p, beam) for p in np.array_split(q, -(-len(q) // 1024))]
+        most = max(32, min(1024, (1 << 25) // max(1, len(self.x))))  # what has been seen is marked for every query and row
+        if len(q) > most:
+            parts = [self.search(p, beam) for p in np.array_split(q, -(-len(q) // most))]
             return np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
         n = len(q)
         norm = np.einsum("ij,ij->i", q, q)

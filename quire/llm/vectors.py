@@ -14,8 +14,10 @@ from .common import columns, written
 from .components import components
 from .graph import Graph
 
-#: Vectors of a shard, and queries or members of a block.
+#: Vectors that balls are sought among, and members of a block.
 SHARD, BLOCK = 4096, 4096
+#: Bytes that the vectors of a graph's shard, or the queries of a block, may take as doubles, and shards that a small table has.
+SHARD_BYTES, FEW_SHARDS = 1 << 25, 8
 
 
 def usable(embedding: Column) -> Column:
@@ -40,28 +42,35 @@ def _none(**kinds: str) -> pd.DataFrame:
 # ---------------------------------------------------------------------------- nearest neighbours
 
 
+def fitting(dim: int) -> int:
+    """Vectors of dim components that a task holds at a time, with their graph: what memory allows, whatever the table's size."""
+    return max(1024, min(1 << 17, SHARD_BYTES // (8 * max(1, dim))))
+
+
 def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", spare: int = 21, degree: int = 32, beam: int = 64) -> DataFrame:
     """The index as a table: shard, dim, vec, its ids (the `spare` smallest of equal vectors) and its links, by place in the shard.
 
-    Equal vectors are one entry. Shards are dealt by the vector's hash and hold about SHARD entries. For the largest
-    inner product, vectors are lifted to equal length by one more component before distances are taken.
+    Equal vectors are one entry. Shards are dealt by the vector's hash and hold as many entries as memory allows; small
+    tables have a few shards, so that they are built side by side. For the largest inner product, vectors, brought to
+    components of 1 at most, are lifted to equal length by one more component before distances are taken.
     """
     src = columns(vectors, vec_id=F.col(id_col).cast("long"), vec=F.col(vector_col).cast("array<double>")).filter(usable(F.col("vec")) & F.col("vec_id").isNotNull()).distinct()
     nth = F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))
     kept = src.withColumn("nth", nth).filter(F.col("nth") <= spare)  # ids beyond can't be among the nearest: as many smaller ones are as near
     entries = written(kept.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "entries")
-    norm = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
-    size, longest = entries.agg(F.count(F.lit(1)), F.max(norm)).first()
-    shards = max(1, -(-size // SHARD))
+    size, top, dim = entries.agg(F.count(F.lit(1)), F.max(F.array_max(F.transform("vec", F.abs))), F.max(F.size("vec"))).first()
+    norm = F.aggregate("vec", F.lit(0.0), lambda s, x: s + (x / (top or 1.0)) * (x / (top or 1.0)))
+    longest = entries.agg(F.max(norm)).first()[0]
+    shards = max(1, -(-size // fitting(dim or 1)), min(FEW_SHARDS, -(-size // 1024)))
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
-        x = _rows(group["vec"])
+        x = _rows(group["vec"]) / top
         lifted = np.concatenate([x, np.sqrt(np.maximum(longest - (x * x).sum(1), 0))[:, None]], 1)
         g = Graph(lifted, degree, beam)
-        return pd.DataFrame({"shard": group["shard"], "dim": group["dim"], "place": np.arange(len(x)), "entry": g.entry, "extra": lifted[:, -1], "vec": group["vec"], "ids": group["ids"], "links": [r[r >= 0] for r in g.links]})
+        return pd.DataFrame({"shard": group["shard"], "dim": group["dim"], "place": np.arange(len(x)), "entry": g.entry, "top": top, "extra": lifted[:, -1], "vec": group["vec"], "ids": group["ids"], "links": [r[r >= 0] for r in g.links]})
 
     dealt = entries.select(F.pmod(F.xxhash64("vec"), F.lit(shards)).cast("int").alias("shard"), F.size("vec").alias("dim"), "vec", "ids")
-    return dealt.groupBy("shard", "dim").applyInPandas(build, "shard int, dim int, place int, entry int, extra double, vec array<double>, ids array<long>, links array<int>")
+    return dealt.groupBy("shard", "dim").applyInPandas(build, "shard int, dim int, place int, entry int, top double, extra double, vec array<double>, ids array<long>, links array<int>")
 
 
 def _graph(part: pd.DataFrame, lifted: np.ndarray, degree: int) -> Graph:
@@ -73,15 +82,14 @@ def _graph(part: pd.DataFrame, lifted: np.ndarray, degree: int) -> Graph:
     return g
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 20, degree: int = 32, beam: int = 128) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 20, degree: int = 32, beam: int = 128, exact: bool = False) -> DataFrame:
     """query_id, rank, vec_id, score: of each query (query_id, vec) the k nearest entries found by inner product in
-    double precision, ties to the smaller id, without the query's own. A beam searches every shard."""
-    index = written(index, "index")
-    shards = index.select(F.col("shard").alias("to"), F.col("dim").alias("size")).distinct()
-    n = queries.count()
-    blocks = max(1, -(-n // BLOCK))
-    asked = queries.withColumn("dim", F.size("vec")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    asked = asked.join(F.broadcast(shards), F.col("dim") == F.col("size")).select(F.col("to").alias("shard"), "dim", "block", "query_id", "vec")  # every query goes to every shard; a row for each shard
+    double precision, ties to the smaller id, without the query's own. A beam searches every shard; exact: every entry
+    is compared. index and queries are written tables. Shards and blocks of queries are as large as memory allows."""
+    shards, dim = index.agg(F.max("shard"), F.max("dim")).first()
+    blocks = max(1, -(-queries.count() // fitting(dim or 1)))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards or 0))).alias("shard"), F.size("vec").alias("dim"), block.alias("block"), "query_id", "vec")  # every query goes to every shard
     held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def find(part: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
@@ -89,8 +97,13 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20, degree: int = 32,
             return _none(query_id="int64", vec_id="int64", score="float64")
         part = part.sort_values("place", ignore_index=True)
         x, q = _rows(part["vec"]), _rows(asked["vec"])
-        g = _graph(part, np.concatenate([x, part["extra"].to_numpy()[:, None]], 1), degree)
-        near, _ = g.search(np.concatenate([q, np.zeros((len(q), 1))], 1), max(beam, 2 * k))
+        most = max(beam, 2 * k)
+        if exact:
+            near = np.concatenate([_top(q[at : at + 256] @ x.T, most) for at in range(0, len(q), 256)])
+        else:
+            g = _graph(part, np.concatenate([x / part["top"].iloc[0], part["extra"].to_numpy()[:, None]], 1), degree)
+            size = np.maximum(np.abs(q).max(1, keepdims=True), 1e-300)  # a query's length doesn't change what is nearest
+            near, _ = g.search(np.concatenate([q / size, np.zeros((len(q), 1))], 1), most)
         ids, out = part["ids"].to_numpy(), []
         for who, v, row in zip(asked["query_id"].to_numpy(), q, near, strict=True):
             row = row[row >= 0]
@@ -111,15 +124,44 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20, degree: int = 32,
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", beam: int = 128) -> DataFrame:
+def _top(score: np.ndarray, most: int) -> np.ndarray:
+    """The places of the largest scores of each row, and of those that tie with the last of them, -1 beyond."""
+    if score.shape[1] <= most:
+        return np.broadcast_to(np.arange(score.shape[1]), score.shape)
+    least = np.partition(score, -most, axis=1)[:, -most]
+    rows = [np.flatnonzero(r >= x) for r, x in zip(score, least, strict=True)]
+    out = np.full((len(rows), max(map(len, rows))), -1, np.int64)
+    for k, r in enumerate(rows):
+        out[k, : len(r)] = r
+    return out
+
+
+def recall(index: DataFrame, queries: DataFrame, found: DataFrame, k: int = 20, size: int = 64) -> float:
+    """The share of the k best scores that found has, by comparing a bounded sample of queries, those with the lowest hashes, with every entry."""
+    sample = written(queries.orderBy(F.xxhash64(F.lit(9), "query_id"), "query_id").limit(size), "sample")
+    best = search(index, sample, k, exact=True).select("query_id", "rank", F.col("score").alias("best"))
+    ranked = found.select("query_id", "rank", "score")
+    got = best.join(ranked, ["query_id", "rank"], "left").agg(F.count(F.lit(1)), F.count(F.when(F.col("score") >= F.col("best") - F.abs("best") * 1e-12, 1)))
+    total, same = got.first()
+    return same / total if total else 1.0
+
+
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", beam: int = 128, target: float = 0.95) -> DataFrame:
     """search() of the rows whose id is divisible by `every` against all rows.
 
     Unusable vectors and rows without an id take no part. Rows that agree in id and vector count once; vectors of other
-    lengths than a query's are no candidates for it. An empty table gives an empty result.
+    lengths than a query's are no candidates for it. An empty table gives an empty result. A bounded sample of the
+    queries is held against brute force: below the target the beam is four times as wide, and after that every
+    entry is compared.
     """
     q = columns(vectors, query_id=F.col(id_col).cast("long"), vec=F.col(vector_col).cast("array<double>"))
-    q = q.filter((F.col("query_id") % every == 0) & usable(F.col("vec"))).distinct()
-    return search(build_index(vectors, id_col, vector_col, k + 1), q, k, beam=beam)
+    q = written(q.filter((F.col("query_id") % every == 0) & usable(F.col("vec"))).distinct(), "queries")
+    index = written(build_index(vectors, id_col, vector_col, k + 1), "index")
+    for width in (beam, 4 * beam):
+        found = written(search(index, q, k, beam=width), "nearest")
+        if recall(index, q, found, k) >= target:
+            return found
+    return search(index, q, k, exact=True)
 
 
 # ---------------------------------------------------------------------------- near-duplicates
@@ -203,7 +245,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
     good = rows.filter(usable(F.col("vec")))
     length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
     nodes = good.groupBy("vec").agg(F.count(F.lit(1)).alias("times"), F.min("vec_id").alias("least")).withColumn("node", F.monotonically_increasing_id())
-    nodes = written(nodes.withColumn("raw", F.col("vec")).withColumn("length", length).withColumn("vec", F.transform("vec", lambda x: x / F.col("length"))).drop("length"), "nodes")
+    # Components whose squares would vanish or overflow are first brought to 1 at most.
+    top = F.array_max(F.transform("vec", F.abs))
+    nodes = nodes.withColumn("raw", F.col("vec")).withColumn("top", F.when(length.between(1e-140, 1e140), 1.0).otherwise(top)).withColumn("vec", F.transform("vec", lambda x: x / F.col("top")))
+    nodes = written(nodes.withColumn("length", length).withColumn("vec", F.transform("vec", lambda x: x / F.col("length"))).drop("length", "top"), "nodes")
     sizes = {r.dim: r.n for r in nodes.groupBy(F.size("vec").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
     middle = {d: centroids(nodes, n, d) for d, n in sizes.items()}
     theta, ball = math.acos(least), math.cos(0.44 * math.acos(least))
@@ -215,12 +260,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
     salt = F.pmod(F.xxhash64("node"), F.coalesce(_lookup(cuts, F.col("clusters")[0]), F.lit(1))).cast("int")
     covered = near.select(F.col("clusters")[0].alias("cluster"), salt.alias("salt"), "node", "vec").groupBy("cluster", "salt").applyInPandas(_cover(ball), "node long, leader long, cos double")
     covered = written(covered, "balls")
-    stats = covered.join(nodes.select("node", "times"), "node").groupBy("leader").agg(F.min("cos").alias("cos"), F.sum("times").alias("total"))
-    leaders = written(stats.join(near.select(F.col("node").alias("leader"), "vec", "clusters"), "leader").select("leader", "vec", "total", F.acos(F.least(F.col("cos"), F.lit(1.0))).alias("radius")), "leaders")
+    stats = covered.join(nodes.select("node", "times"), "node").groupBy("leader").agg(F.min("cos").alias("cos"), F.sum("times").alias("total"), F.count(F.lit(1)).alias("members"))
+    leaders = written(stats.join(near.select(F.col("node").alias("leader"), "vec", "clusters"), "leader").select("leader", "vec", "total", "members", F.acos(F.least(F.col("cos"), F.lit(1.0))).alias("radius")), "leaders")
     many = 2
     while True:
         exact = beam > 512
-        dealt = leaders.withColumn("clusters", F.array(F.size("vec"))) if exact else written(leaders.mapInArrow(_assign(middle, many), "leader long, vec array<double>, total long, radius double, clusters array<int>"), "dealt")
+        dealt = leaders.withColumn("clusters", F.array(F.size("vec"))) if exact else written(leaders.mapInArrow(_assign(middle, many), "leader long, vec array<double>, total long, members long, radius double, clusters array<int>"), "dealt")
         pairs = written(_leader_pairs(dealt, theta, degree, beam, exact), "pairs")
         found = _linked(pairs, leaders, covered, nodes, theta, least)
         per_node = written(found[0], "links")
@@ -247,8 +292,8 @@ def _lookup(values: dict[int, int], key: Column) -> Column:
 def _leader_pairs(leaders: DataFrame, theta: float, degree: int, beam: int, exact: bool = False) -> DataFrame:
     """(a, b, cos) with a < b: leaders met whose balls can hold links; exact: every leader meets all of its shard, without a graph."""
     each = leaders.select("leader", "vec", "radius", F.explode("clusters").alias("cluster"))
-    held = each.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()
-    cuts = {r.cluster: -(-r.n // SHARD) for r in held if r.n > SHARD}
+    held = each.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.first(F.size("vec")).alias("dim")).collect()  # a row for each centroid
+    cuts = {r.cluster: -(-r.n // fitting(r.dim)) for r in held if r.n > fitting(r.dim)}
     count = F.coalesce(_lookup(cuts, F.col("cluster")), F.lit(1))
     each = written(each.withColumn("salt", F.pmod(F.xxhash64("leader"), count).cast("int")).withColumn("salts", count), "shards")
 
@@ -298,8 +343,8 @@ def _leader_pairs(leaders: DataFrame, theta: float, degree: int, beam: int, exac
 
 def _linked(pairs: DataFrame, leaders: DataFrame, covered: DataFrame, nodes: DataFrame, theta: float, least: float) -> tuple[DataFrame, DataFrame]:
     """(node, n_links) for every node, and the links (u, v) between leaders."""
-    ball = leaders.select("leader", "radius", "total")
-    side = lambda s: ball.select(F.col("leader").alias(s), F.col("radius").alias(f"radius_{s}"), F.col("total").alias(f"total_{s}"))
+    ball = leaders.select("leader", "radius", "total", "members")
+    side = lambda s: ball.select(F.col("leader").alias(s), F.col("radius").alias(f"radius_{s}"), F.col("total").alias(f"total_{s}"), F.ceil(F.col("members") / BLOCK).alias(f"blocks_{s}"), F.col("members").alias(f"members_{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("angle", F.acos(F.least(F.greatest("cos", F.lit(-1.0)), F.lit(1.0))))
     alone = (F.col("radius_a") == 0) & (F.col("radius_b") == 0)
     both = both.withColumn("whole", F.when(alone, F.col("cos") >= least).otherwise(F.col("angle") + F.col("radius_a") + F.col("radius_b") <= theta - EPS))
@@ -308,7 +353,7 @@ def _linked(pairs: DataFrame, leaders: DataFrame, covered: DataFrame, nodes: Dat
     gained = whole.select(F.col("a").alias("leader"), F.col("total_b").alias("n")).unionByName(whole.select(F.col("b").alias("leader"), F.col("total_a").alias("n"))).groupBy("leader").agg(F.sum("n").alias("n"))
     # Balls that link in part: members against members, a block of each side at a time.
     member = covered.join(nodes.select("node", "vec", "times"), "node").select("leader", "node", "vec", "times")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("total") / BLOCK)).cast("int")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     mixed = both.filter("mixed")
     wide = leaders.select("leader", blocks.alias("blocks"))
     member = member.join(wide, "leader").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -318,17 +363,33 @@ def _linked(pairs: DataFrame, leaders: DataFrame, covered: DataFrame, nodes: Dat
     left = left.join(many("b"), "b").withColumn("block_b", F.explode(F.sequence(F.lit(0), F.col("other") - 1))).drop("other")
     right = right.join(many("a"), "a").withColumn("block_a", F.explode(F.sequence(F.lit(0), F.col("other") - 1))).drop("other")
 
-    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        none = _none(a="int64", b="int64", node="int64", n="int64")
-        if x.empty or y.empty:
-            return none
-        u, v = _rows(x["vec"]), _rows(y["vec"])
-        near = u @ v.T >= least
-        out = pd.DataFrame({"a": x["a"].iloc[0], "b": x["b"].iloc[0], "node": np.concatenate([x["node"], y["node"]]), "n": np.concatenate([near @ y["times"].to_numpy(), x["times"].to_numpy() @ near])})
-        return out[out["n"] > 0]
-
-    keys = ["a", "b", "block_a", "block_b"]
-    counted = written(_fresh(left).groupBy(*keys).cogroup(_fresh(right).groupBy(*keys)).applyInPandas(compare, "a long, b long, node long, n long"), "mixed")
+    rows = left.select("a", "b", "block_a", "block_b", F.lit(0).alias("side"), "node", "vec", "times").unionByName(right.select("a", "b", "block_a", "block_b", F.lit(1).alias("side"), "node", "vec", "times"))
+    # Many pairs of balls are compared in a group; one pair of blocks stays together.
+    size = mixed.agg(F.sum(F.col("members_a") * F.col("blocks_b") + F.col("members_b") * F.col("blocks_a"))).first()[0] or 0
+    groups = max(1, -(-size // (4 * BLOCK)))
+    rows = rows.withColumn("deal", F.pmod(F.xxhash64("a", "b", "block_a", "block_b"), F.lit(groups)))
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["a", "b", "block_a", "block_b", "side"], kind="stable", ignore_index=True)
+        keys = group[["a", "b", "block_a", "block_b"]].to_numpy()
+        begin = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]))
+        which, node, times, vec = (group[c].to_numpy() for c in ("side", "node", "times", "vec"))
+        out: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+        for i, j in zip(begin, [*begin[1:], len(group)], strict=True):
+            m = i + int((which[i:j] == 0).sum())
+            if m in (i, j):
+                continue
+            near = np.stack(vec[i:m]) @ np.stack(vec[m:j]).T >= least
+            n = np.concatenate([near @ times[m:j], times[i:m] @ near])
+            some = np.flatnonzero(n)
+            if len(some):
+                out.append((keys[i, 0], keys[i, 1], node[i:j][some], n[some]))
+        if not out:
+            return _none(a="int64", b="int64", node="int64", n="int64")
+        sizes = [len(x) for _, _, x, _ in out]
+        return pd.DataFrame({"a": np.repeat([x[0] for x in out], sizes), "b": np.repeat([x[1] for x in out], sizes), "node": np.concatenate([x[2] for x in out]), "n": np.concatenate([x[3] for x in out])})
+
+    counted = written(rows.groupBy("deal").applyInPandas(compare, "a long, b long, node long, n long"), "mixed")
     extra = counted.groupBy("node").agg(F.sum("n").alias("extra"))
     per_node = covered.select("node", "leader").join(ball.select("leader", "total"), "leader").join(gained, "leader", "left").join(extra, "node", "left")
     per_node = per_node.select("node", (F.col("total") - 1 + F.coalesce("n", F.lit(0)) + F.coalesce("extra", F.lit(0))).cast("long").alias("n_links"))

@@ -69,3 +69,54 @@ def test_components_of_chains_and_hubs(spark):
     want = smallest_linked({x for e in edges for x in e}, edges)
     del want[300]
     assert got == want
+
+
+def test_search_over_several_shards_and_blocks(spark, cloud, monkeypatch):
+    monkeypatch.setattr(vectors, "fitting", lambda dim: 16)
+    monkeypatch.setattr(vectors, "FEW_SHARDS", 4)
+    small = cloud[:300]
+    got = {}
+    for r in vectors.nearest(table(spark, small), every=7).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    assert set(got) == {*range(0, 300, 7)}
+    hit = 0
+    for q, found in got.items():
+        s = small @ small[q]
+        s[q] = -np.inf
+        hit += len({*found.values()} & set(np.lexsort((np.arange(300), -s))[:20].tolist()))
+    assert hit >= 0.95 * 20 * len(got)
+
+
+def test_a_recall_that_is_never_met_ends_in_every_entry(spark, cloud, monkeypatch):
+    monkeypatch.setattr(vectors, "recall", lambda *a, **b: 0.0)
+    got = {}
+    for r in vectors.nearest(table(spark, cloud, [(20, cloud[20].tolist())])).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    for q in range(0, 900, 20):
+        s = cloud @ cloud[q]
+        s[q] = -np.inf
+        assert sorted(s[list(got[q].values())]) == pytest.approx(sorted(s)[-20:])
+
+
+def test_lengths_beyond_the_squares_of_doubles(spark):
+    x = np.random.default_rng(2).normal(size=(40, 8))
+    for scale in (1e-200, 1e200):
+        rows = [(k, (r * scale).tolist()) for k, r in enumerate(x)] + [(k + 100, (r * scale).tolist()) for k, r in enumerate(x)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(df).collect()}
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        near = u @ u.T >= 0.9
+        assert [got[k][0] for k in range(40)] == (2 * near.sum(1) - 1).tolist() and all(got[k + 100][1] <= k for k in range(40))
+        if scale < 1:
+            found = vectors.nearest(df, every=1, k=1).collect()
+            assert len(found) == 80
+
+
+def test_dense_vectors_of_few_dimensions(spark):
+    """Every ball overlaps many others: their pairs are compared many at a time."""
+    x = np.random.default_rng(1).normal(size=(1200, 4))
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicates(spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum(1) - 1
+    found = np.array([got[k] for k in range(len(x))])
+    assert (found <= want).all() and found.sum() >= 0.98 * want.sum()
