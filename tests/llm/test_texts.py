@@ -414,3 +414,23 @@ def test_ownership_tells_examples_from_live_credentials(spark):
 
 def test_lexicon_needs_no_file_of_ours():
     assert not [f for _, _, names in os.walk(os.path.dirname(bpe.__file__)) for f in names if f.endswith((".json", ".model", ".tiktoken"))]
+
+
+def test_numbers_that_run_into_one_another_are_added(spark):
+    """No rule keeps them, but they look like those that rules confirm elsewhere; numbers that no rule confirms stay out."""
+    rng = random.Random(11)
+
+    def card():
+        d = [rng.randint(0, 9) for _ in range(15)]
+        return next("".join(map(str, d)) + str(c) for c in range(10) if luhn("".join(map(str, d)) + str(c)))
+
+    phone = lambda: f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"
+    rows = [(k, f"one {card()} here") for k in range(1000, 1200)] + [(k, f"one {int(card()) - 1:016d} here") for k in range(1200, 1300)] + [(k, f"ring {phone()} now") for k in range(1300, 1500)]
+    both = {200 + k: (card(), card()) for k in range(5)} | {300 + k: (phone(), f"{rng.randint(1, 255)}.20.30.{rng.randint(100, 255)}") for k in range(5)}
+    rows += [(k, f"of {a} {b} both") for k, (a, b) in both.items()]
+    got = {r.doc_id: r for r in pii.digest(pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    for k, (a, b) in both.items():
+        assert f"{'card' if k < 300 else 'phone'}:3:{3 + len(a)}" in got[k].spans.split(",") and got[k].n_added >= 1
+        if k < 300:
+            assert f"card:{4 + len(a)}:{4 + len(a) + len(b)}" in got[k].spans.split(",")
+    assert all(got[k].n_added == 0 for k in range(1000, 1500))
