@@ -137,12 +137,12 @@ def _top(score: np.ndarray, most: int) -> np.ndarray:
 
 
 def recall(index: DataFrame, queries: DataFrame, found: DataFrame, k: int = 20, size: int = 64) -> float:
-    """The share of the k best scores that found has, by comparing a bounded sample of queries, those with the lowest hashes, with every entry."""
+    """The share of the k best entries that found has, or others as near, by comparing a bounded sample of queries, those with the lowest hashes, with every entry."""
     sample = written(queries.orderBy(F.xxhash64(F.lit(9), "query_id"), "query_id").limit(size), "sample")
-    best = search(index, sample, k, exact=True).select("query_id", "rank", F.col("score").alias("best"))
-    ranked = found.select("query_id", "rank", "score")
-    got = best.join(ranked, ["query_id", "rank"], "left").agg(F.count(F.lit(1)), F.count(F.when(F.col("score") >= F.col("best") - F.abs("best") * 1e-12, 1)))
-    total, same = got.first()
+    best = search(index, sample, k, exact=True).groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
+    good = F.col("score") >= F.col("least") - F.abs("least") * 1e-12
+    got = best.join(found.select("query_id", "score"), "query_id", "left").groupBy("query_id", "n").agg(F.count(F.when(good, 1)).alias("same"))
+    total, same = got.agg(F.sum("n"), F.sum(F.least("same", "n"))).first()
     return same / total if total else 1.0
 
 

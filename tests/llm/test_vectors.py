@@ -120,3 +120,12 @@ def test_dense_vectors_of_few_dimensions(spark):
     want = (u @ u.T >= 0.9).sum(1) - 1
     found = np.array([got[k] for k in range(len(x))])
     assert (found <= want).all() and found.sum() >= 0.98 * want.sum()
+
+
+def test_recall_counts_entries_and_not_ranks(spark):
+    x = np.eye(30)[:, :30] + 0.01 * np.arange(30)[:, None]
+    index = vectors.written(vectors.build_index(table(spark, x)), "index")
+    asked = spark.createDataFrame([(k, x[k].tolist()) for k in range(5)], "query_id long, vec array<double>")
+    best = vectors.search(index, asked, 10, exact=True)
+    assert vectors.recall(index, asked, best, 10) == 1.0
+    assert vectors.recall(index, asked, best.filter("rank > 2"), 10) == 0.8
