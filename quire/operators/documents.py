@@ -27,11 +27,10 @@ def covered_glyphs(glyphs: DataFrame, covers: DataFrame, cell: float = 50.0) ->
     part = lambda lo, hi, k: lo + inset + (hi - lo - inset * 2) * (k / 4)
     grid = F.array(*[F.struct(part(F.col("box")[0], F.col("box")[2], i).alias("x"), part(F.col("box")[1], F.col("box")[3], j).alias("y")) for i in range(5) for j in range(5)])
     points = glyphs.select(*PAGE, "seq", F.posexplode(grid).alias("k", "p")).select(*PAGE, "seq", "k", "p.x", "p.y")
-    at = lambda c: F.floor(c / cell).cast("int")
-    points = points.withColumn("cx", at(F.col("x"))).withColumn("cy", at(F.col("y")))
-    b = covers.select(*PAGE, F.col("seq").alias("c_seq"), F.col("box").alias("c")).withColumn("cx", F.explode(F.sequence(at(F.col("c")[0]), at(F.col("c")[2])))).withColumn("cy", F.explode(F.sequence(at(F.col("c")[1]), at(F.col("c")[3]))))
+    boxes = covers.select(*PAGE, F.col("seq").alias("c_seq"), F.col("box").alias("c"))
+    points, boxes = relations.on_grids(points, boxes, cell, F.col("x"), F.col("y"), [F.col("c")[k] for k in range(4)])
     eps = 1e-6
-    under = points.join(b, [*PAGE, "cx", "cy"]).filter((F.col("c_seq") > F.col("seq")) & F.col("x").between(F.col("c")[0] - eps, F.col("c")[2] + eps) & F.col("y").between(F.col("c")[1] - eps, F.col("c")[3] + eps))
+    under = points.join(boxes, [*PAGE, "level", "cx", "cy"]).filter((F.col("c_seq") > F.col("seq")) & F.col("x").between(F.col("c")[0] - eps, F.col("c")[2] + eps) & F.col("y").between(F.col("c")[1] - eps, F.col("c")[3] + eps))
     hidden = under.select(*PAGE, "seq", "k").distinct().groupBy(*PAGE, "seq").agg(F.count(F.lit(1)).alias("under"))
     return glyphs.join(hidden, [*PAGE, "seq"], "left").withColumn("covered", F.coalesce(F.col("under") == 25, F.lit(False))).drop("under")
 
@@ -57,7 +56,8 @@ def match_text(found: DataFrame, intended: DataFrame, equivalents: dict[str, str
 
     White space is left out on both sides, folds apply to the page's text alone, nothing is normalised. equivalents:
     characters of the page and what they count as, after the folds. A page without text to compare, or, given the table
-    of pages, one that couldn't be read to its end, is unverified unless its text differs.
+    of pages, one that couldn't be read to its end, is unverified unless its text differs. Texts that take more work to
+    align than relations.WORK are a mismatch without counts.
     """
     have = texts.fold(F.col("text"))
     for a, b in (equivalents or {}).items():
@@ -75,7 +75,10 @@ def match_text(found: DataFrame, intended: DataFrame, equivalents: dict[str, str
 def _char_steps(want: str | None, have: str | None):
     if want is None:
         return None
-    found = [s for s, _, _ in relations.align(want, have or "")]
+    steps = relations.align(want, have or "", relations.WORK)
+    if steps is None:  # too different to be counted
+        return {"kept": None, "missing": None, "extra": None}
+    found = [s for s, _, _ in steps]
     return {"kept": found.count("keep"), "missing": found.count("missing"), "extra": found.count("extra")}
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import os
+import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
 from ..pdf import icc
@@ -30,23 +32,28 @@ def edit_files(files: DataFrame, edit: Callable[[bytes], bytes]) -> DataFrame:
 
 
 def write_files(files: DataFrame, folder: str) -> DataFrame:
-    """Writes contents as files of a folder that all executors share; (file, bytes). A file appears whole or not at all, and
-    a task that runs again writes the same file again."""
+    """Writes contents as files of a folder, a path or the URI of any store that Arrow reaches; (doc_id, file, bytes).
+
+    A plain doc_id is the file's name; of any other, such as a path, the last part and a digest of the whole, so that
+    files of one name from two folders never meet. It appears whole or not at all, and a task that runs again writes the same file again.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.makedirs(folder, exist_ok=True)
+        store, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        store.create_dir(base, recursive=True)
         for batch in batches:
             out = []
             for doc_id, content in zip(batch["doc_id"], batch["content"], strict=True):
-                name = os.path.basename(str(doc_id)).removesuffix(".pdf") + ".pdf"
-                part = os.path.join(folder, f".{name}.{os.getpid()}")
-                with open(part, "wb") as f:
+                tail, whole = str(doc_id).rsplit("/", 1)[-1].removesuffix(".pdf"), hashlib.blake2b(str(doc_id).encode(), digest_size=8).hexdigest()
+                name = f"{tail}.pdf" if tail == doc_id else f"{tail}-{whole}.pdf"
+                part = f"{base}/.{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as f:
                     f.write(bytes(content))
-                os.replace(part, os.path.join(folder, name))
-                out.append((name, len(content)))
-            yield pd.DataFrame(out, columns=["file", "bytes"])
+                store.move(part, f"{base}/{name}")
+                out.append((doc_id, name, len(content)))
+            yield pd.DataFrame(out, columns=["doc_id", "file", "bytes"])
 
-    return files.filter(F.col("content").isNotNull()).select("doc_id", "content").mapInPandas(run, "file string, bytes long")
+    return files.filter(F.col("content").isNotNull()).select("doc_id", "content").mapInPandas(run, "doc_id string, file string, bytes long")
 
 
 def convert_colours(colours: DataFrame, source: bytes, target: bytes, intent: str = "relative") -> DataFrame:

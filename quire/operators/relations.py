@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import can_checkpoint
+
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Of the copies of each key the one that is last in the order; a partial maximum precedes the shuffle."""
@@ -66,9 +67,7 @@ def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
 
     Each round joins only the new nodes and cuts lineage by a checkpoint; it ends when there are none.
     """
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{uuid.uuid4().hex}")
+    can_checkpoint(edges.sparkSession)
     edges = edges.select("src", "dst").distinct().checkpoint()
     seen = start.select(F.col(start.columns[0]).alias("node")).distinct().withColumn("steps", F.lit(0)).checkpoint()
     front, step = seen, 0
@@ -96,17 +95,25 @@ def contiguous(df: DataFrame, keys: Sequence[str], index: str, gap: int = 1) ->
     return units.groupBy(*keys, "unit").agg(F.min(index).alias("first"), F.max(index).alias("last"), F.count(F.lit(1)).alias("rows"))
 
 
+def on_grids(points: DataFrame, boxes: DataFrame, cell: float, x: Column, y: Column, box: Sequence[Column]) -> tuple[DataFrame, DataFrame]:
+    """points and boxes with level, cx and cy: a box's level is the power of two of the cell by which it touches four cells
+    at most, however large it is; a point has a row for each level that occurs."""
+    size = F.greatest(box[2] - box[0], box[3] - box[1], F.lit(cell))
+    leveled = boxes.withColumn("level", F.least(F.ceil(F.log2(size / cell)), F.lit(1000)).cast("int"))
+    levels = [r[0] for r in leveled.select("level").distinct().collect()]  # a thousand at most
+    at = lambda v: F.floor(v / (F.pow(F.lit(2.0), F.col("level")) * cell)).cast("long")
+    own = leveled.withColumn("cx", F.explode(F.sequence(at(box[0]), at(box[2])))).withColumn("cy", F.explode(F.sequence(at(box[1]), at(box[3]))))
+    each = points.withColumn("level", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>")))
+    return each.withColumn("cx", at(x)).withColumn("cy", at(y)), own
+
+
 def covered(points: DataFrame, covers: DataFrame, cell: float) -> DataFrame:
     """points (id, seq, x, y) with covered: whether a box (seq, x0, y0, x1, y1) that came later holds the point.
 
-    A join on grid cells: a box has a row for each cell that it touches, so a point meets only boxes near it.
+    A join on grid cells, of a size that follows the boxes, so a point meets only boxes near it and no box has more than four rows.
     """
-    c = lambda v: F.floor(v / cell).cast("long")
-    p = points.withColumn("cx", c(F.col("x"))).withColumn("cy", c(F.col("y")))
-    b = covers.select(F.col("seq").alias("b_seq"), "x0", "y0", "x1", "y1", F.explode(F.sequence(c(F.col("x0")), c(F.col("x1")))).alias("cx"))
-    b = b.withColumn("cy", F.explode(F.sequence(c(F.col("y0")), c(F.col("y1")))))
-    # The latest box of a cell that holds the point decides, so a maximum replaces the list of all.
-    hits = p.join(b, ["cx", "cy"]).filter("b_seq > seq and x between x0 and x1 and y between y0 and y1").select("id").distinct().withColumn("covered", F.lit(True))
+    p, b = on_grids(points, covers.withColumnRenamed("seq", "b_seq"), cell, F.col("x"), F.col("y"), [F.col(c) for c in ("x0", "y0", "x1", "y1")])
+    hits = p.join(b, ["level", "cx", "cy"]).filter("b_seq > seq and x between x0 and x1 and y between y0 and y1").select("id").distinct().withColumn("covered", F.lit(True))
     return points.join(hits, "id", "left").select("id", F.coalesce("covered", F.lit(False)).alias("covered"))
 
 
@@ -162,60 +169,91 @@ def reading_rows(df: DataFrame, keys: Sequence[str], schema: str) -> DataFrame:
     return df.groupBy(*keys).applyInPandas(fold, schema)
 
 
-def align(a: Sequence[str], b: Sequence[str]) -> list[tuple[str, int, int]]:
+#: Steps of search beyond which two sequences are too different to be aligned.
+WORK = 2_000_000
+
+
+def _middle(a: Sequence[str], b: Sequence[str], budget: list[int]) -> tuple[int, int] | None:
+    """Where the searches from both ends meet on a shortest way from a to b; null if nothing is common or the budget is spent."""
+    n, m = len(a), len(b)
+    half, delta = (n + m + 1) // 2, n - m
+    ahead, back = {1: 0}, {1: 0}
+    for d in range(half + 1):
+        for far, other, odd, step in ((ahead, back, True, 1), (back, ahead, False, -1)):
+            for k in range(-d, d + 1, 2):
+                budget[0] -= 1
+                if budget[0] < 0:
+                    return None
+                low, high = far.get(k - 1, -1), far.get(k + 1, -1)
+                x = high if k == -d or (k != d and low < high) else low + 1
+                y = x - k
+                far[k] = x
+                if x > n or y > m or y < 0:
+                    continue
+                while x < n and y < m and (a[x] == b[y] if step > 0 else a[n - 1 - x] == b[m - 1 - y]):
+                    x, y = x + 1, y + 1
+                far[k] = x
+                opposite = other.get(delta - k)
+                if (delta % 2 != 0) == odd and opposite is not None and -(d - odd) <= delta - k <= d - odd and x + opposite >= n:
+                    return (x, y) if step > 0 else (n - x, m - y)
+    return None
+
+
+def align(a: Sequence[str], b: Sequence[str], work: int | None = None) -> list[tuple[str, int, int]] | None:
     """Steps (keep, missing, extra) that lead from a to b over a longest common subsequence, missing before extra.
 
-    The greedy search for the furthest place on each diagonal, with the trace kept for the way back.
+    The search goes from both ends at once and the halves are aligned by themselves, so memory grows with the
+    sequences alone. work: steps of search at most; beyond that the answer is null.
     """
-    lead = 0
-    while lead < min(len(a), len(b)) and a[lead] == b[lead]:
-        lead += 1
-    x, y = a[lead:], b[lead:]
-    n, m = len(x), len(y)
-    trace: list[dict[int, int]] = []
-    far = {1: 0}
-    end = None
-    for d in range(n + m + 1):
-        trace.append(dict(far))
-        for k in range(-d, d + 1, 2):
-            i = far[k + 1] if k == -d or (k != d and far[k - 1] < far[k + 1]) else far[k - 1] + 1
-            while i < n and i - k < m and x[i] == y[i - k]:
-                i += 1
-            far[k] = i
-            if i >= n and i - k >= m:
-                end = d
-                break
-        if end is not None:
-            break
-    kept, i, j = [], n, m
-    for d in range(end or 0, 0, -1):
-        far, k = trace[d], i - j
-        before = k + 1 if k == -d or (k != d and far[k - 1] < far[k + 1]) else k - 1
-        bi = far[before]
-        while i > bi and j > bi - before and i > 0 and j > 0 and x[i - 1] == y[j - 1]:
-            i, j = i - 1, j - 1
+    budget = [work if work is not None else 1 << 62]
+    kept: list[tuple[int, int]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i, n, j, m = todo.pop()
+        while i < n and j < m and a[i] == b[j]:
             kept.append((i, j))
-        i, j = bi, bi - before
-    while i > 0 and j > 0:
-        i, j = i - 1, j - 1
-        kept.append((i, j))
-    out = [("keep", k, k) for k in range(lead)]
+            i, j = i + 1, j + 1
+        while i < n and j < m and a[n - 1] == b[m - 1]:
+            n, m = n - 1, m - 1
+            kept.append((n, m))
+        if i == n or j == m:
+            continue
+        if n - i == 1 or m - j == 1:
+            if n - i == 1:
+                at = next((k for k in range(j, m) if b[k] == a[i]), None)
+                kept += [(i, at)] if at is not None else []
+            else:
+                at = next((k for k in range(i, n) if a[k] == b[j]), None)
+                kept += [(at, j)] if at is not None else []
+            continue
+        met = _middle(a[i:n], b[j:m], budget)
+        if met is None:
+            if budget[0] < 0:
+                return None
+            continue
+        x, y = met
+        if (x, y) in ((0, 0), (n - i, m - j)):  # one insertion or deletion apart from nothing in common
+            continue
+        todo += [(i, i + x, j, j + y), (i + x, n, j + y, m)]
+    kept.sort()
+    out: list[tuple[str, int, int]] = []
     pi = pj = 0
-    for i, j in [*reversed(kept), (n, m)]:
-        out += [("missing", k + lead, pj + lead) for k in range(pi, i)] + [("extra", i + lead, k + lead) for k in range(pj, j)]
-        if i < n and j < m:
-            out.append(("keep", i + lead, j + lead))
+    for i, j in [*kept, (len(a), len(b))]:
+        out += [("missing", k, pj) for k in range(pi, i)] + [("extra", i, k) for k in range(pj, j)]
+        if i < len(a) and j < len(b):
+            out.append(("keep", i, j))
         pi, pj = i + 1, j + 1
     return out
 
 
-def align_rows(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    """(key, kept, missing, extra) for pairs of texts compared word by word."""
+def align_rows(df: DataFrame, key: str, a: str, b: str, work: int = WORK) -> DataFrame:
+    """(key, kept, missing, extra) for pairs of texts compared word by word; null counts for pairs that take more work."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [[s for s, _, _ in align((x or "").split(" "), (y or "").split(" "))] for x, y in zip(batch["a"], batch["b"], strict=True)]
-            yield pd.DataFrame({key: batch[key], **{n: [f.count(s) for f in found] for n, s in (("kept", "keep"), ("missing", "missing"), ("extra", "extra"))}})
+            found = [align((x or "").split(" "), (y or "").split(" "), work) for x, y in zip(batch["a"], batch["b"], strict=True)]
+            count = lambda s: [None if f is None else sum(x == s for x, _, _ in f) for f in found]  # noqa: B023, E731
+            yield pd.DataFrame({key: batch[key], **{n: pd.array(count(s), "Int32") for n, s in (("kept", "keep"), ("missing", "missing"), ("extra", "extra"))}})
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, F.col(a).alias("a"), F.col(b).alias("b")).mapInPandas(run, f"{key} {kind}, kept int, missing int, extra int")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+from .clip import LIMIT_VERTICES, Clip
 from .fonts import Font, load_font
 from .objects import EOF, Keyword, Name, PdfError, Reader, Ref, Stream, Str
 
@@ -12,7 +13,9 @@ IDENTITY = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 DEVICE = {b"g": (b"DeviceGray", 1), b"rg": (b"DeviceRGB", 3), b"k": (b"DeviceCMYK", 4)}
 #: Painting operators: (fill rule or None, strokes, closes).
 PAINT = {b"S": (None, True, False), b"s": (None, True, True), b"f": ("nonzero", False, False), b"F": ("nonzero", False, False), b"f*": ("evenodd", False, False), b"B": ("nonzero", True, False), b"B*": ("evenodd", True, False), b"b": ("nonzero", True, True), b"b*": ("evenodd", True, True)}
-LIMIT_DEPTH, LIMIT_OPERATIONS = 64, 10_000_000
+#: Operators without a tracked effect, with the kinds of their operands: n number, a array, N name, x any.
+PLAIN = {b"w": "n", b"J": "n", b"j": "n", b"M": "n", b"d": "an", b"ri": "N", b"i": "n", b"MP": "N", b"DP": "Nx", b"d0": "nn", b"d1": "nnnnnn"}
+LIMIT_DEPTH, LIMIT_OPERATIONS, LIMIT_PROCEDURES = 64, 10_000_000, 16
 
 
 def mul(m, n):
@@ -81,18 +84,20 @@ class State:
     stroke_alpha: float = 1.0
     blend: bytes = b"Normal"
     masked: bool = False
-    clip: tuple | None = None
+    clip: Clip | None = None
     tile: Stream | None = None
 
 
 class Interpreter:
     """Runs a page's content in order. events: (seq, kind, values) for glyph, paint, select and cover."""
 
-    def __init__(self, doc, annotations: str = "none"):
-        """annotations: whose appearances are drawn after the page: none, printable or all."""
-        self.doc, self.events, self.warnings, self.annotations = doc, [], [], annotations
+    def __init__(self, doc, annotations: str = "none", provider=None):
+        """annotations: whose appearances are drawn after the page: none, printable or all. provider: predefined character maps by name."""
+        self.doc, self.events, self.warnings, self.annotations, self.provider = doc, [], [], annotations, provider
         self.fonts: dict = {}
+        self.empty: dict = {}
         self.count = self.nested = 0
+        self.masks: list = []
 
     def page(self, page) -> list[tuple[int, str, dict]]:
         resources = self.doc.inherited(page, b"Resources")[0]
@@ -132,7 +137,7 @@ class Interpreter:
         sx, sy = abs(r[2] - r[0]) / (x1 - x0), abs(r[3] - r[1]) / (y1 - y0)
         own = self.doc.get(look.dict.get(b"Resources"))
         move = (sx, 0.0, 0.0, sy, left - x0 * sx, low - y0 * sy)
-        self.run(self.doc.decoded(look)[0], own if isinstance(own, dict) else resources, State(ctm=mul(m, move), clip=(left, low, left + abs(r[2] - r[0]), low + abs(r[3] - r[1]))), 1, frozenset())
+        self.run(self.doc.decoded(look)[0], own if isinstance(own, dict) else resources, State(ctm=mul(m, move), clip=Clip.of_box((left, low, left + abs(r[2] - r[0]), low + abs(r[3] - r[1])))), 1, frozenset())
 
     def emit(self, kind: str, **values) -> None:
         self.events.append((len(self.events), kind, values))
@@ -145,7 +150,7 @@ class Interpreter:
     def font(self, raw, value) -> Font | None:
         key = (raw.num, raw.gen) if isinstance(raw, Ref) else id(value)
         if key not in self.fonts:
-            self.fonts[key] = load_font(self.doc, value, key) if isinstance(value, dict) else None
+            self.fonts[key] = load_font(self.doc, value, key, self.provider) if isinstance(value, dict) else None
         return self.fonts[key]
 
     def run(self, data: bytes, resources: dict, s: State, depth: int, forms: frozenset) -> None:
@@ -156,7 +161,7 @@ class Interpreter:
         path: list[list[tuple[float, float]]] = []
         rects: list[tuple] = []
         here = (0.0, 0.0)
-        pending = False
+        pending, lenient, cutting = "", 0, False
         marks: list[tuple] = []
         for op, v, _ in operations(data):
             self.count += 1
@@ -176,8 +181,10 @@ class Interpreter:
                         self.warnings.append("unbalanced-restore")
                 elif op == b"cm":
                     s = replace(s, ctm=mul(n[:6], s.ctm))
-                elif op == b"BT":
+                elif op in (b"BT", b"ET"):
                     tm = line = IDENTITY
+                    if op == b"ET" and cutting:  # the shapes of glyphs are not known
+                        s, cutting = replace(s, clip=Clip(vertices=LIMIT_VERTICES + 1)), False
                 elif op == b"Tf":
                     raw, value = self._find(resources, b"Font", v[0])
                     s = replace(s, font=self.font(raw, value), size=n[-1])
@@ -202,6 +209,7 @@ class Interpreter:
                         tm = line = mul((1, 0, 0, 1, 0, -s.lead), line)
                     parts = v[-1] if op == b"TJ" else [v[-1]]
                     tm = self.show(parts, s, tm, marks)
+                    cutting = cutting or s.mode > 3
                 elif op in (b"g", b"rg", b"k", b"G", b"RG", b"K"):
                     space, size = DEVICE[op.lower()]
                     s = replace(s, **{"stroke" if op.isupper() else "fill": (space, tuple(n[:size]))})
@@ -220,6 +228,8 @@ class Interpreter:
                 elif op == b"gs":
                     _, g = self._find(resources, b"ExtGState", v[0])
                     s = self.state(s, g if isinstance(g, dict) else {})
+                    if isinstance(g, dict) and isinstance(mask := self.doc.get(g.get(b"SMask")), dict):
+                        self.mask(mask, s, resources, depth, forms)
                 elif op == b"m":
                     here = (n[0], n[1])
                     path.append([at(s.ctm, *here)])
@@ -242,18 +252,31 @@ class Interpreter:
                     if path:
                         path[-1].append(path[-1][0])
                 elif op in (b"W", b"W*"):
-                    pending = True
+                    pending = "nonzero" if op == b"W" else "evenodd"
                 elif op == b"n" or op in PAINT:
                     if op in PAINT:
                         rule, stroke, _ = PAINT[op]
                         self.paint(path, rects, rule, stroke, s)
                         if rule and path and s.tile is not None and s.fill[0].startswith(b"Pattern"):
-                            self.cell(s, _bounds(path), resources, depth, forms)
+                            self.cell(s, path, resources, depth, forms)
                     if pending and path:
-                        s = replace(s, clip=_meet(s.clip, _bounds(path)))
-                    path, rects, pending = [], [], False
+                        s = replace(s, clip=(s.clip or Clip()).cut(path, pending))
+                    path, rects, pending = [], [], ""
                 elif op == b"sh":
-                    self.emit("paint", what="shading", space="Shading", components=[], stroke=False, box=list(s.clip) if s.clip else None, alpha=s.fill_alpha)
+                    shading = self._find(resources, b"Shading", v[0])[1]
+                    shading = shading.dict if isinstance(shading, Stream) else shading
+                    if not isinstance(shading, dict):
+                        self.warnings.append("missing-shading")
+                        continue
+                    raw = self.doc.get(shading.get(b"ColorSpace"))
+                    named = self._find(resources, b"ColorSpace", raw)[1] if isinstance(raw, Name) else None
+                    box = s.clip.box if s.clip else None
+                    self.emit("paint", what="shading", space=self.space(named if named is not None else raw), components=[], stroke=False, box=list(box) if box else None, alpha=s.fill_alpha)
+                elif op in PLAIN:
+                    if len(v) != len(PLAIN[op]) or not all(_is(x, k) for x, k in zip(v, PLAIN[op], strict=True)):
+                        self.warnings.append("bad-operands")
+                elif op in (b"BX", b"EX"):
+                    lenient = max(0, lenient + (1 if op == b"BX" else -1))
                 elif op == b"BI":
                     self.image(s, v[0].get(b"IM", v[0].get(b"ImageMask")) is True)
                 elif op == b"Do":
@@ -269,7 +292,7 @@ class Interpreter:
                         marks.pop()
                     else:
                         self.warnings.append("unbalanced-marked-content")
-                elif op not in (b"ET", b"BX", b"EX", b"MP", b"DP", b"w", b"J", b"j", b"M", b"d", b"ri", b"i", b"d0", b"d1"):
+                elif not lenient:
                     self.warnings.append("unknown-operator")
             except (IndexError, TypeError, ValueError, AttributeError):
                 self.warnings.append("bad-operands")
@@ -310,19 +333,22 @@ class Interpreter:
     def paint(self, path, rects, rule, stroke: bool, s: State) -> None:
         if not path:
             return
-        box = _meet(s.clip, _bounds(path))
+        box = _meet(s.clip.box, _bounds(path)) if s.clip else _bounds(path)
         for side in (["fill"] if rule else []) + (["stroke"] if stroke else []):
             space, parts = getattr(s, side)
             self.emit("paint", what=side, space=space.decode("latin-1"), components=list(parts), stroke=side == "stroke", box=list(box) if box else None, alpha=s.fill_alpha if side == "fill" else s.stroke_alpha)
         opaque = rule and s.fill_alpha == 1 and s.blend in (b"Normal", b"Compatible") and not s.masked and not s.fill[0].startswith(b"Pattern")
         if opaque and len(rects) == len(path) <= 64:
             for corners, upright in rects:
-                if upright and (b := _meet(s.clip, _bounds([corners]))):
+                b = _bounds([corners])
+                if upright and s.clip:
+                    b = _meet(s.clip.box, b) if s.clip.upright or s.clip.side(corners) == "inside" else None
+                if upright and b and not self.masks:
                     self.emit("cover", box=list(b))
 
     def image(self, s: State, mask: bool) -> None:
         box = _bounds([[at(s.ctm, x, y) for x, y in ((0, 0), (1, 0), (1, 1), (0, 1))]])
-        self.emit("paint", what="image-mask" if mask else "image", space=s.fill[0].decode("latin-1") if mask else "Image", components=list(s.fill[1]) if mask else [], stroke=False, box=list(_meet(s.clip, box) or box), alpha=s.fill_alpha)
+        self.emit("paint", what="image-mask" if mask else "image", space=s.fill[0].decode("latin-1") if mask else "Image", components=list(s.fill[1]) if mask else [], stroke=False, box=list((_meet(s.clip.box, box) if s.clip else box) or box), alpha=s.fill_alpha)
 
     def do(self, name, resources: dict, s: State, depth: int, forms: frozenset) -> None:
         raw, x = self._find(resources, b"XObject", name)
@@ -339,11 +365,27 @@ class Interpreter:
             inner = replace(s, ctm=mul([float(self.doc.get(k)) for k in m], s.ctm) if isinstance(m, list) else s.ctm)
             if isinstance(b := self.doc.get(x.dict.get(b"BBox")), list):
                 b = [float(self.doc.get(k)) for k in b]
-                inner = replace(inner, clip=_meet(inner.clip, _bounds([[at(inner.ctm, p, q) for p, q in ((b[0], b[1]), (b[2], b[1]), (b[2], b[3]), (b[0], b[3]))]])))
+                inner = replace(inner, clip=(inner.clip or Clip()).cut([[at(inner.ctm, p, q) for p, q in ((b[0], b[1]), (b[2], b[1]), (b[2], b[3]), (b[0], b[3]))]], "nonzero"))
             own = self.doc.get(x.dict.get(b"Resources"))
             self.run(self.doc.decoded(x)[0], own if isinstance(own, dict) else resources, inner, depth + 1, forms | {key})
 
-    def cell(self, s: State, box: tuple, resources: dict, depth: int, forms: frozenset) -> None:
+    def mask(self, mask: dict, s: State, resources: dict, depth: int, forms: frozenset) -> None:
+        """A soft mask's group, run once where it is chosen; what it shows is marked as part of a mask."""
+        group = self.doc.get(mask.get(b"G"))
+        key = ("mask", id(group))
+        if not isinstance(group, Stream) or key in forms:
+            self.warnings.append("missing-mask" if not isinstance(group, Stream) else "mask-cycle")
+            return
+        m = self.doc.get(group.dict.get(b"Matrix"))
+        own = self.doc.get(group.dict.get(b"Resources"))
+        inner = State(ctm=mul([float(self.doc.get(k)) for k in m], s.ctm) if isinstance(m, list) else s.ctm)
+        self.masks.append(key)
+        try:
+            self.run(self.doc.decoded(group)[0], own if isinstance(own, dict) else resources, inner, depth + 1, forms | {key})
+        finally:
+            self.masks.pop()
+
+    def cell(self, s: State, path: list, resources: dict, depth: int, forms: frozenset) -> None:
         """A tiling pattern's cell, once, within what it paints; an uncoloured one paints in the current colour."""
         d, key = s.tile.dict, id(s.tile)
         if key in forms:
@@ -355,12 +397,15 @@ class Interpreter:
             colour = (colour[0][8:], colour[1])
         matrix = self.doc.get(d.get(b"Matrix"))
         m = tuple(float(self.doc.get(x)) for x in matrix) if isinstance(matrix, list) else IDENTITY
-        self.run(self.doc.decoded(s.tile)[0], own if isinstance(own, dict) else resources, State(ctm=m, fill=colour, clip=_meet(s.clip, box)), depth + 1, forms | {key})
+        self.run(self.doc.decoded(s.tile)[0], own if isinstance(own, dict) else resources, State(ctm=m, fill=colour, clip=(s.clip or Clip()).cut(path, "nonzero")), depth + 1, forms | {key})
 
     def procedure(self, f: Font, code: int, m, s: State) -> None:
         """What a Type 3 glyph's procedure paints."""
         proc = f.procedures.get(code)
-        if proc is None or self.nested > 4:
+        if proc is None:
+            return
+        if self.nested >= LIMIT_PROCEDURES:
+            self.warnings.append("type3-nesting-limit")
             return
         self.nested += 1
         try:
@@ -368,6 +413,15 @@ class Interpreter:
         finally:
             self.nested -= 1
 
+    def draws_nothing(self, f: Font, code: int) -> bool:
+        """Whether a Type 3 glyph has no procedure, or one without an operator that paints."""
+        key = (f.key, code)
+        if key not in self.empty:
+            proc = f.procedures.get(code)
+            paints = {*PAINT, b"Tj", b"TJ", b"'", b'"', b"Do", b"sh", b"BI"}
+            self.empty[key] = proc is None or not any(op in paints for op, _, _ in operations(self.doc.decoded(proc)[0]))
+        return self.empty[key]
+
     def show(self, parts, s: State, tm, marks):
         f = s.font
         if f is None:
@@ -381,29 +435,41 @@ class Interpreter:
                 continue
             for code, size, width, text, reason in f.glyphs(part.data):
                 m = mul((s.size * s.scale, 0, 0, s.size, 0, s.rise), mul(tm, s.ctm))
+                left = low = 0.0
                 if f.vertical:
-                    shift = (0, width / 1000 * s.size + s.char + (s.word if size == 1 and code == 32 else 0))
+                    down, vx, vy = f.vertical_metrics(f.cmap.get(code) or 0)
+                    left, low = -vx / 1000, -vy / 1000
+                    shift = (0, down / 1000 * s.size + s.char + (s.word if size == 1 and code == 32 else 0))
                 else:
                     shift = ((width / 1000 * s.size + s.char + (s.word if size == 1 and code == 32 else 0)) * s.scale, 0)
-                box = _bounds([[at(m, x, y) for x, y in ((0, -0.12), (width / 1000, -0.12), (width / 1000, 0.88), (0, 0.88))]])
+                bottom, top = f.descent / 1000 + low, f.ascent / 1000 + low
+                corners = [at(m, x, y) for x, y in ((left, bottom), (left + width / 1000, bottom), (left + width / 1000, top), (left, top))]
                 alpha = s.stroke_alpha if s.mode % 4 == 1 else s.fill_alpha
-                hidden = "render-mode" if s.mode % 4 == 3 else "transparent" if alpha == 0 else "degenerate" if abs(m[0] * m[3] - m[1] * m[2]) < 1e-9 else None
-                x, y = at(m, 0, 0)
-                self.emit("glyph", code=code, bytes=size, text=text, reason=reason, font=f.name, x=x, y=y, box=list(box), size=s.size, width=width, hidden=hidden, clipped=s.clip is not None and _meet(s.clip, box) is None, actual=span[0] if span else None, span=span[1] if span else None, space=s.fill[0].decode("latin-1"), evidence=f.evidence(code, text))
+                flat = abs(m[0] * m[3] - m[1] * m[2]) < 1e-9
+                hidden = "soft-mask" if self.masks else "render-mode" if s.mode % 4 == 3 else "transparent" if alpha == 0 else "degenerate" if flat else "empty" if f.subtype == "Type3" and self.draws_nothing(f, code) else None
+                x, y = at(m, left, low)
+                self.emit("glyph", code=code, bytes=size, text=text, reason=reason, font=f.name, x=x, y=y, box=list(_bounds([corners])), size=s.size, width=width, hidden=hidden, clipped=s.clip is not None and s.clip.side(corners) in ("outside", "unknown"), actual=span[0] if span else None, span=span[1] if span else None, space=s.fill[0].decode("latin-1"), evidence=f.evidence(code, text))
                 if f.procedures and hidden is None:
                     self.procedure(f, code, m, s)
                 tm = mul((1, 0, 0, 1, *shift), tm)
         return tm
 
 
+def _is(value, kind: str) -> bool:
+    """Whether an operand is of the kind: n number, a array, N name, x any."""
+    if kind == "n":
+        return isinstance(value, (int, float)) and not isinstance(value, bool)
+    return kind == "x" or isinstance(value, list if kind == "a" else Name)
+
+
 def _bounds(path) -> tuple[float, float, float, float]:
     xs, ys = [p[0] for sub in path for p in sub], [p[1] for sub in path for p in sub]
     return min(xs), min(ys), max(xs), max(ys)
 
 
 def _meet(a, b):
-    """The part that two boxes share; None stands for everything in a, and for nothing in the result."""
-    if a is None:
-        return b
+    """The part that two boxes share; None stands for nothing."""
+    if a is None or b is None:
+        return None
     out = max(a[0], b[0]), max(a[1], b[1]), min(a[2], b[2]), min(a[3], b[3])
     return out if out[0] <= out[2] and out[1] <= out[3] else None

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from xml.sax.saxutils import escape
 
 import numpy as np
 
-from . import metadata
+from . import metadata, xmp
 from .content import operations
 from .document import Document
 from .filters import deflate
@@ -28,7 +27,8 @@ def save(doc: Document, edits: dict[int, object], mode: str = "auto") -> bytes:
 def check_boxes(doc: Document, num: int, page: dict) -> None:
     for key in (b"MediaBox", b"CropBox", b"BleedBox", b"TrimBox", b"ArtBox"):
         box = doc.get(page.get(key))
-        if box is not None and (not isinstance(box, list) or len(box) != 4 or box[0] >= box[2] or box[1] >= box[3]):
+        box = [doc.get(x) for x in box] if isinstance(box, list) else box
+        if box is not None and (not isinstance(box, list) or len(box) != 4 or not all(isinstance(x, (int, float)) for x in box) or box[0] >= box[2] or box[1] >= box[3]):
             raise PdfError("invalid-box", f"{num} {key.decode()}")
 
 
@@ -82,24 +82,18 @@ def set_metadata(data: bytes, values: dict[str, str | None]) -> bytes:
     for k, v in now.items():
         if v is not None:
             info[k.encode()] = Name(v.encode("latin-1")) if k == "Trapped" else Str(v.encode("latin-1")) if v.isascii() else Str(b"\xfe\xff" + v.encode("utf-16-be"))
-    spaces: dict[str, str] = {}
-    body = []
-    for (key, name), v in zip(metadata.MAPPING, [now[k] for k, _ in metadata.MAPPING], strict=True):
-        if v is None:
-            continue
-        ns, local = name[1:].split("}")
-        prefix = spaces.setdefault(ns, f"n{len(spaces)}")
-        if key.endswith("Date"):
-            v = _iso(v)
-        text = escape(v)
-        inner = f'<rdf:Alt><rdf:li xml:lang="x-default">{text}</rdf:li></rdf:Alt>' if key in ("Title", "Subject") else f"<rdf:Seq><rdf:li>{text}</rdf:li></rdf:Seq>" if key == "Author" else text
-        body.append(f"<{prefix}:{local}>{inner}</{prefix}:{local}>")
-    names = "".join(f' xmlns:{p}="{n}"' for n, p in spaces.items())
-    xml = f'<?xpacket begin="﻿" id="W5M0MpCehiHzreSzNTczkc9d"?><x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description rdf:about=""{names}>{"".join(body)}</rdf:Description></rdf:RDF></x:xmpmeta><?xpacket end="w"?>'
+    kinds = {"Title": "alt", "Subject": "alt", "Author": "seq"}
+    rows = [(name, _iso(v) if key.endswith("Date") else v, kinds.get(key, "text")) for key, name in metadata.MAPPING if (v := now[key]) is not None]
+    old_packet = doc.get(doc.catalog.get(b"Metadata"))
+    if isinstance(old_packet, Stream):  # all other properties stay as they are
+        packet = xmp.splice(doc.decoded(old_packet)[0], rows, {name for _, name in metadata.MAPPING})
+        entries = {k: v for k, v in old_packet.dict.items() if k not in (b"Filter", b"DecodeParms", b"Length")}
+    else:
+        packet, entries = xmp.packet(rows), {b"Type": Name(b"Metadata"), b"Subtype": Name(b"XML")}
     root = doc.trailer[b"Root"]
     place = doc.catalog.get(b"Metadata")
     packet_num = place.num if isinstance(place, Ref) else max(fresh, info_num + 1)
-    edits: dict[int, object] = {info_num: info, packet_num: Stream({b"Type": Name(b"Metadata"), b"Subtype": Name(b"XML")}, xml.encode())}
+    edits: dict[int, object] = {info_num: info, packet_num: Stream(entries, packet)}
     if not isinstance(place, Ref):
         edits[root.num] = doc.catalog | {b"Metadata": Ref(packet_num, 0)}
     if not isinstance(held, Ref):
@@ -122,8 +116,8 @@ def _iso(pdf_date: str) -> str:
 def convert_content(data: bytes, convert: Callable[[np.ndarray], np.ndarray], pure_black: bool = True) -> bytes:
     """A file whose pages set process colours where they set RGB; grey becomes black ink. Forms and images stay as they are."""
     doc, edits = Document(data), {}
+    fresh = max(doc.index, default=0) + 1
     for page in doc.pages:
-        raw = doc.get(page.dict.get(b"Contents"))
         out, changed = bytearray(), False
         for op, v, _ in operations(b"\n".join(doc.contents(page))):
             if op in (b"rg", b"RG") and len(v) == 3:
@@ -136,11 +130,8 @@ def convert_content(data: bytes, convert: Callable[[np.ndarray], np.ndarray], pu
                 out += b"BI " + b" ".join(serialize(Name(k)) + b" " + serialize(x) for k, x in v[0].items()) + b" ID " + v[1] + b" EI\n"
             else:
                 out += b" ".join(number_text(x) if isinstance(x, float) else serialize(x) for x in v) + (b" " if v else b"") + op + b"\n"
-        if changed:
-            first = page.dict.get(b"Contents")
-            first = raw[0] if isinstance(raw, list) and raw else first
-            if isinstance(first, Ref):
-                edits[first.num] = Stream({}, bytes(out))
-                if isinstance(raw, list):
-                    edits[page.ref.num] = page.dict | {b"Contents": first}
+        if changed:  # a stream of its own: others may share the old one
+            edits[fresh] = Stream({}, bytes(out))
+            edits[page.ref.num] = page.dict | {b"Contents": Ref(fresh, 0)}
+            fresh += 1
     return save(doc, edits)

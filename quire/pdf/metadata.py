@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import xml.etree.ElementTree as ET
+from bisect import bisect_right
 
+from . import xmp
 from .document import text_string
 from .objects import PdfError, Ref, Stream, Name
 
-RDF = "{http://www.w3.org/1999/02/22-rdf-syntax-ns#}"
-LANG = "{http://www.w3.org/XML/1998/namespace}lang"
 #: Information keys and the properties of the packet that they map to.
 MAPPING = [
     ("Title", "{http://purl.org/dc/elements/1.1/}title"), ("Author", "{http://purl.org/dc/elements/1.1/}creator"), ("Subject", "{http://purl.org/dc/elements/1.1/}description"),
@@ -19,26 +17,8 @@ MAPPING = [
 
 
 def read_packet(data: bytes) -> dict[str, list[str]]:
-    """Property name to its values: one of a text, all of a list, the default language's of alternatives. A DOCTYPE is refused."""
-    if re.search(rb"<!DOCTYPE", data[:100_000]) or b"<!ENTITY" in data:
-        raise PdfError("xmp-doctype")
-    try:
-        root = ET.fromstring(data.strip(b"\0 \r\n\t"))
-    except ET.ParseError as e:
-        raise PdfError("xmp-malformed", str(e)) from e
-    out: dict[str, list[str]] = {}
-    for d in root.iter(f"{RDF}Description"):
-        out |= {k: [v] for k, v in d.attrib.items() if not k.startswith(RDF)}
-        for p in d:
-            box = next((p.find(f"{RDF}{k}") for k in ("Alt", "Seq", "Bag") if p.find(f"{RDF}{k}") is not None), None)
-            if box is None:
-                out[p.tag] = [p.attrib.get(f"{RDF}resource") or "".join(p.itertext())]
-            else:
-                items = [("".join(x.itertext()), x.attrib.get(LANG)) for x in box.findall(f"{RDF}li")]
-                if box.tag == f"{RDF}Alt":
-                    items = ([x for x in items if x[1] == "x-default"] or items)[:1]
-                out[p.tag] = [x for x, _ in items]
-    return out
+    """Property name to its values; what is not a packet, or has a DOCTYPE, is refused."""
+    return xmp.read(data)
 
 
 def properties(doc) -> tuple[list[dict], list[str]]:
@@ -70,15 +50,57 @@ def properties(doc) -> tuple[list[dict], list[str]]:
 
 
 def signed(doc) -> bool:
-    """Whether a signature field holds a value."""
+    """Whether a signature field holds a value. Each field is asked once, however often others name it."""
     form = doc.get(doc.catalog.get(b"AcroForm"))
     todo = list(doc.get(form.get(b"Fields")) or []) if isinstance(form, dict) else []
-    seen = 0
-    while todo and seen < 100_000:
-        f = doc.get(todo.pop())
-        seen += 1
+    seen: set[int] = set()
+    while todo:
+        raw = todo.pop()
+        if isinstance(raw, Ref):
+            if raw.num in seen:
+                continue
+            seen.add(raw.num)
+        f = doc.get(raw)
         if isinstance(f, dict):
             if f.get(b"FT") == b"Sig" and doc.get(f.get(b"V")) is not None:
                 return True
             todo += list(doc.get(f.get(b"Kids")) or [])
     return False
+
+
+HEADER = b"<?xpacket begin="
+
+
+def scan_packets(doc) -> dict[str, int]:
+    """Headers of packets that a scan of the file's bytes finds, by place: in the document's stream, in other metadata
+    streams, in further streams, or in no object that counts. Filtered metadata streams count by their decoded data."""
+    place = doc.catalog.get(b"Metadata")
+    out = {"document": 0, "others": 0, "streams": 0, "superseded": 0}
+    roles: dict[int, str] = {}
+    decoded: set[int] = set()
+    for num in doc.numbers():
+        try:
+            v = doc.load(num)
+        except PdfError:
+            continue
+        if isinstance(v, Stream) and v.dict.get(b"Type") == b"Metadata":
+            roles[num] = "document" if isinstance(place, Ref) and place.num == num else "others"
+            if b"Filter" in v.dict:
+                decoded.add(num)
+                try:
+                    out[roles[num]] += doc.decoded(v)[0].count(HEADER)
+                except PdfError:
+                    pass
+    spans = sorted((doc.base + e[1], num) for num, e in doc.index.items() if e[0] == "file")
+    at = doc.data.find(HEADER)
+    while at >= 0:
+        k = bisect_right(spans, (at, 1 << 62)) - 1
+        end = doc.data.find(b"endobj", at) if k >= 0 else -1
+        last = spans[k + 1][0] if 0 <= k < len(spans) - 1 else len(doc.data)
+        begun = doc.data.find(b"endobj", spans[k][0], at) if k >= 0 else 0
+        if k < 0 or end < 0 or end > last or begun >= 0:
+            out["superseded"] += 1
+        elif spans[k][1] not in decoded:
+            out[roles.get(spans[k][1], "streams")] += 1
+        at = doc.data.find(HEADER, at + 1)
+    return out

@@ -80,13 +80,14 @@ def ambiguous_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.ambiguous(table(spark, sf_dir, "lineitem"), ["l_orderkey"], F.concat("l_returnflag", "l_linestatus"))
 
 
-SLICE = "SELECT DISTINCT l_partkey FROM lineitem WHERE l_orderkey % 50 = {}"
+SIDE = "SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_orderkey % 2 = {}"
 
 
-@query(f"SELECT 'removed' AS change, l_partkey FROM ({SLICE.format(1)} EXCEPT {SLICE.format(2)}) UNION ALL SELECT 'added', l_partkey FROM ({SLICE.format(2)} EXCEPT {SLICE.format(1)})")
+@query(f"SELECT 'removed' AS change, l_partkey, l_suppkey FROM ({SIDE.format(0)} EXCEPT {SIDE.format(1)}) UNION ALL SELECT 'added', l_partkey, l_suppkey FROM ({SIDE.format(1)} EXCEPT {SIDE.format(0)})")
 def set_added_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "lineitem")
-    return relations.added_removed(d.filter("l_orderkey % 50 = 1"), d.filter("l_orderkey % 50 = 2"), "l_partkey")
+    """Parts with their suppliers in even orders against those in odd ones."""
+    d = table(spark, sf_dir, "lineitem").withColumn("pair", F.struct("l_partkey", "l_suppkey"))
+    return relations.added_removed(d.filter("l_orderkey % 2 = 0"), d.filter("l_orderkey % 2 = 1"), "pair").select("change", "pair.*")
 
 
 @query("""SELECT c_custkey AS doc, '/c_mktsegment' AS path, 'changed' AS kind, c_mktsegment AS a, 'X' || c_mktsegment AS b FROM customer WHERE c_custkey % 11 <> 0 AND c_custkey % 7 = 0
@@ -138,14 +139,15 @@ def rule_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.rule_summary(table(spark, sf_dir, "orders").select("o_custkey", status.alias("status")), "o_custkey")
 
 
-EDGES = "SELECT DISTINCT l_suppkey AS src, 1000000 + l_partkey AS dst FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 40 UNION SELECT DISTINCT 1000000 + l_partkey, l_suppkey FROM lineitem WHERE l_linenumber = 2 AND l_quantity > 46"
+EDGES = "SELECT DISTINCT CASE WHEN l_quantity > 40 THEN l_suppkey ELSE 1000000 + l_partkey END AS src, CASE WHEN l_quantity > 40 THEN 1000000 + l_partkey WHEN l_quantity > 25 THEN 2000000 + l_orderkey ELSE l_suppkey END AS dst FROM lineitem"
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "lineitem")
-    part = F.col("l_partkey") + 1000000
-    a = d.filter("l_linenumber = 1 and l_quantity > 40").select(F.col("l_suppkey").alias("src"), part.alias("dst"))
-    return a.unionByName(d.filter("l_linenumber = 2 and l_quantity > 46").select(part.alias("src"), F.col("l_suppkey").alias("dst"))).distinct()
+    """A link for every line: from suppliers to parts, from parts to orders, and from parts back to suppliers."""
+    much = F.col("l_quantity") > 40
+    part, order = F.col("l_partkey") + 1000000, F.col("l_orderkey") + 2000000
+    to = F.when(much, part).when(F.col("l_quantity") > 25, order).otherwise(F.col("l_suppkey"))
+    return table(spark, sf_dir, "lineitem").select(F.when(much, F.col("l_suppkey")).otherwise(part).alias("src"), to.alias("dst")).distinct()
 
 
 WALK = f"WITH RECURSIVE e AS ({EDGES}), w AS (SELECT 1::BIGINT AS node UNION SELECT e.dst FROM w JOIN e ON e.src = w.node)"

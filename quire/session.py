@@ -2,9 +2,34 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; read by Spark, so any store that Spark reaches will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir.
+
+    Where that is unset, a new temporary folder in a session of one machine, and an error on a cluster, whose executors
+    would each write to a disk of their own.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"file://{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
+def can_checkpoint(spark: SparkSession) -> None:
+    """Makes checkpoint() write to the shared folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
