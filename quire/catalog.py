@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import files, kernels
+from .plans import formats, kernels
 
-QUERIES: dict = kernels.QUERIES | files.QUERIES
-ORACLES: dict = kernels.ORACLES | files.ORACLES
+QUERIES: dict = kernels.QUERIES | formats.QUERIES
+ORACLES: dict = kernels.ORACLES | formats.ORACLES  # formats adds to the queries of files
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from itertools import product
 
 import numpy as np
 
-from .images import icc_curve, icc_header, icc_xyz
+from .images import icc_curve, icc_header, icc_parametric, icc_xyz
 from .objects import PdfError
 
 #: The connection space's white.
@@ -130,10 +130,41 @@ class Profile:
 
 
 def _curve(tag: bytes, x: np.ndarray) -> np.ndarray:
+    if tag[:4] == b"para":
+        return parametric(*icc_parametric(tag), x)
     table, gamma = icc_curve(tag)
     return np.interp(x, np.linspace(0, 1, len(table)), table) if table else np.power(x, gamma) if gamma else x
 
 
+def parametric(kind: int, p: list[float], x: np.ndarray) -> np.ndarray:
+    """The five parametric forms: a power above a break, a line or a constant below it."""
+    g, a, b, c, d, e, f = [*p, *([1.0, 0.0, 0.0, 0.0, 0.0, 0.0][len(p) - 1 :])]
+    power = np.power(np.maximum(a * x + b, 0), g)
+    if kind == 0:
+        return np.power(x, g)
+    if kind in (1, 2):
+        low = c if kind == 2 else 0.0
+        return np.where(x >= (-b / a if a else 0), power + low, low)
+    return np.where(x >= d, power + (e if kind == 4 else 0), c * x + (f if kind == 4 else 0))
+
+
+def inverse(table: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Where a sampled curve has the values: it is taken as rising (a falling one is turned), and of a plateau the middle counts, at its ends the inner end."""
+    t = np.asarray(table, float)
+    turned = t[0] > t[-1]
+    t = np.maximum.accumulate(t[::-1] if turned else t)
+    place = np.linspace(0, 1, len(t))
+    y = np.clip(y, t[0], t[-1])
+    first, last = np.searchsorted(t, y, "left"), np.searchsorted(t, y, "right") - 1
+    lo = np.clip(first - 1, 0, len(t) - 1)
+    hi = np.clip(first, 0, len(t) - 1)
+    gap = np.where(t[hi] > t[lo], t[hi] - t[lo], 1.0)
+    x = place[lo] + (place[hi] - place[lo]) * np.clip((y - t[lo]) / gap, 0, 1)
+    flat = last > first
+    x = np.where(flat, np.where(first == 0, place[np.maximum(last, 0)], np.where(last == len(t) - 1, place[hi], (place[hi] + place[np.maximum(last, 0)]) / 2)), x)
+    return 1 - x if turned else x
+
+
 def black_point(p: Profile, intent: str) -> float:
     """The luminance of the darkest neutral that a profile reproduces."""
     if p.head["space"] == "RGB":

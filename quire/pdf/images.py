@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 
@@ -137,5 +138,55 @@ def icc_curve(tag: bytes) -> tuple[list[float] | None, float | None]:
     return (None, v[0] / 256) if n == 1 else ([x / 65535 for x in v], None)
 
 
+def icc_parametric(tag: bytes) -> tuple[int, list[float]]:
+    """Kind and parameters g, a, b, c, d, e, f of a parametric curve tag."""
+    kind = int.from_bytes(tag[8:10], "big")
+    if tag[:4] != b"para" or kind > 4:
+        raise PdfError("invalid-profile", "parametric curve")
+    n = (1, 3, 4, 5, 7)[kind]
+    return kind, [x / 65536 for x in struct.unpack(f">{n}i", tag[12 : 12 + 4 * n])]
+
+
+def icc_identity(data: bytes) -> str:
+    """A digest by which copies of a profile are one: its flags, intent and stored identifier don't count."""
+    head = bytearray(data[:128])
+    for a, b in ((44, 48), (64, 68), (84, 100)):
+        head[a:b] = bytes(b - a)
+    return hashlib.md5(bytes(head) + data[128:]).hexdigest()
+
+
+def jpx_colour(data: bytes) -> dict:
+    """What a JPEG 2000 file says of its colour: components, and an enumerated space or the bytes of a profile."""
+    out: dict = {"components": None, "space": None, "profile": None}
+    if data[:4] == b"\xff\x4f\xff\x51":  # a bare code stream
+        return out | {"components": int.from_bytes(data[40:42], "big")}
+    if data[4:8] != b"jP  ":
+        raise PdfError("bad-jpx", "signature")
+
+    def boxes(at: int, end: int, depth: int) -> None:
+        while at + 8 <= end:
+            size, kind, skip = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8], 8
+            if size == 1:
+                size, skip = int.from_bytes(data[at + 8 : at + 16], "big"), 16
+            size = size or end - at
+            if size < skip or at + size > end:
+                raise PdfError("bad-jpx", "box")
+            body = at + skip
+            if kind == b"jp2h" and depth < 2:
+                boxes(body, at + size, depth + 1)
+            elif kind == b"ihdr":
+                out["components"] = int.from_bytes(data[body + 8 : body + 10], "big")
+            elif kind == b"colr" and out["space"] is None and out["profile"] is None:
+                if data[body] == 1:
+                    number = int.from_bytes(data[body + 3 : body + 7], "big")
+                    out["space"] = {12: "CMYK", 14: "Lab", 16: "sRGB", 17: "grey", 18: "sYCC"}.get(number, str(number))
+                elif data[body] == 2:
+                    out["profile"] = data[body + 3 : at + size]
+            at += size
+
+    boxes(0, len(data), 0)
+    return out
+
+
 def icc_xyz(tag: bytes) -> tuple[float, float, float]:
     return tuple(x / 65536 for x in struct.unpack(">3i", tag[8:20]))
