@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import shared_dir
 from . import automaton
-from .common import columns, give_back, most_frequent
+from .common import RUN, columns, give_back, most_frequent
 
 #: Fixed value: the split of byte-level BPE into words, in the notation of the tokenizers' documentation. splitter() writes it for re.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -338,14 +339,17 @@ def compile_lexicon(docs: DataFrame, vocab_path: str, text_col: str = "text", si
     """Compiles the frequent words into a lexicon and gives it to all executors; its name there."""
     v = Vocabulary(vocab_path)
     words = sorted({w.encode() for w in frequent_words(docs, vocab_path, text_col, size)} - {s.encode() for s in v.special})
-    folder = tempfile.mkdtemp()  # the driver's; executors fetch it from the driver
-    automaton.save(path := os.path.join(folder, "lexicon"), words, *v.merge(words))
-    with open(path, "rb") as f:
-        name = f"lexicon-{base64.b32encode(hashlib.sha256(f.read()).digest()[:10]).decode().lower()}"
-    os.rename(path, path := os.path.join(folder, name))
-    context = docs.sparkSession.sparkContext
-    if name not in {f.rsplit("/", 1)[-1] for f in context.listFiles}:  # the name tells the content
-        context.addFile(path)
+    context, jvm = docs.sparkSession.sparkContext, docs.sparkSession._jvm
+    with tempfile.TemporaryDirectory() as own:  # the driver's; executors fetch the copy in the shared folder
+        automaton.save(path := os.path.join(own, "lexicon"), words, *v.merge(words))
+        with open(path, "rb") as f:
+            name = f"lexicon-{base64.b32encode(hashlib.sha256(f.read()).digest()[:10]).decode().lower()}"
+        if name not in {f.rsplit("/", 1)[-1] for f in context.listFiles}:  # the name tells the content
+            shared = f"{shared_dir(docs.sparkSession)}/{RUN}/{name}"
+            target = jvm.org.apache.hadoop.fs.Path(shared)
+            store = target.getFileSystem(context._jsc.hadoopConfiguration())
+            store.copyFromLocalFile(False, True, jvm.org.apache.hadoop.fs.Path(f"file://{path}"), target)
+            context.addFile(store.makeQualified(target).toString())
     return name
 
 

@@ -3,34 +3,33 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import shared_dir
+
+#: The folder of this process within the shared one, and the tables that it has written there.
+RUN = f"quire-{uuid.uuid4().hex}"
+_made: list[str] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; read by Spark, so any store that Spark reaches will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; a new temporary one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written once as Parquet to the shared folder and read again.
 
     What is computed from it later starts at those files, whichever executors have been lost meanwhile.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quire-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{RUN}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -39,13 +38,27 @@ def columns(df: DataFrame, **needed: str | Column) -> DataFrame:
     return df.select(*[(F.col(f"`{c}`") if isinstance(c, str) else c).alias(name) for name, c in needed.items()])
 
 
-def drop_written(spark: SparkSession) -> None:
-    """Deletes the tables that written() has left in the shared folder. For use after results are stored."""
+def drop_written(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Deletes tables that written() has left in the shared folder: those of this process alone. For use after results are stored."""
     jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    for found in fs.globStatus(jvm.org.apache.hadoop.fs.Path(folder, "quire-*")) or []:
-        fs.delete(found.getPath(), True)
+    for path in list(_made if paths is None else paths):
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        if path in _made:
+            _made.remove(path)
+
+
+def latest() -> list[str]:
+    """The table that written() made last."""
+    return _made[-1:]
+
+
+@contextmanager
+def scratch(spark: SparkSession, keep: int = 0) -> Iterator[None]:
+    """At its end, tables written within are deleted but for the last `keep` of them."""
+    before = len(_made)
+    yield
+    drop_written(spark, _made[before : len(_made) - keep])
 
 
 def most_frequent(counted: DataFrame, size: int, name: str, count: str = "n") -> DataFrame:
