@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import formats, kernels
+from .plans import kernels, pages
 
-QUERIES: dict = kernels.QUERIES | formats.QUERIES
-ORACLES: dict = kernels.ORACLES | formats.ORACLES  # formats adds to the queries of files
+QUERIES: dict = kernels.QUERIES | pages.QUERIES
+ORACLES: dict = kernels.ORACLES | pages.ORACLES  # pages adds to the queries of files and formats
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

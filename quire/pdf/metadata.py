@@ -21,6 +21,15 @@ def read_packet(data: bytes) -> dict[str, list[str]]:
     return xmp.read(data)
 
 
+def all_properties(doc) -> dict[str, list[str]]:
+    """Every property of the document's packet; none if it can't be read."""
+    stream = doc.get(doc.catalog.get(b"Metadata"))
+    try:
+        return read_packet(doc.decoded(stream)[0]) if isinstance(stream, Stream) else {}
+    except PdfError:
+        return {}
+
+
 def properties(doc) -> tuple[list[dict], list[str]]:
     """A row for each mapped key, and findings."""
     findings: list[str] = []

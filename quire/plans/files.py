@@ -45,6 +45,8 @@ def parsed(files: DataFrame, *names: str) -> list[DataFrame]:
     return pdf.write_tables(pdf.parse_files(files, list(names)), path, list(names))
 
 
+#: The tables that a print check asks.
+CHECKED = ("pdf_documents", "pdf_pages", "pdf_objects", "pdf_nodes", "pdf_properties", "pdf_xmp", "pdf_intents")
 FONT = {b"Type": Name(b"Font"), b"Subtype": Name(b"Type1"), b"BaseFont": Name(b"Helvetica"), b"Encoding": Name(b"WinAnsiEncoding"), b"FirstChar": 32, b"Widths": [500] * 224}
 
 
@@ -93,8 +95,7 @@ def pdf_box_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
         return page_file([(b"", {} if r.size % 3 == 0 else {b"TrimBox": [r.size, r.size, 570 + r.size, 700]})])
 
     files = made(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_size").alias("size")), make)
-    t = parsed(files, "pdf_documents", "pdf_pages", "pdf_objects", "pdf_nodes", "pdf_fonts", "pdf_properties")
-    return documents.check_rules(*t).filter("rule = 'boxes'").select(F.col("doc_id").cast("long").alias("p_partkey"), "status")
+    return documents.check_rules(*parsed(files, *CHECKED)).filter("rule = 'X4-BOXES'").select(F.col("doc_id").cast("long").alias("p_partkey"), "status")
 
 
 def packet(title: str) -> Stream:

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..pdf import metadata
 from ..pdf.content import Interpreter, operations
-from ..pdf.document import Document, nodes
+from ..pdf.document import Document, nodes, text_string
+from ..pdf.images import icc_header
 from ..pdf.objects import Keyword, Name, PdfError, Ref, Stream, Str, serialize
 
 BOX = "array<double>"
@@ -24,9 +25,9 @@ TABLES = {
     "pdf_documents": "status string, header string, pages int, sections int, objects int, linearized boolean, signed boolean, error_code string, error_detail string",
     "pdf_warnings": "stage string, page int, code string, detail string",
     "pdf_xref": "ordinal int, kind string, object_number int, type string, location long, generation long",
-    "pdf_objects": "object_number int, generation int, kind string, digest string, filters array<string>, decoded_digest string, decoded_size long",
+    "pdf_objects": "object_number int, generation int, kind string, digest string, filters array<string>, decoded_digest string, decoded_size long, reachable boolean, inline_filters array<string>, readable boolean",
     "pdf_nodes": "object_number int, path string, depth int, ordinal int, kind string, number double, bytes string, ref_num int, ref_gen int",
-    "pdf_pages": f"page int, object_number int, rotate int, user_unit double, media {BOX}, crop {BOX}, bleed {BOX}, trim {BOX}, art {BOX}, explicit array<string>, rotate_depth int, content_digest string, tokens_digest string, complete boolean",
+    "pdf_pages": f"page int, object_number int, rotate int, user_unit double, media {BOX}, crop {BOX}, bleed {BOX}, trim {BOX}, art {BOX}, explicit array<string>, rotate_depth int, content_digest string, tokens_digest string, complete boolean, inline_filters array<string>",
     "pdf_operations": "page int, seq int, operator string, operands string",
     "pdf_glyphs": f"page int, seq int, code int, text string, reason string, font string, x double, y double, size double, width double, box {BOX}, hidden string, clipped boolean, span int, actual string, space string, evidence string",
     "pdf_paints": f"page int, seq int, what string, space string, components {BOX}, stroke boolean, box {BOX}, alpha double",
@@ -34,6 +35,9 @@ TABLES = {
     "pdf_covers": f"page int, seq int, box {BOX}",
     "pdf_fonts": "page int, font_key string, subtype string, name string, tag string, malformed_tag boolean, embedded string, problems array<string>, shown boolean",
     "pdf_properties": "key string, info string, xmp array<string>",
+    "pdf_xmp": "name string, values array<string>",
+    "pdf_packets": "document int, others int, streams int, superseded int",
+    "pdf_intents": "ordinal int, subtype string, condition string, info string, registry string, profile string, space string, class string, inverse boolean, relative boolean",
 }
 
 
@@ -41,6 +45,81 @@ def _digest(v) -> str:
     return hashlib.md5(serialize(v)).hexdigest()
 
 
+def _inline_filters(doc: Document, data: bytes) -> list[str]:
+    """Filters of the inline images in content."""
+    out = []
+    for op, v, _ in operations(data):
+        if op == b"BI":
+            f = doc.get(v[0].get(b"F", v[0].get(b"Filter")))
+            out += [x.decode("latin-1") for x in (f if isinstance(f, list) else [f]) if isinstance(x, bytes)]
+    return out
+
+
+def _drawn(doc: Document, numbers: list[int]) -> set[int]:
+    """Streams of content other than pages': forms, tiling patterns, glyph procedures and appearances."""
+    out: set[int] = set()
+
+    def streams(v) -> None:
+        if isinstance(v, Ref) and isinstance(doc.get(v), Stream):
+            out.add(v.num)
+        elif isinstance(v := doc.get(v), dict):
+            out.update(x.num for x in v.values() if isinstance(x, Ref) and isinstance(doc.get(x), Stream))
+
+    for num in numbers:
+        try:
+            v = doc.load(num)
+        except PdfError:
+            continue
+        d = v.dict if isinstance(v, Stream) else v
+        if isinstance(v, Stream) and (d.get(b"Subtype") == b"Form" or doc.get(d.get(b"PatternType")) == 1):
+            out.add(num)
+        if isinstance(d, dict):
+            if d.get(b"Subtype") == b"Type3":
+                streams(d.get(b"CharProcs"))
+            looks = doc.get(d.get(b"AP"))
+            for state in (looks.get(k) for k in (b"N", b"R", b"D")) if isinstance(looks, dict) else ():
+                streams(state)
+    return out
+
+
+def reached(doc: Document) -> set[int]:
+    """Objects that the trailer leads to; a reference counts only if its generation is the current one."""
+    out: set[int] = set()
+    todo = [doc.trailer]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, Ref):
+            if v.num in out or v.num not in doc.index or doc._gen(v.num) != v.gen:
+                continue
+            out.add(v.num)
+            try:
+                v = doc.load(v.num)
+            except PdfError:
+                continue
+        v = v.dict if isinstance(v, Stream) else v
+        todo += v.values() if isinstance(v, dict) else v if isinstance(v, list) else ()
+    return out
+
+
+def _intents(doc: Document) -> Iterator[dict]:
+    listed = doc.get(doc.catalog.get(b"OutputIntents"))
+    for k, raw in enumerate(listed if isinstance(listed, list) else []):
+        d = doc.get(raw)
+        if not isinstance(d, dict):
+            continue
+        text = lambda n: text_string(v) if isinstance(v := doc.get(d.get(n)), Str) else None  # noqa: B023, E731
+        found = {"profile": "none"}
+        stream = doc.get(d.get(b"DestOutputProfile"))
+        if isinstance(stream, Stream):
+            try:
+                head = icc_header(doc.decoded(stream)[0])
+                found = {"profile": "read", "space": head["space"], "class": head["class"], "inverse": any(f"B2A{i}" in head["tags"] for i in range(3)), "relative": "A2B1" in head["tags"]}
+            except PdfError as e:
+                found = {"profile": e.code}
+        subtype = doc.get(d.get(b"S"))
+        yield {"ordinal": k, "subtype": subtype.decode("latin-1") if isinstance(subtype, Name) else None, "condition": text(b"OutputConditionIdentifier"), "info": text(b"Info"), "registry": text(b"RegistryName")} | found
+
+
 def parse(doc_id: str, data: bytes, want: set[str], recovery: str = "strict") -> Iterator[tuple[str, str, str]]:
     """Rows of one file."""
 
@@ -59,6 +138,13 @@ def parse(doc_id: str, data: bytes, want: set[str], recovery: str = "strict") ->
         for k, s in enumerate(doc.sections):
             for num, e in s["entries"].items():
                 yield row("pdf_xref", ordinal=k, kind=s["kind"], object_number=num, type=e[0], location=e[1], generation=e[2])
+    if "pdf_intents" in want:
+        for found in _intents(doc):
+            yield row("pdf_intents", **found)
+    if "pdf_packets" in want:
+        yield row("pdf_packets", **metadata.scan_packets(doc))
+    live = reached(doc) if "pdf_objects" in want else set()
+    drawn = _drawn(doc, numbers) if "pdf_objects" in want else set()
     if want & {"pdf_objects", "pdf_nodes"}:
         for num, v in [(0, doc.trailer), *((n, None) for n in numbers)]:
             try:
@@ -69,6 +155,8 @@ def parse(doc_id: str, data: bytes, want: set[str], recovery: str = "strict") ->
                     extra["filters"] = [x.decode("latin-1") for x in (f if isinstance(f, list) else [f]) if isinstance(x, bytes)]
                     try:
                         raw, found = doc.decoded(v)
+                        if num in drawn:
+                            extra["inline_filters"] = _inline_filters(doc, raw)
                         extra |= {"decoded_digest": hashlib.md5(raw).hexdigest(), "decoded_size": len(raw)}
                         for w in found:
                             doc.warn(w, str(num))
@@ -80,9 +168,10 @@ def parse(doc_id: str, data: bytes, want: set[str], recovery: str = "strict") ->
                         kind = kind_
                     if "pdf_nodes" in want:
                         yield row("pdf_nodes", object_number=num, path=path, depth=depth, ordinal=ordinal, kind=kind_, number=number, bytes=raw.decode("latin-1") if raw is not None else None, ref_num=ref.num if ref else None, ref_gen=ref.gen if ref else None)
-                yield row("pdf_objects", object_number=num, generation=doc._gen(num), kind=kind, digest=_digest(v), **extra)
+                yield row("pdf_objects", object_number=num, generation=doc._gen(num), kind=kind, digest=_digest(v), reachable=num == 0 or num in live, readable=True, **extra)
             except PdfError as e:
                 doc.warn(e.code, str(num))
+                yield row("pdf_objects", object_number=num, generation=doc._gen(num), reachable=num in live, readable=False)
     for k, page in enumerate(doc.pages):
         boxes = doc.boxes(page)
         rotate, depth = doc.inherited(page, b"Rotate")
@@ -93,6 +182,7 @@ def parse(doc_id: str, data: bytes, want: set[str], recovery: str = "strict") ->
             values["content_digest"] = hashlib.md5(data).hexdigest()
             ops = [(op, v) for op, v, _ in operations(data)]
             values["tokens_digest"] = hashlib.md5(b"\n".join(b" ".join(map(_token, v)) + b" " + op for op, v in ops)).hexdigest()
+            values["inline_filters"] = _inline_filters(doc, data)
             if "pdf_operations" in want:
                 for seq, (op, v) in enumerate(ops):
                     yield row("pdf_operations", page=k, seq=seq, operator=op.decode("latin-1"), operands=b" ".join(map(_token, v)).decode("latin-1"))
@@ -114,6 +204,9 @@ def parse(doc_id: str, data: bytes, want: set[str], recovery: str = "strict") ->
         for key, f in it.fonts.items():
             if f:
                 yield row("pdf_fonts", page=k, font_key=str(key), subtype=f.subtype, name=f.name, tag=f.tag, malformed_tag=f.malformed_tag, embedded=f.embedded, problems=list(f.problems), shown=f.name in shown)
+    if "pdf_xmp" in want:
+        for name, found in metadata.all_properties(doc).items():
+            yield row("pdf_xmp", name=name, values=found)
     if "pdf_properties" in want:
         rows, findings = metadata.properties(doc)
         for r in rows:
@@ -125,8 +218,6 @@ def parse(doc_id: str, data: bytes, want: set[str], recovery: str = "strict") ->
 
 
 def _text(raw: bytes) -> str:
-    from ..pdf.document import text_string
-
     return text_string(Str(raw)) or ""
 
 
