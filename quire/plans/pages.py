@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+import struct
 import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import documents, edits
-from ..pdf import edit
+from ..pdf import edit, inks
 from ..pdf.document import Document
 from ..pdf.encodings import LATIN
 from ..pdf.objects import Name, Ref, Str, Stream, serialize
 from ..pdf.write import page_file, rewrite
 from ..session import table
 from .files import CHECKED, FONT, ORACLES, QUERIES, made, packet, parsed, query, text_page
-from .formats import gamma_tag, profile, run_lengths, xyz_tag
+from .formats import RGB, gamma_tag, profile, run_lengths, xyz_tag
 
 __all__ = ["ORACLES", "QUERIES"]
 F1 = {b"Resources": {b"Font": {b"F1": Ref(100, 0)}}}
@@ -401,3 +404,91 @@ def pdf_intent_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = documents.check_rules(*parsed(made(nations(spark, sf_dir), make), *CHECKED))
     one = lambda rule, out: told.filter(F.col("rule") == rule).select("doc_id", F.col("status").alias(out))
     return one("X4-OI-PROFILE", "profile").join(one("X4-OI-ENTRIES", "entries"), "doc_id").select(key("n_nationkey"), "profile", "entries")
+
+
+INKS = {
+    0: "fill DeviceCMYK 0.0,1.0,1.0,0.0", 1: "image Image ", 2: "fill Separation/Gold 0.5", 3: "shading DeviceCMYK ", 4: "fill DeviceCMYK 0.0,0.0,0.0,0.75", 5: "image Image |fill DeviceCMYK 0.0,0.0,0.0,1.0",
+}
+PIXELS = bytes([0, 255, 255, 0, 255, 255, 0, 0])
+
+
+@query("SELECT n_nationkey, [" + ", ".join(f"'{v}'" for v in INKS.values()) + f"][n_nationkey % 6 + 1] AS paints, CASE WHEN n_nationkey % 6 = 1 THEN '{hashlib.md5(PIXELS).hexdigest()}' END AS pixels, 0::BIGINT AS rgb FROM nation")
+def pdf_inks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms, images, spot alternates, shadings, spaces that are chosen by name, palettes and images within content, all in ink."""
+    press = profile(b"CMYK", b"Lab ", [(b"B2A0", b"mft1" + bytes(60))])
+
+    def make(r) -> bytes:
+        k = r.doc_id % 6
+        form = Stream({b"Type": Name(b"XObject"), b"Subtype": Name(b"Form"), b"BBox": [0, 0, 500, 500], b"Group": {b"S": Name(b"Transparency"), b"CS": Name(b"DeviceRGB")}}, b"1 0 0 rg 0 0 9 9 re f")
+        image = Stream({b"Type": Name(b"XObject"), b"Subtype": Name(b"Image"), b"Width": 2, b"Height": 1, b"BitsPerComponent": 8, b"ColorSpace": Name(b"DeviceRGB")}, bytes([255, 0, 0, 0, 0, 255]))
+        tint = {b"FunctionType": 2, b"N": 1, b"Domain": [0, 1], b"C0": [1, 1, 1], b"C1": [1, 0.8, 0]}
+        gold = [Name(b"Separation"), Name(b"Gold"), Name(b"DeviceRGB"), tint]
+        shade = {b"ShadingType": 2, b"ColorSpace": Name(b"DeviceRGB"), b"Coords": [0, 0, 9, 9], b"Function": tint}
+        palette = [Name(b"Indexed"), Name(b"DeviceRGB"), 1, Str(bytes([0, 0, 0, 255, 255, 255]))]
+        content = (b"/X Do", b"/I Do", b"/G cs 0.5 scn 0 0 9 9 re f", b"/S sh", b"/C cs 0.25 sc 0 0 9 9 re f", b"BI /W 1 /H 1 /BPC 8 /CS /RGB ID abc EI /C cs 0 sc 0 0 9 9 re f")[k]
+        spaces = {b"G": gold, b"C": [Name(b"CalGray"), {b"WhitePoint": [0.95, 1, 1.1]}], b"P": palette}
+        entries = {b"Resources": {b"XObject": {b"X": Ref(100, 0), b"I": Ref(101, 0)}, b"ColorSpace": spaces, b"Shading": {b"S": shade}}}
+        f = page_file([(content, entries)], {100: form, 101: image})
+        return inks.convert_document(f, press, convert=lambda x: np.concatenate([1 - x, np.zeros((len(x), 1))], 1))
+
+    paints, nodes, objects = parsed(made(nations(spark, sf_dir), make), "pdf_paints", "pdf_nodes", "pdf_objects")
+    one = F.concat_ws(" ", "what", "space", F.array_join(F.transform("components", lambda x: F.round(x, 3).cast("string")), ","))
+    each = paints.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", one.alias("t")))), lambda x: x["t"]), "|").alias("paints"))
+    left = nodes.groupBy("doc_id").agg(F.count(F.when(F.col("bytes") == "DeviceRGB", 1)).alias("rgb"))
+    pixels = objects.filter("object_number = 101").select("doc_id", F.when(F.col("doc_id") % 6 == 1, F.col("decoded_digest")).alias("pixels"))
+    return each.join(left, "doc_id").join(pixels, "doc_id").select(key("n_nationkey"), "paints", "pixels", "rgb")
+
+
+# ---------------------------------------------------------------------------- the published ceilings
+
+
+@query("SELECT 'mismatch' AS status, 199800::INT AS kept, 200::INT AS missing, 200::INT AS extra")
+def ceiling_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text of 200,000 glyphs against one in which every thousandth character is another."""
+    text = F.repeat(F.lit("abcdefghij" * 100), 200)
+    found = spark.range(1).select(F.lit("d").alias("doc_id"), F.lit(0).alias("page"), text.alias("text"))
+    want = found.withColumn("text", F.repeat(F.lit("abcdefghij" * 99 + "abcdefghiZ"), 200))
+    return documents.match_text(found, want).select("status", "kept", "missing", "extra")
+
+
+@query("SELECT 100000::BIGINT AS glyphs, 1000::BIGINT AS lines, 100000::BIGINT AS visible")
+def ceiling_interpret(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of 100,000 glyphs in 1,000 text objects."""
+    content = b"".join(b"BT /F1 1 Tf 10 %d Td (%s) Tj ET " % (k, b"x" * 100) for k in range(1000))
+    (glyphs,) = parsed(made(spark.range(1).select(F.lit("d").alias("doc_id")), lambda r: page_file([(content, F1)], {100: FONT})), "pdf_glyphs")
+    return glyphs.agg(F.count(F.lit(1)).alias("glyphs"), F.countDistinct("y").alias("lines"), F.count_if(documents.visible()).alias("visible"))
+
+
+@query("SELECT 10000::BIGINT AS paints")
+def ceiling_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One form drawn 10,000 times."""
+    form = Stream({b"Type": Name(b"XObject"), b"Subtype": Name(b"Form"), b"BBox": [0, 0, 9, 9]}, b"q 0 0 5 5 re f Q")
+    f = page_file([(b"/X Do " * 10_000, {b"Resources": {b"XObject": {b"X": Ref(100, 0)}}})], {100: form})
+    (paints,) = parsed(made(spark.range(1).select(F.lit("d").alias("doc_id")), lambda r: f), "pdf_paints")
+    return paints.agg(F.count(F.lit(1)).alias("paints"))
+
+
+@query("SELECT 524288::BIGINT AS pixels, 2097152::BIGINT AS bytes")
+def ceiling_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An image of 1024 by 512 in red, green and blue, converted to ink through two profiles and saved."""
+    at = np.arange(1024 * 512)
+    raw = np.stack([at % 256, at // 1024 % 256, at // 7 % 256], 1).astype(np.uint8).tobytes()
+    image = Stream({b"Type": Name(b"XObject"), b"Subtype": Name(b"Image"), b"Width": 1024, b"Height": 512, b"BitsPerComponent": 8, b"ColorSpace": Name(b"DeviceRGB"), b"Filter": Name(b"FlateDecode")}, zlib.compress(raw))
+    screen = profile(b"RGB ", b"XYZ ", [*[(c + b"XYZ", xyz_tag(*v)) for c, v in zip((b"r", b"g", b"b"), RGB, strict=True)], *[(c + b"TRC", gamma_tag(2.2)) for c in (b"r", b"g", b"b")]])
+    grid = np.zeros((9, 9, 9, 4))
+    grid[..., 3] = np.linspace(1, 0, 9)[:, None, None]
+    line = np.linspace(0, 65535, 2).round().astype(">u2").tobytes()
+    press = profile(b"CMYK", b"Lab ", [(b"B2A0", b"mft2\0\0\0\0" + bytes([3, 4, 9, 0]) + bytes(36) + struct.pack(">HH", 2, 2) + line * 3 + (grid * 65535).round().astype(">u2").tobytes() + line * 4)])
+    f = page_file([(b"/I Do", {b"Resources": {b"XObject": {b"I": Ref(100, 0)}}})], {100: image})
+    (objects,) = parsed(made(spark.range(1).select(F.lit("d").alias("doc_id")), lambda r: inks.convert_document(f, press, screen)), "pdf_objects")
+    return objects.filter("object_number = 100").select(F.expr("decoded_size div 4").alias("pixels"), F.col("decoded_size").alias("bytes"))
+
+
+@query("SELECT 40000::BIGINT AS glyphs, 20000::BIGINT AS covered")
+def ceiling_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40,000 glyphs against 40,000 later rectangles, which hide every other one."""
+    k = F.col("id")
+    x, y = (k % 200) * 30.0, F.floor(k / 200) * 30.0
+    glyphs = spark.range(40_000).select(F.lit("d").alias("doc_id"), F.lit(0).alias("page"), k.alias("seq"), F.array(x, y, x + 10, y + 10).alias("box"))
+    covers = spark.range(40_000).select(F.lit("d").alias("doc_id"), F.lit(0).alias("page"), (k + 40_000).alias("seq"), F.when(k % 2 == 0, F.array(x - 1, y - 1, x + 11, y + 11)).otherwise(F.array(x + 12, y, x + 20, y + 10)).alias("box"))
+    return documents.covered_glyphs(glyphs, covers).agg(F.count(F.lit(1)).alias("glyphs"), F.count_if("covered").alias("covered"))
