@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import dates, geometry, text as texts
+from ..pdf import matching
 from ..pdf.conditions import CONDITIONS
 from . import relations
 
@@ -73,6 +75,28 @@ def match_text(found: DataFrame, intended: DataFrame, equivalents: dict[str, str
     return differ.select(*PAGE, status.alias("status"), "s.kept", "s.missing", "s.extra")
 
 
+def match_glyphs(glyphs: DataFrame, intended: DataFrame, equivalents: dict[str, str] | None = None, work: int = relations.WORK) -> DataFrame:
+    """(doc_id, page, status, kept, copies, differences, notes): each page's selected glyphs against its intended text.
+
+    Selected are glyphs that paint, and empty ones, which are reported. Folds apply to the page alone, equivalents after
+    them. A page is one group, so it must fit in a task's memory. Pages without glyphs are unverified unless nothing is intended.
+    """
+    cols = ["seq", "code", "text", "reason", "font", "x", "y", "size", "width", "hidden", "span", "actual"]
+    seen = glyphs.filter((F.col("hidden").isNull() | (F.col("hidden") == "empty")) & ~F.col("clipped")).select(*PAGE, *cols, texts.fold(F.col("text")).alias("folded"))
+    want = intended.select(*PAGE, F.col("text").alias("want"))
+
+    def run(keys: tuple, page: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        rows = [{k: None if v is None or v != v else v for k, v in r.items()} for r in page.sort_values("seq").to_dict("records")]
+        for text in wanted["want"]:
+            m = matching.match(rows, text or "", relations.align, work, equivalents)
+            out.append((*keys, m["status"], m["kept"], m["copies"], m["differences"], m["notes"]))
+        return pd.DataFrame(out, columns=[*PAGE, "status", "kept", "copies", "differences", "notes"])
+
+    schema = "doc_id string, page int, status string, kept int, copies int, differences array<struct<kind:string,intended:string,found:string,place:int>>, notes array<struct<kind:string,text:string,shown:string>>"
+    return seen.groupBy(*PAGE).cogroup(want.groupBy(*PAGE)).applyInPandas(run, schema)
+
+
 def _char_steps(want: str | None, have: str | None):
     if want is None:
         return None

@@ -97,6 +97,38 @@ def pdf_composite_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ends.select(key("n_nationkey"), F.expr("left(t, length(t) - 1)").alias("text"), F.round(F.col("b.x") - F.col("a.x"), 6).alias("right"), F.round(F.col("b.y") - F.col("a.y"), 6).alias("down"))
 
 
+MATCHED = {0: ("match", 1, "", ""), 1: ("mismatch", 1, "substituted", ""), 2: ("match", 3, "", ""), 3: ("unverified", 1, "unmapped", ""), 4: ("mismatch", 1, "substituted", "actual-text-disagrees"), 5: ("mismatch", 1, "extra,missing-glyph", "")}
+
+
+@query("SELECT n_nationkey, " + ", ".join(f"{[m[i] for m in MATCHED.values()]}[n_nationkey % 6 + 1]{cast} AS {name}" for i, (name, cast) in enumerate([("status", ""), ("copies", "::INT"), ("kinds", ""), ("notes", "")])) + " FROM nation")
+def pdf_match_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A name and a ligature as they are; a letter changed; set three times as a shadow; with a glyph that has no text; under
+    a text that says something else; with an empty glyph and one too many."""
+
+    def make(r) -> bytes:
+        k = r.doc_id % 6
+        font = {b"Type": Name(b"Font"), b"Subtype": Name(b"Type1"), b"BaseFont": Name(b"Helvetica"), b"Encoding": {b"BaseEncoding": Name(b"WinAnsiEncoding"), b"Differences": [1, Name(b"fi"), Name(b"nosuch")]}}
+        name = r.name.encode()
+        shown = b"(" + (b"#" + name[1:] if k == 1 else name) + (b"\\002" if k == 3 else b"\\001") + b") Tj"
+        if k == 2:  # each copy a little to the right
+            shown = b" ".join(b"1 0 0 1 %.1f 600 Tm " % (50 + 0.3 * i) + shown for i in range(3))
+        elif k == 4:
+            shown = b"/Span <</ActualText (other)>> BDC (" + name + b"*) Tj EMC"
+        elif k == 5:
+            shown += b" /F2 10 Tf (a) Tj /F1 10 Tf (+) Tj"
+        three = {b"Type": Name(b"Font"), b"Subtype": Name(b"Type3"), b"FontMatrix": [0.001, 0, 0, 0.001, 0, 0], b"FontBBox": [0, 0, 500, 500], b"FirstChar": 97, b"LastChar": 97, b"Widths": [500], b"CharProcs": {b"a": Ref(102, 0)}, b"Encoding": {b"Differences": [97, Name(b"a")]}}
+        start = b"BT /F1 10 Tf 1 0 0 1 50 600 Tm "
+        return page_file([(start + shown + b" ET", {b"Resources": {b"Font": {b"F1": Ref(100, 0), b"F2": Ref(101, 0)}}})], {100: font, 101: three, 102: Stream({}, b"500 0 d0")})
+
+    n = nations(spark, sf_dir)
+    (glyphs,) = parsed(made(n, make), "pdf_glyphs")
+    tail = F.when(F.col("doc_id") % 6 == 3, "?").when(F.col("doc_id") % 6 == 4, "!").otherwise("fi")
+    want = n.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(0).alias("page"), F.concat("name", tail).alias("text"))
+    told = documents.match_glyphs(glyphs, want)
+    kinds = lambda c: F.array_join(F.sort_array(F.array_distinct(F.transform(c, lambda x: x["kind"]))), ",")
+    return told.select(key("n_nationkey"), "status", "copies", kinds("differences").alias("kinds"), kinds("notes").alias("notes"))
+
+
 # ---------------------------------------------------------------------------- content
 
 
