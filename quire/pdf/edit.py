@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable
 
 import numpy as np
 
 from . import metadata, xmp
+from .builder import append_content
 from .content import operations
 from .document import Document
 from .filters import deflate
@@ -42,16 +44,56 @@ def set_boxes(data: bytes, boxes: dict[str, list[float]], pages: list[int] | Non
     return save(doc, edits)
 
 
-def prepare_pages(data: bytes) -> bytes:
-    """Gives a TrimBox, the size of the crop box, to pages that have neither that nor an ArtBox."""
+def prepare_pages(data: bytes, group: bool = True) -> bytes:
+    """Gives a TrimBox, the size of the crop box, to pages that have neither that nor an ArtBox; and, unless told
+    otherwise, a transparency group in ink to pages that have none."""
     doc, edits = Document(data), {}
     for page in doc.pages:
-        boxes = doc.boxes(page)
+        boxes, new = doc.boxes(page), dict(page.dict)
         if not boxes["TrimBox"][1] and not boxes["ArtBox"][1] and boxes["CropBox"][0]:
-            edits[page.ref.num] = page.dict | {b"TrimBox": boxes["CropBox"][0]}
+            new[b"TrimBox"] = boxes["CropBox"][0]
+        if group and b"Group" not in new:
+            new[b"Group"] = {b"Type": Name(b"Group"), b"S": Name(b"Transparency"), b"CS": Name(b"DeviceCMYK")}
+        if new != page.dict:
+            edits[page.ref.num] = new
     return save(doc, edits)
 
 
+def draw_on(data: bytes, draw: Callable, pages: list[int] | None = None) -> bytes:
+    """A file with more drawn on its pages, by calls of a builder's content."""
+    doc = Document(data)
+    return save(doc, _drawn(doc, draw, pages))
+
+
+def _drawn(doc: Document, draw: Callable, pages: list[int] | None) -> dict[int, object]:
+    """The edits of several pages, each with numbers of its own."""
+    edits: dict[int, object] = {}
+    step = 0
+    first = max(doc.index, default=0) + 1
+    for k, page in enumerate(doc.pages):
+        if pages is None or k in pages:
+            for num, v in append_content(doc, page, draw).items():
+                if isinstance(v, dict):
+                    v = v | {b"Contents": [Ref(x.num + step, 0) if isinstance(x, Ref) and x.num >= first else x for x in v[b"Contents"]]}
+                edits[num if num == page.ref.num else num + step] = v
+            step += 2
+    return edits
+
+
+def write_pdfx_metadata(data: bytes, title: str, trapped: bool = False, identifiers: tuple[str, str] | None = None) -> bytes:
+    """Sets what PDF/X-4 asks of metadata on both sides: a title, trapping, the version, and identifiers of the document and this copy of it."""
+    out = set_metadata(data, {"Title": title, "Trapped": "True" if trapped else "False"})
+    doc = Document(out)
+    held = doc.catalog[b"Metadata"]
+    stream = doc.get(held)
+    one, two = identifiers or tuple(f"uuid:{hashlib.md5(data + bytes([k])).hexdigest()}" for k in range(2))
+    mm, px = "{http://ns.adobe.com/xap/1.0/mm/}", "{http://www.npes.org/pdfx/ns/id/}"
+    rows = [(px + "GTS_PDFXVersion", "PDF/X-4", "text"), (mm + "DocumentID", one, "text"), (mm + "InstanceID", two, "text"), (mm + "VersionID", "1", "text"), (mm + "RenditionClass", "default", "text")]
+    packet = xmp.splice(doc.decoded(stream)[0], rows, {n for n, _, _ in rows})
+    entries = {k: v for k, v in stream.dict.items() if k not in (b"Filter", b"DecodeParms", b"Length")}
+    return save(doc, {held.num: Stream(entries, packet)})
+
+
 def add_output_intent(data: bytes, profile: bytes, condition: str, info: str = "", registry: str = "http://www.color.org") -> bytes:
     """Names the printing condition that the file is made for, with its profile. A file that has an intent is refused."""
     doc = Document(data)

@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import documents, edits
 from ..pdf import edit, inks
+from ..pdf.builder import Content, NewDocument
 from ..pdf.document import Document
 from ..pdf.encodings import LATIN
-from ..pdf.objects import Name, Ref, Str, Stream, serialize
+from ..pdf.objects import Name, PdfError, Ref, Str, Stream, serialize
 from ..pdf.write import page_file, rewrite
 from ..session import table
 from .files import CHECKED, FONT, ORACLES, QUERIES, made, packet, parsed, query, text_page
@@ -471,6 +472,65 @@ def pdf_inks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.join(left, "doc_id").join(pixels, "doc_id").select(key("n_nationkey"), "paints", "pixels", "rgb")
 
 
+@query("SELECT n_nationkey, 'fill DeviceCMYK|stroke DeviceGray|fill Separation/Gold|image Image|fill DeviceCMYK' AS paints, n_name AS title, CASE WHEN n_nationkey % 2 = 0 THEN 'invisible-overprint' ELSE 'no-current-point' END AS refused FROM nation")
+def pdf_builder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New files drawn by calls: paths, a spot colour, an image, a group; and what such calls refuse."""
+
+    def make(r) -> bytes:
+        doc = NewDocument({"Title": r.name})
+        gold = doc.separation("Gold", (0, 0.2, 0.6, 0.1))
+        picture = doc.image(2, 1, bytes(6), 3)
+        group = doc.group((0, 0, 50, 50), lambda c: c.fill_colour((0, 1, 0, 0)).rectangle(0, 0, 9, 9).fill())
+
+        def draw(c):
+            c.save().line_width(2).line_join("round").line_cap("butt").miter_limit(4).dash([3, 1]).fill_colour((1, 0, 0, 0)).stroke_colour((0.5,))
+            c.move(10, 10).line(90, 10).curve(90, 50, 50, 90, 10, 90).close().fill_and_stroke("evenodd").restore()
+            c.save().rectangle(0, 0, 300, 300).clip().graphics_state(fill_alpha=0.5, blend="Multiply").fill_colour(gold, 0.4).rectangle(20, 20, 30, 30).fill().restore()
+            c.draw(picture, 40, 0, 0, 20, 100, 100)
+            c.draw(group)
+
+        doc.page(400, 400, draw, {"TrimBox": [10, 10, 390, 390]})
+        return doc.write()
+
+    def refused(k: int) -> str:
+        try:
+            c = Content()
+            c.graphics_state(fill_overprint=True).fill_colour((0, 0, 0, 0)).rectangle(0, 0, 1, 1).fill() if k % 2 == 0 else c.line(1, 1)
+        except PdfError as e:
+            return e.code
+        return "none"
+
+    paints, properties = parsed(made(nations(spark, sf_dir), make), "pdf_paints", "pdf_properties")
+    each = paints.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", F.concat_ws(" ", "what", "space").alias("t")))), lambda x: x["t"]), "|").alias("paints"))
+    title = properties.filter("key = 'Title'").select("doc_id", F.col("info").alias("title"))
+    told = F.element_at(F.array(F.lit(refused(0)), F.lit(refused(1))), F.col("doc_id").cast("int") % 2 + 1)
+    return each.join(title, "doc_id").select(key("n_nationkey"), "paints", "title", told.alias("refused"))
+
+
+@query("SELECT n_nationkey, 'passed' AS version, 'passed' AS trapped, n_name AS title, 2::INT AS pages, 2::BIGINT AS drawn, true AS grouped FROM nation")
+def pdf_print_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of two pages made ready for print: boxes, groups, metadata, and a mark drawn on every page."""
+
+    def make(r) -> bytes:
+        f = page_file([text_page(r.name), text_page("")], {100: FONT})
+        f = edit.draw_on(f, lambda c: c.fill_colour((0, 0, 0, 1)).rectangle(5, 5, 10, 10).fill())
+        return edit.write_pdfx_metadata(edit.prepare_pages(f), r.name)
+
+    files = made(nations(spark, sf_dir), make)
+    paints, *t = parsed(files, "pdf_paints", *CHECKED)
+    told = documents.check_rules(*t)
+    one = lambda rule, out: told.filter(F.col("rule") == rule).select("doc_id", F.col("status").alias(out))
+    pages, nodes, properties = t[1], t[3], t[4]
+    count = pages.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("pages"))
+    drawn = paints.groupBy("doc_id").agg(F.count(F.lit(1)).alias("drawn"))
+    grouped = nodes.filter("path = '/Group/CS' and bytes = 'DeviceCMYK'").groupBy("doc_id").agg((F.count(F.lit(1)) == 2).alias("grouped"))
+    title = properties.filter("key = 'Title'").select("doc_id", F.get("xmp", F.lit(0)).alias("title"))
+    out = one("X4-XMP-VERSION", "version").join(one("X4-TRAPPED-XMP", "trapped"), "doc_id")
+    for part in (title, count, drawn, grouped):
+        out = out.join(part, "doc_id")
+    return out.select(key("n_nationkey"), "version", "trapped", "title", "pages", "drawn", "grouped")
+
+
 # ---------------------------------------------------------------------------- the published ceilings
 
 
