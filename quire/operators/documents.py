@@ -158,12 +158,13 @@ def authority(properties: DataFrame) -> DataFrame:
     return some.join(mod, "doc_id", "left").select("doc_id", said.alias("authority"))
 
 
-def compare(pairs: DataFrame, pages: DataFrame, fonts: DataFrame, nodes: DataFrame, warnings: DataFrame | None = None, areas: tuple[str, ...] = AREAS) -> DataFrame:
+def compare(pairs: DataFrame, pages: DataFrame, fonts: DataFrame, values: DataFrame, warnings: DataFrame | None = None, areas: tuple[str, ...] = AREAS) -> DataFrame:
     """(a, b, kind, page, path, left, right): what differs between documents a and b. Object numbers never matter.
 
     One plan for each area, all of them joins within a pair: page count, boxes with their explicitness, content by
-    canonical operations, fonts of a page and of the document, private data and other entries of the page dictionaries,
-    and, given the tables of warnings, how many dictionaries name a key twice.
+    canonical operations, fonts of a page and of the document by their names, encodings and programs, private data and
+    other entries of pages and of the catalog, through references; and, given the table of warnings, how many
+    dictionaries name a key twice. What a page has that the other document lacks isn't compared.
     """
     side = lambda df, s: pairs.join(df.withColumnRenamed("doc_id", s), s)
     keys = ["a", "b", "page"]
@@ -178,7 +179,7 @@ def compare(pairs: DataFrame, pages: DataFrame, fonts: DataFrame, nodes: DataFra
     box = both.filter(~F.col("left").eqNullSafe(F.col("right"))).select("a", "b", F.lit("page-box").alias("kind"), "page", "path", "left", "right")
     digest = lambda s, n: side(pages.select("doc_id", "page", F.coalesce("content_digest", F.lit("")).alias(f"{n}_raw"), F.coalesce("tokens_digest", F.lit("")).alias(n)), s)
     content = digest("a", "left").join(digest("b", "right"), keys).filter("left_raw <> right_raw and left <> right").select("a", "b", F.lit("page-content").alias("kind"), "page", F.lit("").alias("path"), "left", "right")
-    font = F.concat_ws("/", "subtype", "name", F.coalesce("embedded", F.lit("none")))
+    font = F.concat_ws("/", "subtype", "name", F.coalesce("encoding", F.lit("built-in")), F.coalesce("embedded", F.lit("none")), "program")
     of = lambda s, cols: side(fonts.select("doc_id", "page", font.alias("path")), s).select(*cols).distinct()
     common = side(pages.select("doc_id", "page"), "a").join(side(pages.select("doc_id", "page"), "b"), keys)
 
@@ -187,11 +188,12 @@ def compare(pairs: DataFrame, pages: DataFrame, fonts: DataFrame, nodes: DataFra
         part = [own[x].join(own[y], cols, "left_anti").select("a", "b", F.lit(kind).alias("kind"), (F.col("page") if "page" in cols else F.lit(None)).cast("int").alias("page"), "path", F.lit("present" if x == "a" else None).alias("left"), F.lit("present" if x == "b" else None).alias("right")) for x, y in (("a", "b"), ("b", "a"))]
         return part[0].unionByName(part[1])
 
-    skip = r"^/(Parent|Contents|Resources|MediaBox|CropBox|BleedBox|TrimBox|ArtBox|Rotate|UserUnit|Kids|Count)(/|$)"
-    entries = nodes.join(pages.select("doc_id", "page", "object_number"), ["doc_id", "object_number"]).filter((F.col("path") != "") & ~F.col("path").rlike(skip) & ~F.col("kind").isin("reference"))
-    entries = entries.select("doc_id", "page", "path", F.concat_ws(":", F.when(F.col("kind").isin("integer", "real"), "number").otherwise(F.col("kind")), F.coalesce(F.col("number").cast("string"), "bytes")).alias("v"))
+    entries = values.select("doc_id", "owner", F.coalesce("page", F.lit(-1)).alias("page"), "path", F.concat_ws(":", "kind", "value").alias("v"))
     ea, eb = side(entries, "a").withColumnRenamed("v", "left"), side(entries, "b").withColumnRenamed("v", "right")
-    attr = ea.join(eb, [*keys, "path"], "full_outer").filter(~F.col("left").eqNullSafe(F.col("right"))).join(common, keys, "left_semi").select("a", "b", F.when(F.col("path").startswith("/PieceInfo"), "page-piece").otherwise("attributes").alias("kind"), "page", "path", "left", "right")
+    both = ea.join(eb, [*keys, "owner", "path"], "full_outer").filter(~F.col("left").eqNullSafe(F.col("right")))
+    both = both.join(common.unionByName(pairs.select("a", "b", F.lit(-1).alias("page"))), keys, "left_semi")
+    short = lambda c: F.when(F.length(c) > 120, F.concat(F.left(c, F.lit(117)), F.lit("..."))).otherwise(F.col(c)).alias(c)
+    attr = both.select("a", "b", F.when(F.col("path").startswith("/PieceInfo"), "page-piece").otherwise("attributes").alias("kind"), F.when(F.col("page") >= 0, F.col("page")).alias("page"), "path", short("left"), short("right"))
     parts = [counts, box, content, gone(["a", "b", "page", "path"], "page-fonts"), gone(["a", "b", "path"], "fonts"), attr]
     if warnings is not None:
         twice = warnings.filter("code = 'duplicate-key'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))

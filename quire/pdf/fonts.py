@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
 from bisect import bisect_right
 from dataclasses import dataclass, field
 
 from .encodings import ENCODINGS, STANDARD, STANDARD_14, built_in, name_text, standard_width
-from .objects import EOF, Keyword, Name, PdfError, Reader, Stream, Str
+from .objects import EOF, Keyword, Name, PdfError, Reader, Stream, Str, serialize
 from .truetype import character_map, evidence, tables
 
 def subset_tag(name: bytes) -> tuple[str | None, str, bool]:
@@ -172,6 +173,8 @@ class Font:
     metrics: Metrics | None = None
     standing: Metrics | None = None
     collection: str | None = None
+    program_digest: str | None = None
+    encoding: str | None = None
     ascent: float = 880.0
     descent: float = -120.0
 
@@ -281,6 +284,16 @@ def load_font(doc, d: dict, key, provider=None) -> Font:
             ascent, descent = float(heights[0]), -abs(float(heights[1]))
     elif subtype != b"Type3" and name not in STANDARD_14:
         problems.append("missing-descriptor")
+    digest = None
+    if embedded:
+        try:
+            digest = hashlib.md5(doc.decoded(get(descriptor[embedded.encode()]))[0]).hexdigest()
+        except PdfError:
+            problems.append("unreadable-program")
+    e = get(d.get(b"Encoding"))
+    encoding = e.decode("latin-1") if isinstance(e, Name) else None
+    if isinstance(e, (dict, Stream)):  # one of its own: a digest of what it says
+        encoding = hashlib.md5(doc.decoded(e)[0] if isinstance(e, Stream) else serialize({k: get(v) for k, v in sorted(e.items())})).hexdigest()
     program = to_glyph = None
     if subtype == b"Type0" and embedded == "FontFile2":
         try:
@@ -289,4 +302,4 @@ def load_font(doc, d: dict, key, provider=None) -> Font:
             problems.append("unreadable-program")
         m = get(inner.get(b"CIDToGIDMap"))
         to_glyph = doc.decoded(m)[0] if isinstance(m, Stream) else None
-    return Font(key, subtype.decode("latin-1"), name, tag, malformed, "Type3" if subtype == b"Type3" else embedded, widths, default, texts, cmap, unicode, vertical, tuple(problems), procedures, resources, matrix, program, to_glyph, metrics, standing, collection, ascent, descent)
+    return Font(key, subtype.decode("latin-1"), name, tag, malformed, "Type3" if subtype == b"Type3" else embedded, widths, default, texts, cmap, unicode, vertical, tuple(problems), procedures, resources, matrix, program, to_glyph, metrics, standing, collection, digest, encoding, ascent, descent)

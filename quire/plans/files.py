@@ -129,9 +129,9 @@ def pdf_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
         return page_file([(content.replace(b" 780 ", b" 779 ") if edit == 2 else content + b" % a comment is no difference", entries)], {100: FONT})
 
     files = made(n, make).withColumn("doc_id", F.concat(F.lit("a"), "doc_id")).unionByName(made(n, lambda r: make(r, r.doc_id % 4)).withColumn("doc_id", F.concat(F.lit("b"), "doc_id")))
-    pages, fonts, nodes = parsed(files, "pdf_pages", "pdf_fonts", "pdf_nodes")
+    pages, fonts, values = parsed(files, "pdf_pages", "pdf_fonts", "pdf_values")
     pairs = n.select(F.concat(F.lit("a"), "doc_id").alias("a"), F.concat(F.lit("b"), "doc_id").alias("b"))
-    return documents.compare(pairs, pages, fonts, nodes).select(F.substring("a", 2, 9).cast("int").alias("n_nationkey"), "kind", "path")
+    return documents.compare(pairs, pages, fonts, values).select(F.substring("a", 2, 9).cast("int").alias("n_nationkey"), "kind", "path")
 
 
 @query("SELECT n_nationkey, n_name AS colorant, CASE WHEN n_nationkey % 2 = 0 THEN ['painted', 'selected'] ELSE ['selected'] END AS uses FROM nation")

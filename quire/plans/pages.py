@@ -377,7 +377,7 @@ def pdf_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ink.join(documents.page_text(glyphs).filter("page = 1"), "doc_id").select(key("n_nationkey"), "set", "text")
 
 
-@query("SELECT n_nationkey, ['page-count', 'page-fonts', 'fonts', 'page-piece', 'page-box'][k + 1] AS kind, ['', '/Type1/Courier/none', 'Type1/Courier/none', '/PieceInfo/App/V', 'Rotate'][k + 1] AS path FROM (SELECT n_nationkey, unnest(CASE n_nationkey % 4 WHEN 0 THEN [0] WHEN 1 THEN [1, 2] WHEN 2 THEN [3] ELSE [4] END) AS k FROM nation)".replace("'/Type1", "'Type1"))
+@query("SELECT n_nationkey, ['page-count', 'page-fonts', 'fonts', 'page-piece', 'page-box'][k + 1] AS kind, ['', 'Type1/Courier/WinAnsiEncoding/none', 'Type1/Courier/WinAnsiEncoding/none', '/PieceInfo/App/V', 'Rotate'][k + 1] AS path FROM (SELECT n_nationkey, unnest(CASE n_nationkey % 4 WHEN 0 THEN [0] WHEN 1 THEN [1, 2] WHEN 2 THEN [3] ELSE [4] END) AS k FROM nation)")
 def pdf_compare_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies with a page more, another font, other private data, or turned."""
 
@@ -391,12 +391,34 @@ def pdf_compare_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     n = nations(spark, sf_dir)
     files = made(n, lambda r: make(r, False)).withColumn("doc_id", F.concat(F.lit("a"), "doc_id")).unionByName(made(n, lambda r: make(r, True)).withColumn("doc_id", F.concat(F.lit("b"), "doc_id")))
-    pages, fonts, nodes = parsed(files, "pdf_pages", "pdf_fonts", "pdf_nodes")
+    pages, fonts, values = parsed(files, "pdf_pages", "pdf_fonts", "pdf_values")
     pairs = n.select(F.concat(F.lit("a"), "doc_id").alias("a"), F.concat(F.lit("b"), "doc_id").alias("b"))
-    found = documents.compare(pairs, pages, fonts, nodes).filter("kind <> 'page-content'")
+    found = documents.compare(pairs, pages, fonts, values).filter("kind <> 'page-content'")
     return found.select(F.substring("a", 2, 9).cast("int").alias("n_nationkey"), "kind", "path")
 
 
+@query("SELECT n_nationkey, ['attributes', 'attributes', 'attributes', 'attributes'][n_nationkey % 5] AS kind, CASE WHEN n_nationkey % 5 IN (1, 4) THEN 0 END::INT AS page, ['/Annots/0/Contents', '/Names/Deep/V', '/Lang', '/Look/(data)'][n_nationkey % 5] AS path FROM nation WHERE n_nationkey % 5 > 0")
+def pdf_compare_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies that differ behind references: in an annotation that names its page, deep in the catalog's names, whose parts
+    refer back, in the catalog itself, or in a stream that is only stored in another way, or holds something else."""
+
+    def make(r, changed: bool) -> bytes:
+        k = r.doc_id % 5 if changed else 0
+        note = {b"Type": Name(b"Annot"), b"Subtype": Name(b"Text"), b"P": Ref(10, 0), b"Contents": Str(b"new" if k == 1 else b"old")}
+        deep = {b"V": 2 if k == 2 else 1, b"Back": Ref(101, 0)}
+        data = b"other" if k == 4 else b"same data"
+        stream = Stream({b"Filter": Name(b"FlateDecode")}, zlib.compress(data)) if changed else Stream({}, data)
+        number = 120 if changed else 100  # object numbers never matter
+        extra = {number: note, 101: {b"Deep": Ref(102, 0)}, 102: deep, 103: stream}
+        return page_file([(b"", {b"Annots": [Ref(number, 0)], b"Look": Ref(103, 0)})], extra, {b"Names": Ref(101, 0), b"Lang": Str(b"de" if k == 3 else b"en")})
+
+    n = nations(spark, sf_dir)
+    files = made(n, lambda r: make(r, False)).withColumn("doc_id", F.concat(F.lit("a"), "doc_id")).unionByName(made(n, lambda r: make(r, True)).withColumn("doc_id", F.concat(F.lit("b"), "doc_id")))
+    pairs = n.select(F.concat(F.lit("a"), "doc_id").alias("a"), F.concat(F.lit("b"), "doc_id").alias("b"))
+    found = documents.compare(pairs, *parsed(files, "pdf_pages", "pdf_fonts", "pdf_values"))
+    return found.select(F.substring("a", 2, 9).cast("int").alias("n_nationkey"), "kind", "page", "path")
+
+
 #: What each file has, the rule that it breaks and how the rule ends.
 BROKEN = [("none", "X4-EXTERNAL", "passed"), ("script", "X4-JS", "violation"), ("lzw", "X4-LZW", "violation"), ("inline", "X4-LZW", "violation"), ("attached", "X4-EMBEDDED", "violation"), ("lost", "X4-EMBEDDED", "passed"), ("alternate", "X4-EXTERNAL", "violation"), ("form", "X4-FORMS", "violation"), ("intent", "X4-OI-ENTRIES", "passed"), ("trapped", "X4-TRAPPED", "passed")]
 

@@ -27,13 +27,14 @@ TABLES = {
     "pdf_xref": "ordinal int, kind string, object_number int, type string, location long, generation long",
     "pdf_objects": "object_number int, generation int, kind string, digest string, filters array<string>, decoded_digest string, decoded_size long, reachable boolean, inline_filters array<string>, readable boolean",
     "pdf_nodes": "object_number int, path string, depth int, ordinal int, kind string, number double, bytes string, ref_num int, ref_gen int",
+    "pdf_values": "owner string, page int, path string, kind string, value string",
     "pdf_pages": f"page int, object_number int, rotate int, user_unit double, media {BOX}, crop {BOX}, bleed {BOX}, trim {BOX}, art {BOX}, explicit array<string>, rotate_depth int, content_digest string, tokens_digest string, complete boolean, inline_filters array<string>",
     "pdf_operations": "page int, seq int, operator string, operands string",
     "pdf_glyphs": f"page int, seq int, code int, text string, reason string, font string, x double, y double, size double, width double, box {BOX}, hidden string, clipped boolean, span int, actual string, space string, evidence string",
     "pdf_paints": f"page int, seq int, what string, space string, components {BOX}, stroke boolean, box {BOX}, alpha double",
     "pdf_selects": f"page int, seq int, space string, components {BOX}, stroke boolean",
     "pdf_covers": f"page int, seq int, box {BOX}",
-    "pdf_fonts": "page int, font_key string, subtype string, name string, tag string, malformed_tag boolean, embedded string, problems array<string>, shown boolean",
+    "pdf_fonts": "page int, font_key string, subtype string, name string, tag string, malformed_tag boolean, embedded string, problems array<string>, shown boolean, program string, encoding string",
     "pdf_properties": "key string, info string, xmp array<string>",
     "pdf_xmp": "name string, values array<string>",
     "pdf_packets": "document int, others int, streams int, superseded int",
@@ -101,6 +102,51 @@ def reached(doc: Document) -> set[int]:
     return out
 
 
+#: Entries of a page and of the catalog that other areas of a comparison tell about, or that only bind the file together.
+PAGE_KEYS = {b"Type", b"Parent", b"Contents", b"Resources", b"MediaBox", b"CropBox", b"BleedBox", b"TrimBox", b"ArtBox", b"Rotate", b"UserUnit"}
+CATALOG_KEYS = {b"Type", b"Pages", b"Metadata"}
+
+
+def _values(doc: Document, entries: dict, skip: set[bytes], pages: dict[int, int]) -> Iterator[tuple[str, str, str]]:
+    """(path, kind, value) of everything in entries through references. An object is followed where it is met first; later
+    it is the path of that. A page is its place; a stream's data is a digest of what it decodes to."""
+    met: dict[int, str] = {}
+    key = lambda k: k.decode("latin-1").replace("~", "~0").replace("/", "~1")
+    todo = [(f"/{key(k)}", v) for k, v in entries.items() if k not in skip][::-1]
+    while todo:
+        path, v = todo.pop()
+        if isinstance(v, Ref):
+            if v.num in pages:
+                yield path, "page", str(pages[v.num])
+                continue
+            if v.num in met:
+                yield path, "same", met[v.num]
+                continue
+            met[v.num] = path
+            try:
+                v = doc.get(v)
+            except PdfError as e:
+                yield path, "unreadable", e.code
+                continue
+        if isinstance(v, Stream):
+            try:
+                yield f"{path}/(data)", "data", hashlib.md5(doc.decoded(v)[0]).hexdigest()
+            except PdfError:
+                yield f"{path}/(data)", "data", hashlib.md5(v.data).hexdigest()
+            v = {k: x for k, x in v.dict.items() if k not in (b"Length", b"Filter", b"DecodeParms")}
+        if isinstance(v, dict):
+            if not v:
+                yield path, "dictionary", ""
+            todo += [(f"{path}/{key(k)}", x) for k, x in sorted(v.items(), reverse=True) if not (k == b"Parent" and isinstance(x, Ref))]
+        elif isinstance(v, list):
+            if not v:
+                yield path, "array", ""
+            todo += [(f"{path}/{k}", x) for k, x in reversed([*enumerate(v)])]
+        else:
+            kind = "null" if v is None else "boolean" if isinstance(v, bool) else "number" if isinstance(v, (int, float)) else "name" if isinstance(v, Name) else "string"
+            yield path, kind, _token(v).decode("latin-1")
+
+
 def _intents(doc: Document) -> Iterator[dict]:
     listed = doc.get(doc.catalog.get(b"OutputIntents"))
     for k, raw in enumerate(listed if isinstance(listed, list) else []):
@@ -141,6 +187,10 @@ def parse(doc_id: str, data: bytes, want: set[str], recovery: str = "strict") ->
     if "pdf_intents" in want:
         for found in _intents(doc):
             yield row("pdf_intents", **found)
+    places = {p.ref.num: k for k, p in enumerate(doc.pages)}
+    if "pdf_values" in want:
+        for path, kind, v in _values(doc, doc.catalog, CATALOG_KEYS, places):
+            yield row("pdf_values", owner="document", path=path, kind=kind, value=v)
     if "pdf_packets" in want:
         yield row("pdf_packets", **metadata.scan_packets(doc))
     live = reached(doc) if "pdf_objects" in want else set()
@@ -173,6 +223,9 @@ def parse(doc_id: str, data: bytes, want: set[str], recovery: str = "strict") ->
                 doc.warn(e.code, str(num))
                 yield row("pdf_objects", object_number=num, generation=doc._gen(num), reachable=num in live, readable=False)
     for k, page in enumerate(doc.pages):
+        if "pdf_values" in want:
+            for path, kind, v in _values(doc, page.dict, PAGE_KEYS, places):
+                yield row("pdf_values", owner="page", page=k, path=path, kind=kind, value=v)
         boxes = doc.boxes(page)
         rotate, depth = doc.inherited(page, b"Rotate")
         it, values, events = Interpreter(doc), {}, []
@@ -203,7 +256,7 @@ def parse(doc_id: str, data: bytes, want: set[str], recovery: str = "strict") ->
             yield row("pdf_warnings", stage="content", page=k, code=w)
         for key, f in it.fonts.items():
             if f:
-                yield row("pdf_fonts", page=k, font_key=str(key), subtype=f.subtype, name=f.name, tag=f.tag, malformed_tag=f.malformed_tag, embedded=f.embedded, problems=list(f.problems), shown=f.name in shown)
+                yield row("pdf_fonts", page=k, font_key=str(key), subtype=f.subtype, name=f.name, tag=f.tag, malformed_tag=f.malformed_tag, embedded=f.embedded, problems=list(f.problems), shown=f.name in shown, program=f.program_digest, encoding=f.encoding)
     if "pdf_xmp" in want:
         for name, found in metadata.all_properties(doc).items():
             yield row("pdf_xmp", name=name, values=found)

@@ -249,9 +249,9 @@ def test_private_data_and_double_keys_are_compared(spark):
     a = page_file([(b"", {b"PieceInfo": {b"App": {b"V": 1}}})])
     b = page_file([(b"", {b"PieceInfo": {b"App": {b"V": 2}}})], {100: b"<</K 1/K 2>>"}, {b"X": Ref(100, 0)})
     records = pdf.parse_files(spark.createDataFrame([("a", bytearray(a)), ("b", bytearray(b))], "doc_id string, content binary")).cache()
-    t = [pdf.table(records, f"pdf_{n}") for n in ("pages", "fonts", "nodes", "warnings")]
+    t = [pdf.table(records, f"pdf_{n}") for n in ("pages", "fonts", "values", "warnings")]
     got = documents.compare(spark.createDataFrame([("a", "b")], "a string, b string"), *t).collect()
-    assert sorted((r.kind, r.path) for r in got) == [("duplicate-keys", ""), ("page-piece", "/PieceInfo/App/V")]
+    assert sorted((r.kind, r.path) for r in got) == [("attributes", "/X/K"), ("duplicate-keys", ""), ("page-piece", "/PieceInfo/App/V")]
 
 
 def test_matching_with_equivalents_and_incomplete_pages(spark):
