@@ -7,6 +7,8 @@ from itertools import product
 
 from pyspark.sql import Column, functions as F
 
+from .dates import _let
+
 #: The D50 white of the connection space.
 D50 = (0.9642, 1.0, 0.8249)
 
@@ -24,25 +26,37 @@ def lab_to_xyz(l: Column, a: Column, b: Column) -> tuple[Column, Column, Column]
 
 
 def delta_e2000(l1: Column, a1: Column, b1: Column, l2: Column, a2: Column, b2: Column) -> Column:
-    """The CIEDE2000 difference of two colours."""
+    """The CIEDE2000 difference of two colours. What is used more than once is worked out once."""
     hyp = lambda p, q: F.sqrt(p * p + q * q)
-    mean7 = F.pow((hyp(a1, b1) + hyp(a2, b2)) / 2, 7)
-    g = (F.lit(1.0) - F.sqrt(mean7 / (mean7 + 25.0**7))) * 0.5
-    p1, p2 = a1 * (g + 1), a2 * (g + 1)
-    c1, c2 = hyp(p1, b1), hyp(p2, b2)
-    hue = lambda p, q: F.when((p == 0) & (q == 0), 0.0).otherwise(F.pmod(F.degrees(F.atan2(q, p)) + 360.0, F.lit(360.0)))
-    h1, h2 = hue(p1, b1), hue(p2, b2)
-    grey = c1 * c2 == 0
-    dh = F.when(grey, 0.0).when(F.abs(h2 - h1) <= 180, h2 - h1).when(h2 > h1, h2 - h1 - 360).otherwise(h2 - h1 + 360)
-    dl, dc, dbig = l2 - l1, c2 - c1, F.sqrt(c1 * c2) * F.sin(F.radians(dh / 2)) * 2
-    lm, cm = (l1 + l2) / 2, (c1 + c2) / 2
-    hm = F.when(grey, h1 + h2).when(F.abs(h1 - h2) <= 180, (h1 + h2) / 2).when(h1 + h2 < 360, (h1 + h2 + 360) / 2).otherwise((h1 + h2 - 360) / 2)
     cos = lambda t: F.cos(F.radians(t))
-    t = F.lit(1.0) - cos(hm - 30) * 0.17 + cos(hm * 2) * 0.24 + cos(hm * 3 + 6) * 0.32 - cos(hm * 4 - 63) * 0.2
-    sl = F.pow(lm - 50, 2) * 0.015 / F.sqrt(F.pow(lm - 50, 2) + 20) + 1
-    sc, sh = cm * 0.045 + 1, cm * t * 0.015 + 1
-    rt = -F.sin(F.radians(F.exp(-F.pow((hm - 275) / 25, 2)) * 60)) * F.sqrt(F.pow(cm, 7) / (F.pow(cm, 7) + 25.0**7)) * 2
-    return F.sqrt(F.pow(dl / sl, 2) + F.pow(dc / sc, 2) + F.pow(dbig / sh, 2) + rt * (dc / sc) * (dbig / sh))
+    hue = lambda p, q: F.when((p == 0) & (q == 0), 0.0).otherwise(F.pmod(F.degrees(F.atan2(q, p)) + 360.0, F.lit(360.0)))
+    power7 = lambda c: c * c * c * c * c * c * c
+
+    def chroma(v: Column) -> Column:
+        g = (F.lit(1.0) - F.sqrt(v["m"] / (v["m"] + 25.0**7))) * 0.5
+        return _let(F.struct(*[v[k].alias(k) for k in ("l1", "b1", "l2", "b2")], (v["a1"] * (g + 1)).alias("p1"), (v["a2"] * (g + 1)).alias("p2")), hues)
+
+    def hues(v: Column) -> Column:
+        parts = [((v["l1"] + v["l2"]) / 2 - 50).alias("lm"), (v["l2"] - v["l1"]).alias("dl"), hyp(v["p1"], v["b1"]).alias("c1"), hyp(v["p2"], v["b2"]).alias("c2"), hue(v["p1"], v["b1"]).alias("h1"), hue(v["p2"], v["b2"]).alias("h2")]
+        return _let(F.struct(*parts), means)
+
+    def means(v: Column) -> Column:
+        c1, c2, h1, h2 = (v[k] for k in ("c1", "c2", "h1", "h2"))
+        grey, far = c1 * c2 == 0, F.abs(h2 - h1) > 180
+        dh = F.when(grey, 0.0).when(~far, h2 - h1).when(h2 > h1, h2 - h1 - 360).otherwise(h2 - h1 + 360)
+        hm = F.when(grey, h1 + h2).when(~far, (h1 + h2) / 2).when(h1 + h2 < 360, (h1 + h2 + 360) / 2).otherwise((h1 + h2 - 360) / 2)
+        parts = [v["lm"].alias("lm"), v["dl"].alias("dl"), (c2 - c1).alias("dc"), (F.sqrt(c1 * c2) * F.sin(F.radians(dh / 2)) * 2).alias("db"), ((c1 + c2) / 2).alias("cm"), hm.alias("hm")]
+        return _let(F.struct(*parts), weighed)
+
+    def weighed(v: Column) -> Column:
+        lm, cm, hm = v["lm"], v["cm"], v["hm"]
+        t = F.lit(1.0) - cos(hm - 30) * 0.17 + cos(hm * 2) * 0.24 + cos(hm * 3 + 6) * 0.32 - cos(hm * 4 - 63) * 0.2
+        turn = -F.sin(F.radians(F.exp(-F.pow((hm - 275) / 25, 2)) * 60)) * F.sqrt(power7(cm) / (power7(cm) + 25.0**7)) * 2
+        parts = [(v["dl"] / (lm * lm * 0.015 / F.sqrt(lm * lm + 20) + 1)).alias("l"), (v["dc"] / (cm * 0.045 + 1)).alias("c"), (v["db"] / (cm * t * 0.015 + 1)).alias("h"), turn.alias("r")]
+        return _let(F.struct(*parts), lambda x: F.sqrt(x["l"] * x["l"] + x["c"] * x["c"] + x["h"] * x["h"] + x["r"] * x["c"] * x["h"]))
+
+    first = [c.alias(n) for n, c in zip(("l1", "a1", "b1", "l2", "a2", "b2"), (l1, a1, b1, l2, a2, b2), strict=True)]
+    return _let(F.struct(*first, power7((hyp(a1, b1) + hyp(a2, b2)) / 2).alias("m")), chroma)
 
 
 def exponential(x: Column, c0: float, c1: float, n: float) -> Column:

@@ -8,6 +8,9 @@ PDF = r"^D?:?(\d{4})(\d\d)?(\d\d)?(\d\d)?(\d\d)?(\d\d)?(?:([Zz+-])(?:(\d\d)'?(?:
 XMP = r"^(\d{4})(?:-(\d\d)(?:-(\d\d)(?:T(\d\d):(\d\d)(?::(\d\d)(?:\.\d+)?)?(Z|[+-])?(?:(\d\d):(\d\d))?)?)?)?$"
 
 
+MARK = "\x01"
+
+
 def _let(value: Column, use) -> Column:
     """use(value) with the value worked out once, however often it is used."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -32,7 +35,9 @@ def _parse(text: Column, pattern: str, bare_zone: bool) -> Column:
         zone = F.when(sign.isin("+", "-"), (oh * 60 + om) * F.when(sign == "-", -1).otherwise(1)).when(F.lower(sign) == "z", 0)
         return F.when(ok, F.struct(y.alias("year"), mo.alias("month"), d.alias("day"), h.alias("hour"), mi.alias("minute"), s.alias("second"), zone.alias("offset_min"), precision.alias("precision")))
 
-    groups = F.array(*[F.regexp_extract(text, pattern, k) for k in range(10)])
+    # The pattern runs once: its groups are put between marks, and what doesn't match stays without any.
+    marked = F.regexp_replace(text, pattern, MARK.join(f"${k}" for k in range(10)))
+    groups = F.when(F.contains(marked, F.lit(MARK)) & ~F.contains(text, F.lit(MARK)), F.split(marked, MARK, -1)).otherwise(F.array_repeat(F.lit(""), 10))
     return _let(_let(groups, fields), checked)
 
 
