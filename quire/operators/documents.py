@@ -114,14 +114,19 @@ def list_fonts(fonts: DataFrame) -> DataFrame:
     return per.join(tags, ["doc_id", "tag"], "left").withColumn("reused", F.coalesce("reused", F.lit(False)))
 
 
-def list_colorants(paints: DataFrame, selects: DataFrame, glyphs: DataFrame) -> DataFrame:
-    """(doc_id, page, colorant, kind, uses): names of spot colours with how they occur, in a fixed order."""
+def list_colorants(paints: DataFrame, selects: DataFrame, glyphs: DataFrame, resources: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page, colorant, kind, uses): names of spot colours with how they occur, in a fixed order: painted, as text
+    that can't be seen, only chosen, or, given the table of resources, only declared or the alternate of another one."""
     shown = glyphs.select(*PAGE, "space", F.when(visible(), "painted").otherwise("invisible-text").alias("use"))
     every = paints.select(*PAGE, "space", F.lit("painted").alias("use")).unionByName(selects.select(*PAGE, "space", F.lit("selected").alias("use"))).unionByName(shown)
+    if resources is not None:
+        every = every.unionByName(resources.filter("space is not null").select(*PAGE, "space", F.lit("declared").alias("use")))
+        every = every.unionByName(resources.filter("alternate is not null").select(*PAGE, F.col("alternate").alias("space"), F.lit("alternate").alias("use")))
     spot = every.filter(F.col("space").rlike("(Separation|DeviceN)/"))
     parts = F.split(F.regexp_replace("space", "^.*?(Separation|DeviceN)/", ""), "/")
-    named = spot.select(*PAGE, F.regexp_extract("space", "(Separation|DeviceN)/", 1).alias("kind"), F.explode(parts).alias("colorant"), "use")
-    order = F.array(F.lit("painted"), F.lit("invisible-text"), F.lit("selected"))
+    name = F.replace(F.replace(F.col("part"), F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))
+    named = spot.select(*PAGE, F.regexp_extract("space", "(Separation|DeviceN)/", 1).alias("kind"), F.explode(parts).alias("part"), "use").withColumn("colorant", name)
+    order = F.array(*map(F.lit, ("painted", "invisible-text", "selected", "declared", "alternate")))
     return named.groupBy(*PAGE, "colorant", "kind").agg(F.collect_set("use").alias("_u")).select(*PAGE, "colorant", "kind", F.filter(order, lambda x: F.array_contains("_u", x)).alias("uses"))
 
 

@@ -322,9 +322,9 @@ class Interpreter:
         if isinstance(value, list) and value:
             kind = self.doc.get(value[0])
             if kind == b"Separation":
-                return f"Separation/{self.doc.get(value[1]).decode('latin-1')}"
+                return f"Separation/{_escaped(self.doc.get(value[1]))}"
             if kind == b"DeviceN":
-                return "DeviceN/" + "/".join(x.decode("latin-1") for x in self.doc.get(value[1]))
+                return "DeviceN/" + "/".join(_escaped(x) for x in self.doc.get(value[1]))
             if kind in (b"Indexed", b"Pattern") and len(value) > 1:
                 return f"{kind.decode()}:{self.space(self.doc.get(value[1]))}"
             return kind.decode("latin-1") if isinstance(kind, bytes) else "unknown"
@@ -413,6 +413,14 @@ class Interpreter:
         finally:
             self.nested -= 1
 
+    @staticmethod
+    def ink(f: Font, code: int, m, left: float, low: float) -> list[float] | None:
+        """The box of a glyph's outline on the page, where the embedded program tells it."""
+        b = f.outline(code)
+        if b is None:
+            return None
+        return list(_bounds([[at(m, left + x, low + y) for x, y in ((b[0], b[1]), (b[2], b[1]), (b[2], b[3]), (b[0], b[3]))]]))
+
     def draws_nothing(self, f: Font, code: int) -> bool:
         """Whether a Type 3 glyph has no procedure, or one without an operator that paints."""
         key = (f.key, code)
@@ -448,13 +456,18 @@ class Interpreter:
                 flat = abs(m[0] * m[3] - m[1] * m[2]) < 1e-9
                 hidden = "soft-mask" if self.masks else "render-mode" if s.mode % 4 == 3 else "transparent" if alpha == 0 else "degenerate" if flat else "empty" if f.subtype == "Type3" and self.draws_nothing(f, code) else None
                 x, y = at(m, left, low)
-                self.emit("glyph", code=code, bytes=size, text=text, reason=reason, font=f.name, x=x, y=y, box=list(_bounds([corners])), size=s.size, width=width, hidden=hidden, clipped=s.clip is not None and s.clip.side(corners) in ("outside", "unknown"), actual=span[0] if span else None, span=span[1] if span else None, space=s.fill[0].decode("latin-1"), evidence=f.evidence(code, text))
+                self.emit("glyph", code=code, bytes=size, text=text, reason=reason, font=f.name, x=x, y=y, box=list(_bounds([corners])), size=s.size, width=width, hidden=hidden, clipped=s.clip is not None and s.clip.side(corners) in ("outside", "unknown"), actual=span[0] if span else None, span=span[1] if span else None, space=s.fill[0].decode("latin-1"), evidence=f.evidence(code, text), ink=self.ink(f, code, m, left, low))
                 if f.procedures and hidden is None:
                     self.procedure(f, code, m, s)
                 tm = mul((1, 0, 0, 1, *shift), tm)
         return tm
 
 
+def _escaped(name: bytes) -> str:
+    """A colorant's name without slashes of its own."""
+    return name.decode("latin-1").replace("~", "~0").replace("/", "~1")
+
+
 def _is(value, kind: str) -> bool:
     """Whether an operand is of the kind: n number, a array, N name, x any."""
     if kind == "n":

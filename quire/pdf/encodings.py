@@ -51,7 +51,9 @@ def _by_unicode(name: str) -> str | None:
 
 def name_text(name: str) -> str | None:
     """The text that a glyph name stands for: by itself, by its code, by a letter and an accent, or by Unicode's name of a letter."""
-    name = name.split(".")[0] or name
+    name = name.split(".")[0]
+    if not name:  # as of .notdef
+        return None
     if name in NAMES or name in CYRILLIC:
         return NAMES.get(name) or CYRILLIC[name]
     if len(name) == 1:

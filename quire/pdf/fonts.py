@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 
 from .encodings import ENCODINGS, STANDARD, STANDARD_14, built_in, name_text, standard_width
 from .objects import EOF, Keyword, Name, PdfError, Reader, Stream, Str, serialize
-from .truetype import character_map, evidence, tables
+from .truetype import character_map, evidence, glyph_box, tables
 
 def subset_tag(name: bytes) -> tuple[str | None, str, bool]:
     """(tag, name without it, malformed)."""
@@ -174,6 +174,7 @@ class Font:
     standing: Metrics | None = None
     collection: str | None = None
     program_digest: str | None = None
+    sfnt: dict | None = None
     encoding: str | None = None
     ascent: float = 880.0
     descent: float = -120.0
@@ -194,6 +195,18 @@ class Font:
         glyph = int.from_bytes(self.to_glyph[2 * cid : 2 * cid + 2], "big") if self.to_glyph is not None else cid
         return evidence(text, glyph, *self.program)
 
+    def outline(self, code: int) -> tuple[float, float, float, float] | None:
+        """The box around a glyph's outline in ems; null without an embedded TrueType program, or for an empty outline."""
+        if self.sfnt is None or self.cmap is None:
+            return None
+        cid = self.cmap.get(code) or 0
+        glyph = int.from_bytes(self.to_glyph[2 * cid : 2 * cid + 2], "big") if self.to_glyph is not None else cid
+        try:
+            b, em = glyph_box(self.sfnt, glyph), int.from_bytes(self.sfnt["head"][18:20], "big")
+        except (KeyError, IndexError, struct.error):
+            return None
+        return tuple(v / em for v in b) if b and em else None
+
     def glyphs(self, data: bytes):
         """(code, bytes, width, text, reason) of each code; the reason tells why there is no text."""
         for code, size in self.cmap.split(data) if self.cmap else ((c, 1) for c in data):
@@ -294,12 +307,13 @@ def load_font(doc, d: dict, key, provider=None) -> Font:
     encoding = e.decode("latin-1") if isinstance(e, Name) else None
     if isinstance(e, (dict, Stream)):  # one of its own: a digest of what it says
         encoding = hashlib.md5(doc.decoded(e)[0] if isinstance(e, Stream) else serialize({k: get(v) for k, v in sorted(e.items())})).hexdigest()
-    program = to_glyph = None
+    program = to_glyph = sfnt = None
     if subtype == b"Type0" and embedded == "FontFile2":
         try:
-            program = character_map(tables(doc.decoded(get(descriptor[b"FontFile2"]))[0])["cmap"])
+            sfnt = tables(doc.decoded(get(descriptor[b"FontFile2"]))[0])
+            program = character_map(sfnt["cmap"])
         except (PdfError, KeyError, IndexError, struct.error):
             problems.append("unreadable-program")
         m = get(inner.get(b"CIDToGIDMap"))
         to_glyph = doc.decoded(m)[0] if isinstance(m, Stream) else None
-    return Font(key, subtype.decode("latin-1"), name, tag, malformed, "Type3" if subtype == b"Type3" else embedded, widths, default, texts, cmap, unicode, vertical, tuple(problems), procedures, resources, matrix, program, to_glyph, metrics, standing, collection, digest, encoding, ascent, descent)
+    return Font(key, subtype.decode("latin-1"), name, tag, malformed, "Type3" if subtype == b"Type3" else embedded, widths, default, texts, cmap, unicode, vertical, tuple(problems), procedures, resources, matrix, program, to_glyph, metrics, standing, collection, digest, sfnt, encoding, ascent, descent)

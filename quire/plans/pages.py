@@ -221,6 +221,41 @@ def pdf_marked_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.page_text(glyphs).join(count, "doc_id").select(key("n_nationkey"), "text", "glyphs")
 
 
+@query("SELECT n_nationkey, unnest([n_name || '/x', 'Gold', 'Base', 'Sky']) AS colorant, unnest([['painted', 'selected', 'declared'], ['selected', 'declared'], ['alternate'], ['declared']]) AS uses, 8::BIGINT AS reached FROM nation")
+def pdf_declared_colorants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spot colours that pages paint with, choose, only declare within forms and masks, or that stand for others; and all
+    resources that a page can reach, through a form that draws itself."""
+
+    def make(r) -> bytes:
+        tint = {b"FunctionType": 2, b"N": 1, b"Domain": [0, 1]}
+        spot = lambda name, base: [Name(b"Separation"), Name(name), base, tint]
+        base = spot(b"Base", Name(b"DeviceCMYK"))
+        several = [Name(b"DeviceN"), [Name(r.name.encode() + b"/x")], base, tint]
+        inner = {b"ColorSpace": {b"S": spot(b"Sky", Name(b"DeviceCMYK"))}, b"XObject": {b"X": Ref(100, 0)}}
+        form = Stream({b"Subtype": Name(b"Form"), b"BBox": [0, 0, 9, 9], b"Resources": inner}, b"")
+        mask = Stream({b"Subtype": Name(b"Form"), b"BBox": [0, 0, 9, 9], b"Resources": {b"Properties": {b"M": {}}}}, b"")
+        shade = {b"ShadingType": 2, b"ColorSpace": Name(b"DeviceCMYK"), b"Coords": [0, 0, 1, 1], b"Function": tint}
+        entries = {b"ColorSpace": {b"A": several, b"B": spot(b"Gold", Name(b"DeviceCMYK"))}, b"XObject": {b"X": Ref(100, 0)}, b"ExtGState": {b"G": {b"SMask": {b"S": Name(b"Alpha"), b"G": Ref(101, 0)}}}, b"Shading": {b"H": shade}, b"Pattern": {b"P": {b"PatternType": 2, b"Shading": shade}}}
+        return page_file([(b"/A cs 1 scn 0 0 9 9 re f /B cs", {b"Resources": entries})], {100: form, 101: mask})
+
+    paints, selects, glyphs, resources = parsed(made(nations(spark, sf_dir), make), "pdf_paints", "pdf_selects", "pdf_glyphs", "pdf_resources")
+    count = resources.groupBy("doc_id").agg(F.count(F.lit(1)).alias("reached"))
+    return documents.list_colorants(paints, selects, glyphs, resources).join(count, "doc_id").select(key("n_nationkey"), "colorant", "uses", "reached")
+
+
+@query("SELECT p_partkey, p_size::INT AS code, p_size % 2 = 0 AS empty, CASE WHEN p_size % 3 = 0 THEN [0.0, 0.0, p_size, 9.0]::DOUBLE[] END AS box FROM part")
+def pdf_type3_procedures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Glyph procedures that paint nothing, and the boxes that some of them state."""
+
+    def make(r) -> bytes:
+        start = b"500 0 0 0 %d 9 d1 " % r.size if r.size % 3 == 0 else b"500 0 d0 "
+        font = {b"Type": Name(b"Font"), b"Subtype": Name(b"Type3"), b"FontMatrix": [0.001, 0, 0, 0.001, 0, 0], b"FontBBox": [0, 0, 500, 500], b"FirstChar": r.size, b"LastChar": r.size, b"Widths": [500], b"CharProcs": {b"a": Ref(101, 0)}, b"Encoding": {b"Differences": [r.size, Name(b"a")]}}
+        return page_file([(b"BT /F1 9 Tf <%02x> Tj ET" % r.size, F1)], {100: font, 101: Stream({}, start + (b"" if r.size % 2 == 0 else b"0 0 5 5 re f"))})
+
+    (found,) = parsed(made(parts(spark, sf_dir), make), "pdf_type3")
+    return found.select(key("p_partkey", "long"), "code", "empty", "box")
+
+
 # ---------------------------------------------------------------------------- structure
 
 

@@ -30,11 +30,13 @@ TABLES = {
     "pdf_values": "owner string, page int, path string, kind string, value string",
     "pdf_pages": f"page int, object_number int, rotate int, user_unit double, media {BOX}, crop {BOX}, bleed {BOX}, trim {BOX}, art {BOX}, explicit array<string>, rotate_depth int, content_digest string, tokens_digest string, complete boolean, inline_filters array<string>",
     "pdf_operations": "page int, seq int, operator string, operands string",
-    "pdf_glyphs": f"page int, seq int, code int, text string, reason string, font string, x double, y double, size double, width double, box {BOX}, hidden string, clipped boolean, span int, actual string, space string, evidence string",
+    "pdf_glyphs": f"page int, seq int, code int, text string, reason string, font string, x double, y double, size double, width double, box {BOX}, hidden string, clipped boolean, span int, actual string, space string, evidence string, ink {BOX}",
     "pdf_paints": f"page int, seq int, what string, space string, components {BOX}, stroke boolean, box {BOX}, alpha double",
     "pdf_selects": f"page int, seq int, space string, components {BOX}, stroke boolean",
     "pdf_covers": f"page int, seq int, box {BOX}",
     "pdf_fonts": "page int, font_key string, subtype string, name string, tag string, malformed_tag boolean, embedded string, problems array<string>, shown boolean, program string, encoding string",
+    "pdf_resources": "page int, path string, kind string, name string, object_number int, space string, alternate string",
+    "pdf_type3": "page int, font_key string, code int, empty boolean, box array<double>",
     "pdf_properties": "key string, info string, xmp array<string>",
     "pdf_xmp": "name string, values array<string>",
     "pdf_packets": "document int, others int, streams int, superseded int",
@@ -147,6 +149,44 @@ def _values(doc: Document, entries: dict, skip: set[bytes], pages: dict[int, int
             yield path, kind, _token(v).decode("latin-1")
 
 
+def _resources(doc: Document, it: Interpreter, page) -> Iterator[dict]:
+    """Every resource that a page can reach: its own, and those of forms, patterns, masks, Type 3 fonts and appearances; each once."""
+    met: set = set()
+    start = doc.get(doc.inherited(page, b"Resources")[0])
+    todo = [("", start if isinstance(start, dict) else {})]
+    for k, raw in enumerate(doc.get(page.dict.get(b"Annots")) or []):
+        looks = doc.get((doc.get(raw) or {}).get(b"AP"))
+        for state in (looks or {}).values() if isinstance(looks, dict) else []:
+            each = doc.get(state)
+            todo += [(f"/Annots/{k}", d) for x in (each.values() if isinstance(each, dict) else [each]) if isinstance(s := doc.get(x), Stream) and isinstance(d := doc.get(s.dict.get(b"Resources")), dict)]
+    while todo:
+        path, r = todo.pop()
+        for kind in (b"ColorSpace", b"ExtGState", b"Font", b"Pattern", b"Properties", b"Shading", b"XObject"):
+            group = doc.get(r.get(kind))
+            for name, raw in sorted(group.items()) if isinstance(group, dict) else []:
+                key = (kind, raw.num) if isinstance(raw, Ref) else (kind, path, name)
+                if key in met:
+                    continue
+                met.add(key)
+                v = doc.get(raw)
+                d = v.dict if isinstance(v, Stream) else v
+                here = f"{path}/{kind.decode()}/{name.decode('latin-1')}"
+                found = {"path": here, "kind": kind.decode(), "name": name.decode("latin-1"), "object_number": raw.num if isinstance(raw, Ref) else None}
+                own = v if kind == b"ColorSpace" else d.get(b"ColorSpace") if isinstance(d, dict) and kind in (b"Shading", b"XObject") else doc.get(d.get(b"Shading")).get(b"ColorSpace") if kind == b"Pattern" and isinstance(d, dict) and isinstance(doc.get(d.get(b"Shading")), dict) else None
+                if (own := doc.get(own)) is not None:
+                    found["space"] = it.space(own)
+                    if isinstance(own, list) and len(own) > 2 and doc.get(own[0]) in (b"Separation", b"DeviceN"):
+                        found["alternate"] = it.space(doc.get(own[2]))
+                yield found
+                if not isinstance(d, dict):
+                    continue
+                if isinstance(inner := doc.get(d.get(b"Resources")), dict):
+                    todo.append((here, inner))
+                mask = doc.get(d.get(b"SMask")) if kind == b"ExtGState" else None
+                if isinstance(mask, dict) and isinstance(g := doc.get(mask.get(b"G")), Stream) and isinstance(inner := doc.get(g.dict.get(b"Resources")), dict):
+                    todo.append((here + "/SMask", inner))
+
+
 def _intents(doc: Document) -> Iterator[dict]:
     listed = doc.get(doc.catalog.get(b"OutputIntents"))
     for k, raw in enumerate(listed if isinstance(listed, list) else []):
@@ -239,7 +279,7 @@ def parse(doc_id: str, data: bytes, want: set[str], recovery: str = "strict") ->
             if "pdf_operations" in want:
                 for seq, (op, v) in enumerate(ops):
                     yield row("pdf_operations", page=k, seq=seq, operator=op.decode("latin-1"), operands=b" ".join(map(_token, v)).decode("latin-1"))
-            if want & {"pdf_glyphs", "pdf_paints", "pdf_selects", "pdf_covers", "pdf_fonts"}:
+            if want & {"pdf_glyphs", "pdf_paints", "pdf_selects", "pdf_covers", "pdf_fonts", "pdf_type3"}:
                 events = it.page(page)
         except (PdfError, RecursionError) as e:
             doc.warn(getattr(e, "code", "nesting-limit"), f"page {k}")
@@ -252,6 +292,15 @@ def parse(doc_id: str, data: bytes, want: set[str], recovery: str = "strict") ->
                 v["actual"] = None if v["actual"] is None else _text(v["actual"])
                 v = {n: v[n] for n in v if n != "bytes"}
             yield row(f"pdf_{kind}s", page=k, seq=seq, **v)
+        if "pdf_resources" in want:
+            for found in _resources(doc, it, page):
+                yield row("pdf_resources", page=k, **found)
+        if "pdf_type3" in want:
+            for key, f in it.fonts.items():
+                for code, proc in (f.procedures if f else {}).items():
+                    first = next(((op, v) for op, v, _ in operations(doc.decoded(proc)[0]) if op in (b"d0", b"d1")), (b"", []))
+                    box = [float(x) for x in first[1][2:6]] if first[0] == b"d1" and len(first[1]) == 6 else None
+                    yield row("pdf_type3", page=k, font_key=str(key), code=code, empty=it.draws_nothing(f, code), box=box)
         for w in it.warnings:
             yield row("pdf_warnings", stage="content", page=k, code=w)
         for key, f in it.fonts.items():
