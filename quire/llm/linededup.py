@@ -222,7 +222,8 @@ def _left_by_first(seq: DataFrame, shared: DataFrame, gone: DataFrame, rare: int
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 5, rare: int = 5) -> DataFrame:
     """The rows of docs, as a struct `row`, the text without the blocks that an earlier document has; and lines, deleted.
 
-    Earlier is the lower id (null first); rows with equal ids follow one another as they are read. A line that at most
+    Earlier is the lower id (null first), of equal ids the text with the lower hash; of rows that agree in both, it makes
+    no difference which one keeps its text. A line that at most
     `rare` documents hold pairs each with every earlier one; any more frequent line pairs its holders with the first of
     them, and what that leaves of its blocks is tried against the others: the result is that of all pairs, while pairs
     grow with the lines wherever the first holder has the block in the same order. Blocks of fewer than
@@ -233,7 +234,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.monotonically_increasing_id().alias("rid")), "docs")
     text = F.col(f"row.`{text_col}`")
     lines = F.split(text, "\n", -1)
-    seq = rows.select("rid", F.struct(F.col(f"row.`{id_col}`").alias("id"), "rid").alias("key"), F.transform(lines, lambda x: F.xxhash64(x)).alias("hashes"), F.transform(lines, lambda x: F.regexp_count(x, F.lit(r"\S+"))).alias("words")).filter("hashes is not null")
+    seq = rows.select("rid", F.struct(F.col(f"row.`{id_col}`").alias("id"), F.xxhash64(text).alias("same"), "rid").alias("key"), F.transform(lines, lambda x: F.xxhash64(x)).alias("hashes"), F.transform(lines, lambda x: F.regexp_count(x, F.lit(r"\S+"))).alias("words")).filter("hashes is not null")
     seq = written(seq, "lines")
     held = seq.select("rid", "key", F.explode(F.array_distinct(F.filter("hashes", lambda x, i: F.element_at("words", i + 1) > 0))).alias("h"))
     spread = held.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first")).filter("n > 1")

@@ -9,8 +9,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -48,10 +50,13 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 def opaque_spans(text: str, taken: list[tuple[int, int, int, str]], least_bits: float) -> list[tuple[int, int, int, str]]:
     """Further candidates: long tokens of letters and digits with high entropy, outside the base spans."""
+    starts = [a for _, a, _, _ in taken]  # rising
+    ends = [*accumulate((b for _, _, b, _ in taken), max)]
     found = []
     for m in OPAQUE.finditer(text):
         s = m.group()
-        if MIXED.search(s) and not s.isdigit() and entropy(s) >= least_bits and not any(a < m.end() and m.start() < b for _, a, b, _ in taken):
+        before = bisect_left(starts, m.end())
+        if MIXED.search(s) and not s.isdigit() and entropy(s) >= least_bits and not (before and ends[before - 1] > m.start()):
             found.append((3, m.start(), m.end(), s))
     return found
 
@@ -99,7 +104,8 @@ def _of_kind(kind: int):
 
 
 def digest(spans: DataFrame) -> DataFrame:
-    """doc_id, counts of the base kinds, the digest of the base spans, all spans, and counts of live and copied ones."""
+    """doc_id, counts of the base kinds, the digest of the base spans, all spans, counts of live and copied ones, and the
+    most repositories that hold one of them."""
     names = F.array(*map(F.lit, KINDS))
     listed = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"])), ",")
     count = lambda f: F.size(F.filter("spans", f)).cast("long")
@@ -110,4 +116,5 @@ def digest(spans: DataFrame) -> DataFrame:
         listed(F.col("spans")).alias("spans"),
         count(lambda x: x["live"]).alias("n_live"),
         count(lambda x: ~x["live"]).alias("n_copied"),
+        F.coalesce(F.array_max(F.transform("spans", lambda x: x["repos"])), F.lit(0)).cast("long").alias("most_repos"),
     )

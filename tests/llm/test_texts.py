@@ -434,3 +434,25 @@ def test_numbers_that_run_into_one_another_are_added(spark):
         if k < 300:
             assert f"card:{4 + len(a)}:{4 + len(a) + len(b)}" in got[k].spans.split(",")
     assert all(got[k].n_added == 0 for k in range(1000, 1500))
+
+
+def test_rows_of_equal_ids_are_ordered_by_their_texts(spark):
+    line = "a line of more than five words"
+    rows = [(1, f"own {k} start\n{line}\nown {k} end", k) for k in range(6)] + [(1, f"{line}\ntwice here too", 9)] * 2
+    schema = "doc_id long, text string, k int"
+    seen = set()
+    for parts in (1, 3, 5):
+        docs = spark.createDataFrame(rows[::-1] if parts == 3 else rows, schema).repartition(parts)
+        found = linededup.dedup_lines(docs).select("row.*").collect()
+        seen.add(tuple(sorted((r.k, r.text) for r in found)))
+        assert sum(line in r.text.split("\n") for r in found) == 1
+    assert len(seen) == 1
+
+
+def test_opaque_tokens_outside_of_many_spans():
+    text = " ".join("deadbeef" * 4 + f" k3yZq81mNb5vCx2LwEr7Ty{k}U9" for k in range(3000))
+    base = secrets.base_spans(text)
+    found = secrets.opaque_spans(text, base, 3.5)
+    assert len(base) == len(found) == 3000 and all(text[a:b] == s for _, a, b, s in found)
+    inside = "password=k3yZq81mNb5vCx2LwEr7TyU9"
+    assert secrets.opaque_spans(inside, secrets.base_spans(inside), 3.5) == []
