@@ -169,6 +169,13 @@ def reading_rows(df: DataFrame, keys: Sequence[str], schema: str) -> DataFrame:
     return df.groupBy(*keys).applyInPandas(fold, schema)
 
 
+def reading_columns(df: DataFrame, keys: Sequence[str], schema: str) -> DataFrame:
+    """Columns of reading order from the right to the left, each from the top down, as of vertical writing: the rows of the
+    page turned by a quarter. (keys, index, row, place), where row counts the columns."""
+    turned = df.select(*keys, "index", (-F.col("top")).alias("left"), F.col("left").alias("bottom"), (-F.col("bottom")).alias("right"), F.col("right").alias("top"))
+    return reading_rows(turned, keys, schema)
+
+
 #: Steps of search beyond which two sequences are too different to be aligned.
 WORK = 2_000_000
 

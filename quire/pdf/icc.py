@@ -94,6 +94,75 @@ class Table:
         return np.stack([curve(self.curves_out[k], y[:, k]) for k in range(self.outputs)], 1)
 
 
+class MultiTable:
+    """A table tag of several dimensions: curves, a grid, curves, a matrix and curves again, each of which may be missing."""
+
+    wide = False
+
+    def __init__(self, tag: bytes):
+        self.forward = tag[:4] == b"mAB "
+        self.inputs, self.outputs = tag[8], tag[9]
+        b, matrix, m, grid, a = struct.unpack(">5I", tag[12:32])
+        side = self.outputs if self.forward else self.inputs  # of the connection space
+        device = self.inputs if self.forward else self.outputs
+        self.b, self.m, self.a = (self._curves(tag, at, n) if at else None for at, n in ((b, side), (m, side), (a, device)))
+        self.matrix = None
+        if matrix:
+            v = np.array(struct.unpack(">12i", tag[matrix : matrix + 48])) / 65536
+            self.matrix = v[:9].reshape(3, 3), v[9:]
+        self.grid = None
+        if grid:
+            n = list(tag[grid : grid + self.inputs])
+            kind = np.dtype(np.uint8) if tag[grid + 16] == 1 else np.dtype(">u2")
+            count = int(np.prod(n)) * self.outputs
+            if not all(n) or grid + 20 + count * kind.itemsize > len(tag):
+                raise PdfError("invalid-profile", "short table")
+            self.grid = (np.frombuffer(tag, kind, count, grid + 20) / (255.0 if kind.itemsize == 1 else 65535.0)).reshape(*n, self.outputs)
+
+    @staticmethod
+    def _curves(tag: bytes, at: int, n: int) -> list[bytes]:
+        out = []
+        for _ in range(n):
+            if tag[at : at + 4] == b"curv":
+                size = 12 + 2 * int.from_bytes(tag[at + 8 : at + 12], "big")
+            elif tag[at : at + 4] == b"para":
+                size = 12 + 4 * (1, 3, 4, 5, 7)[min(4, int.from_bytes(tag[at + 8 : at + 10], "big"))]
+            else:
+                raise PdfError("invalid-profile", "curve")
+            out.append(tag[at : at + size])
+            at += -(-size // 4) * 4
+        return out
+
+    def run(self, x: np.ndarray, by_tetrahedra: bool) -> np.ndarray:
+        curves = lambda c, v: v if c is None else np.stack([_curve(t, np.clip(v[:, k], 0, 1)) for k, t in enumerate(c)], 1)
+        look = lambda v: v if self.grid is None else tetrahedral(self.grid, v) if by_tetrahedra and self.inputs == 3 else multilinear(self.grid, v)
+        turn = lambda v: v if self.matrix is None else np.clip(v @ self.matrix[0].T + self.matrix[1], 0, 1)
+        if self.forward:
+            return curves(self.b, turn(curves(self.m, look(curves(self.a, x)))))
+        return curves(self.a, look(curves(self.m, turn(curves(self.b, x)))))
+
+
+def written(space: bytes, pcs: bytes, tags: list[tuple[bytes, bytes]], kind: bytes = b"prtr", version: int = 4) -> bytes:
+    """A profile of the given tags."""
+    head = bytearray(128)
+    head[8], head[36:40], head[12:16], head[16:20], head[20:24] = version, b"acsp", kind, space, pcs
+    at, index, body = 132 + 12 * len(tags), struct.pack(">I", len(tags)), b""
+    for name, data in tags:
+        data += bytes(-len(data) % 4)
+        index += struct.pack(">4sII", name, at + len(body), len(data))
+        body += data
+    return bytes(head) + index + body
+
+
+def srgb() -> bytes:
+    """The profile of colours on a screen, by the standard's primaries, adapted to the connection space, and its curve."""
+    tag = lambda *v: b"XYZ \0\0\0\0" + struct.pack(">3i", *[round(x * 65536) for x in v])
+    curve = b"para\0\0\0\0" + struct.pack(">HH5i", 3, 0, *[round(x * 65536) for x in (2.4, 1 / 1.055, 0.055 / 1.055, 1 / 12.92, 0.04045)])
+    columns = ((0.4360747, 0.2225045, 0.0139322), (0.3850649, 0.7168786, 0.0971045), (0.1430804, 0.0606169, 0.7141733))
+    tags = [(c + b"XYZ", tag(*v)) for c, v in zip((b"r", b"g", b"b"), columns, strict=True)]
+    return written(b"RGB ", b"XYZ ", [*tags, *[(c + b"TRC", curve) for c in (b"r", b"g", b"b")], (b"wtpt", tag(*D50))], b"mntr")
+
+
 class Profile:
     """Device colours (0 to 1) to Lab and, with tables for it, back."""
 
@@ -101,11 +170,20 @@ class Profile:
         self.head = icc_header(data)
         self.tags = self.head["tags"]
 
-    def _table(self, name: str, intent: str) -> Table | None:
+    def _table(self, name: str, intent: str) -> Table | MultiTable | None:
         tag = self.tags.get(f"{name}{INTENTS[intent]}") or self.tags.get(f"{name}0")
-        return Table(tag) if tag else None
+        return (MultiTable if tag[:4] in (b"mAB ", b"mBA ") else Table)(tag) if tag else None
+
+    def white(self) -> np.ndarray:
+        """What the medium's white is to the connection space's."""
+        return np.array(icc_xyz(self.tags["wtpt"])) / D50 if "wtpt" in self.tags else np.ones(3)
 
     def to_lab(self, x: np.ndarray, intent: str = "relative") -> np.ndarray:
+        """Absolute colours are those relative to the medium's white, scaled to it."""
+        v = self._to_lab(x, intent)
+        return lab(xyz(v) * self.white()) if intent == "absolute" else v
+
+    def _to_lab(self, x: np.ndarray, intent: str) -> np.ndarray:
         if t := self._table("A2B", intent):
             y = t.run(x, True)
             if self.head["pcs"] == "XYZ":
@@ -124,6 +202,10 @@ class Profile:
         t = self._table("B2A", intent)
         if t is None:
             raise PdfError("invalid-profile", "no way from the connection space")
+        if intent == "absolute":
+            v = lab(xyz(v) / self.white())
+        if self.head["pcs"] == "XYZ":
+            return np.clip(t.run(xyz(v) / (1 + 32767 / 32768), False), 0, 1)
         scale = 65280 / 65535 if t.wide else 1
         x = np.stack([v[:, 0] / 100, (v[:, 1] + 128) / 255, (v[:, 2] + 128) / 255], 1) * scale
         return np.clip(t.run(x, False), 0, 1)

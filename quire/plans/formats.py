@@ -206,15 +206,8 @@ def jpeg_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------- profiles and functions
 
 
-def profile(space: bytes, pcs: bytes, tags: list[tuple[bytes, bytes]], version: int = 2) -> bytes:
-    head = bytearray(128)
-    head[8], head[36:40], head[12:16], head[16:20], head[20:24] = version, b"acsp", b"prtr", space, pcs
-    at, index, body = 132 + 12 * len(tags), struct.pack(">I", len(tags)), b""
-    for name, data in tags:
-        data += bytes(-len(data) % 4)
-        index += struct.pack(">4sII", name, at + len(body), len(data))
-        body += data
-    return bytes(head) + index + body
+def profile(space: bytes, pcs: bytes, tags: list[tuple[bytes, bytes]]) -> bytes:
+    return icc.written(space, pcs, tags, version=2)
 
 
 def xyz_tag(*v: float) -> bytes:
@@ -264,6 +257,43 @@ def matrix_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.mapInPandas(run, "vec_id long, l double, a double")
 
 
+@query("""WITH v AS (SELECT p_partkey, p_size / 50.0::DOUBLE AS x, p_partkey % 3 AS k FROM part)
+SELECT p_partkey, round(CASE k WHEN 0 THEN 100 * x * x WHEN 1 THEN 100 * (0.5 * x + 0.25) ELSE 100 * x END, 1) AS lightness, round(CASE k WHEN 0 THEN -128 + 255 * x ELSE -128 + 255 * 0.5 END, 1) AS a FROM v""")
+def table_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lab of red, green and blue under tables of several dimensions: with curves and a grid, with a matrix, and with neither."""
+    square, line = para_tag(0, 2.0), b"curv\0\0\0\0\0\0\0\0"
+    grid = np.stack(np.meshgrid(*[np.linspace(0, 1, 3)] * 3, indexing="ij"), -1)
+
+    def tag(a: bytes | None, clut: bool, matrix: list[float] | None, b: bytes) -> bytes:
+        body, at = b"", {}
+        for name, part in (("b", b * 3), ("matrix", struct.pack(">12i", *[round(x * 65536) for x in matrix]) if matrix else b""), ("m", line * 3 if matrix else b""), ("grid", bytes([3, 3, 3]) + bytes(13) + b"\2\0\0\0" + (grid * 65535).round().astype(">u2").tobytes() if clut else b""), ("a", a * 3 if a else b"")):
+            at[name] = 32 + len(body) if part else 0
+            body += part + bytes(-len(part) % 4)
+        return b"mAB \0\0\0\0\3\3\0\0" + struct.pack(">5I", at["b"], at["matrix"], at["m"], at["grid"], at["a"]) + body
+
+    tags = [tag(line, True, None, square), tag(None, False, [0.5, 0, 0, 0, 1, 0, 0, 0, 1, 0.25, 0, 0], line), tag(None, False, None, line)]
+    p = [icc.written(b"RGB ", b"Lab ", [(b"A2B0", t)]) for t in tags]
+
+    def make(r) -> tuple:
+        x = r.p_size / 50
+        second = np.sqrt(x) if r.p_partkey % 3 == 0 else 0.5
+        v = icc.Profile(p[r.p_partkey % 3]).to_lab(np.array([[x, second, 0.5]]))
+        return r.p_partkey, round(float(v[0, 0]), 1), round(float(v[0, 1]), 1)
+
+    return each(table(spark, sf_dir, "part").select("p_partkey", "p_size"), make, "p_partkey long, lightness double, a double")
+
+
+@query("""WITH v AS (SELECT p_partkey, (p_partkey * 37) % 256 / 255.0::DOUBLE AS c FROM part), y AS (SELECT p_partkey, CASE WHEN c >= 0.04045 THEN pow((c + 0.055) / 1.055, 2.4) ELSE c / 12.92 END AS y FROM v)
+SELECT p_partkey, round(CASE WHEN y > 216.0 / 24389 THEN 116 * cbrt(y) - 16 ELSE y * 24389.0 / 27 END, 1) AS lightness FROM y""")
+def screen_greys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lightness of a screen's greys, by the profile that is made for them."""
+
+    def make(r) -> tuple:
+        return r.p_partkey, round(float(icc.Profile(icc.srgb()).to_lab(np.full((1, 3), r.p_partkey * 37 % 256 / 255))[0, 0]), 1)
+
+    return each(table(spark, sf_dir, "part").select("p_partkey"), make, "p_partkey long, lightness double")
+
+
 @query("SELECT vec_id, round(abs(embedding[1]::DOUBLE) % 1 + 2 * (abs(embedding[2]::DOUBLE) % 1) + 3 * (abs(embedding[3]::DOUBLE) % 1), 5) AS trilinear, round(abs(embedding[1]::DOUBLE) % 1 + 2 * (abs(embedding[2]::DOUBLE) % 1) + 3 * (abs(embedding[3]::DOUBLE) % 1), 5) AS tetrahedral FROM embeddings")
 def table_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A plane sampled at 5 by 4 by 3 points is met exactly, by corners and by tetrahedra."""

@@ -337,6 +337,16 @@ def reading_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.reading_rows(d, ["page"], "page string, index long, row long, place long")
 
 
+@query("""WITH b AS (SELECT p_brand AS page, p_partkey AS index, p_partkey % 7 AS col, (p_partkey * 91) % 700 AS y FROM part), c AS (SELECT *, dense_rank() OVER (PARTITION BY page ORDER BY col DESC) - 1 AS row FROM b)
+SELECT page, index, row::BIGINT AS row, (row_number() OVER (PARTITION BY page ORDER BY row, y DESC, index) - 1)::BIGINT AS place FROM c""")
+def reading_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vertical writing in seven columns that are a little ragged, from the right."""
+    left = (F.col("p_partkey") % 7 * 60 + F.col("p_size") % 4).cast("double")
+    d = table(spark, sf_dir, "part").select(F.col("p_brand").alias("page"), F.col("p_partkey").alias("index"), left.alias("left"), (F.col("p_partkey") * 91 % 700).cast("double").alias("bottom"))
+    d = d.withColumn("right", F.col("left") + 12).withColumn("top", F.col("bottom") + 10)
+    return relations.reading_columns(d, ["page"], "page string, index long, row long, place long")
+
+
 @query()
 def checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc32"))
