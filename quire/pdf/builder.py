@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+from . import xmp
 from .filters import deflate
+from .metadata import MAPPING, iso_date
 from .objects import Name, PdfError, Ref, Str, Stream, number_text
 from .write import build, identifier
 
@@ -196,10 +198,11 @@ class Content:
 class NewDocument:
     """Pages, spot colours, images and groups of a file to be written."""
 
-    def __init__(self, info: dict[str, str] | None = None):
+    def __init__(self, info: dict[str, str] | None = None, created: str | None = None):
+        """info: entries of the information dictionary, which the packet tells too. created: a date of the form D:20240102030405Z."""
         self.objects: dict[int, object] = {}
         self.pages: list[Ref] = []
-        self.info = info or {}
+        self.info = (info or {}) | ({"CreationDate": created, "ModDate": created} if created else {})
 
     def add(self, value) -> Ref:
         num = len(self.objects) + 10
@@ -242,7 +245,16 @@ class NewDocument:
         trailer: dict = {b"Root": Ref(1, 0)}
         if self.info:
             objects[3] = {k.encode(): Str(v.encode("latin-1")) if v.isascii() else Str(b"\xfe\xff" + v.encode("utf-16-be")) for k, v in self.info.items()}
+            if "Trapped" in self.info:
+                objects[3][b"Trapped"] = Name(self.info["Trapped"].encode())
             trailer[b"Info"] = Ref(3, 0)
+            kinds = {"Title": "alt", "Subject": "alt", "Author": "seq"}
+            rows = [(name, iso_date(v) if k.endswith("Date") else v, kinds.get(k, "text")) for k, name in MAPPING if (v := self.info.get(k)) is not None]
+            base = identifier(repr((sorted(self.info.items()), len(self.objects))).encode()).data.hex()
+            mm = "{http://ns.adobe.com/xap/1.0/mm/}"
+            rows += [(mm + n, f"uuid:{base[:8]}-{base[8:12]}-{base[12:16]}-{base[16:20]}-{base[20:]}", "text") for n in ("DocumentID", "InstanceID")]
+            objects[4] = Stream({b"Type": Name(b"Metadata"), b"Subtype": Name(b"XML")}, xmp.packet(rows))
+            objects[1][b"Metadata"] = Ref(4, 0)
         body = build(objects | self.objects, trailer)
         return build(objects | self.objects, trailer | {b"ID": [identifier(body)] * 2})
 

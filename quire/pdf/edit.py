@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable
 
 import numpy as np
@@ -125,7 +124,7 @@ def set_metadata(data: bytes, values: dict[str, str | None]) -> bytes:
         if v is not None:
             info[k.encode()] = Name(v.encode("latin-1")) if k == "Trapped" else Str(v.encode("latin-1")) if v.isascii() else Str(b"\xfe\xff" + v.encode("utf-16-be"))
     kinds = {"Title": "alt", "Subject": "alt", "Author": "seq"}
-    rows = [(name, _iso(v) if key.endswith("Date") else v, kinds.get(key, "text")) for key, name in metadata.MAPPING if (v := now[key]) is not None]
+    rows = [(name, metadata.iso_date(v) if key.endswith("Date") else v, kinds.get(key, "text")) for key, name in metadata.MAPPING if (v := now[key]) is not None]
     old_packet = doc.get(doc.catalog.get(b"Metadata"))
     if isinstance(old_packet, Stream):  # all other properties stay as they are
         packet = xmp.splice(doc.decoded(old_packet)[0], rows, {name for _, name in metadata.MAPPING})
@@ -143,18 +142,6 @@ def set_metadata(data: bytes, values: dict[str, str | None]) -> bytes:
     return save(doc, edits)
 
 
-def _iso(pdf_date: str) -> str:
-    """A document date in the packet's notation, to the same precision; other text as it is."""
-    m = re.match(r"D:(\d{4})(\d\d)?(\d\d)?(\d\d)?(\d\d)?(\d\d)?(Z|[+-]\d\d'?\d\d)?", pdf_date)
-    if not m:
-        return pdf_date
-    y, mo, d, h, mi, s, z = m.groups()
-    out = "-".join(x for x in (y, mo, d) if x)
-    if h:
-        out += f"T{h}:{mi or '00'}:{s or '00'}" + ((z if z == "Z" else f"{z[:3]}:{z[-2:]}") if z else "")
-    return out
-
-
 def convert_content(data: bytes, convert: Callable[[np.ndarray], np.ndarray], pure_black: bool = True) -> bytes:
     """A file whose pages set process colours where they set RGB; grey becomes black ink. Forms and images stay as they are."""
     doc, edits = Document(data), {}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 
 from . import xmp
@@ -16,6 +17,18 @@ MAPPING = [
 ]
 
 
+def iso_date(pdf_date: str) -> str:
+    """A document date in the packet's notation, to the same precision; other text as it is."""
+    m = re.match(r"D:(\d{4})(\d\d)?(\d\d)?(\d\d)?(\d\d)?(\d\d)?(Z|[+-]\d\d'?\d\d)?", pdf_date)
+    if not m:
+        return pdf_date
+    y, mo, d, h, mi, s, z = m.groups()
+    out = "-".join(x for x in (y, mo, d) if x)
+    if h:
+        out += f"T{h}:{mi or '00'}:{s or '00'}" + ((z if z == "Z" else f"{z[:3]}:{z[-2:]}") if z else "")
+    return out
+
+
 def read_packet(data: bytes) -> dict[str, list[str]]:
     """Property name to its values; what is not a packet, or has a DOCTYPE, is refused."""
     return xmp.read(data)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 
 import numpy as np
@@ -17,7 +18,8 @@ from ..pdf.document import Document
 from ..pdf.encodings import LATIN
 from ..pdf.objects import Name, PdfError, Ref, Str, Stream, serialize
 from ..pdf.write import page_file, rewrite
-from ..session import table
+from ..session import shared_dir, table
+from ..sources import pdf
 from .files import CHECKED, FONT, ORACLES, QUERIES, made, packet, parsed, query, text_page
 from .formats import RGB, gamma_tag, profile, run_lengths, xyz_tag
 
@@ -256,6 +258,29 @@ def pdf_type3_procedures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(key("p_partkey", "long"), "code", "empty", "box")
 
 
+@query("SELECT n_nationkey, [1, 2, 3][n_nationkey % 3 + 1]::BIGINT AS paints, n_name AS text FROM nation")
+def pdf_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Appearances of annotations that are drawn with a page: a hidden one never, one that isn't printed only on demand; and
+    text through a character map that the caller gives."""
+    maps = {"Own-H": b"1 begincodespacerange <0000> <ffff> endcodespacerange 1 begincidrange <0000> <ffff> 1 endcidrange"}
+
+    def make(r) -> bytes:
+        look = Stream({b"Subtype": Name(b"Form"), b"BBox": [0, 0, 9, 9]}, b"0 0 9 9 re f")
+        note = lambda flags: {b"Subtype": Name(b"Square"), b"Rect": [50, 50, 70, 70], b"F": flags, b"AP": {b"N": Ref(103, 0)}}
+        unicode = Stream({}, b"1 begincodespacerange <0000> <ffff> endcodespacerange 1 beginbfrange <0020> <007e> <0020> endbfrange")
+        font = {b"Type": Name(b"Font"), b"Subtype": Name(b"Type0"), b"BaseFont": Name(b"X"), b"Encoding": Name(b"Own-H"), b"DescendantFonts": [{b"Subtype": Name(b"CIDFontType0"), b"BaseFont": Name(b"X")}], b"ToUnicode": Ref(104, 0)}
+        shown = b"BT /F1 9 Tf <" + r.name.encode("utf-16-be").hex().encode() + b"> Tj ET 0 0 1 1 re f"
+        notes = [note(2 | 4), *[note(0)] * (r.doc_id % 3)]
+        return page_file([(shown, F1 | {b"Annots": notes})], {100: font, 103: look, 104: unicode})
+
+    path = f"{shared_dir(spark)}/quire-records-{uuid.uuid4().hex}"
+    names = ["pdf_paints", "pdf_glyphs"]
+    paints, glyphs = pdf.write_tables(pdf.parse_files(made(nations(spark, sf_dir), make), names, annotations="all", maps=maps), path, names)
+    count = paints.groupBy("doc_id").agg(F.count(F.lit(1)).alias("paints"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "")
+    return count.join(glyphs.groupBy("doc_id").agg(text.alias("text")), "doc_id").select(key("n_nationkey"), "paints", "text")
+
+
 # ---------------------------------------------------------------------------- structure
 
 
@@ -529,12 +554,12 @@ def pdf_inks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.join(left, "doc_id").join(pixels, "doc_id").select(key("n_nationkey"), "paints", "pixels", "rgb")
 
 
-@query("SELECT n_nationkey, 'fill DeviceCMYK|stroke DeviceGray|fill Separation/Gold|image Image|fill DeviceCMYK' AS paints, n_name AS title, CASE WHEN n_nationkey % 2 = 0 THEN 'invisible-overprint' ELSE 'no-current-point' END AS refused FROM nation")
+@query("SELECT n_nationkey, 'fill DeviceCMYK|stroke DeviceGray|fill Separation/Gold|image Image|fill DeviceCMYK' AS paints, n_name AS title, 'equal' AS agreement, CASE WHEN n_nationkey % 2 = 0 THEN 'invisible-overprint' ELSE 'no-current-point' END AS refused FROM nation")
 def pdf_builder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New files drawn by calls: paths, a spot colour, an image, a group; and what such calls refuse."""
 
     def make(r) -> bytes:
-        doc = NewDocument({"Title": r.name})
+        doc = NewDocument({"Title": r.name}, "D:20240102030405+01'00'")
         gold = doc.separation("Gold", (0, 0.2, 0.6, 0.1))
         picture = doc.image(2, 1, bytes(6), 3)
         group = doc.group((0, 0, 50, 50), lambda c: c.fill_colour((0, 1, 0, 0)).rectangle(0, 0, 9, 9).fill())
@@ -560,8 +585,9 @@ def pdf_builder(spark: SparkSession, sf_dir: str) -> DataFrame:
     paints, properties = parsed(made(nations(spark, sf_dir), make), "pdf_paints", "pdf_properties")
     each = paints.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", F.concat_ws(" ", "what", "space").alias("t")))), lambda x: x["t"]), "|").alias("paints"))
     title = properties.filter("key = 'Title'").select("doc_id", F.col("info").alias("title"))
+    dates = documents.agreement(properties).filter("key = 'CreationDate'").select("doc_id", "agreement")
     told = F.element_at(F.array(F.lit(refused(0)), F.lit(refused(1))), F.col("doc_id").cast("int") % 2 + 1)
-    return each.join(title, "doc_id").select(key("n_nationkey"), "paints", "title", told.alias("refused"))
+    return each.join(title, "doc_id").join(dates, "doc_id").select(key("n_nationkey"), "paints", "title", "agreement", told.alias("refused"))
 
 
 @query("SELECT n_nationkey, 'passed' AS version, 'passed' AS trapped, n_name AS title, 2::INT AS pages, 2::BIGINT AS drawn, true AS grouped FROM nation")

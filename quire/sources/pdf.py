@@ -206,8 +206,8 @@ def _intents(doc: Document) -> Iterator[dict]:
         yield {"ordinal": k, "subtype": subtype.decode("latin-1") if isinstance(subtype, Name) else None, "condition": text(b"OutputConditionIdentifier"), "info": text(b"Info"), "registry": text(b"RegistryName")} | found
 
 
-def parse(doc_id: str, data: bytes, want: set[str], recovery: str = "strict") -> Iterator[tuple[str, str, str]]:
-    """Rows of one file."""
+def parse(doc_id: str, data: bytes, want: set[str], recovery: str = "strict", annotations: str = "none", maps: dict[str, bytes] | None = None) -> Iterator[tuple[str, str, str]]:
+    """Rows of one file. annotations: whose appearances are part of a page: none, printable or all. maps: predefined character maps by name."""
 
     def row(table: str, **values):
         return doc_id, table, json.dumps(values)
@@ -268,7 +268,7 @@ def parse(doc_id: str, data: bytes, want: set[str], recovery: str = "strict") ->
                 yield row("pdf_values", owner="page", page=k, path=path, kind=kind, value=v)
         boxes = doc.boxes(page)
         rotate, depth = doc.inherited(page, b"Rotate")
-        it, values, events = Interpreter(doc), {}, []
+        it, values, events = Interpreter(doc, annotations, (maps or {}).get), {}, []
         complete = True
         try:
             data = b"\n".join(doc.contents(page))
@@ -341,9 +341,12 @@ def binary_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("doc_id"), "length", "content")
 
 
-def parse_files(files: DataFrame, tables: list[str] | None = None, recovery: str = "strict") -> DataFrame:
+def parse_files(files: DataFrame, tables: list[str] | None = None, recovery: str = "strict", annotations: str = "none", maps: dict[str, bytes] | None = None) -> DataFrame:
     """(doc_id, table, payload) for files (doc_id, content); only what the named tables need is worked out.
 
+    annotations: whose appearances are drawn after a page: none, printable or all. maps: bytes of predefined character
+    maps by name, which go to every task, so they should be the few that the files name.
+
     A file is one row, so its parts never meet another task's; write the result once and read tables from that.
     Null contents count as empty files, which have an error row.
     """
@@ -353,7 +356,7 @@ def parse_files(files: DataFrame, tables: list[str] | None = None, recovery: str
         for batch in batches:
             for doc_id, content in zip(batch["doc_id"], batch["content"], strict=True):
                 out: list[tuple[str, str, str]] = []
-                for r in parse(doc_id, bytes(content or b""), want, recovery):
+                for r in parse(doc_id, bytes(content or b""), want, recovery, annotations, maps):
                     out.append(r)
                     if len(out) >= 5000:
                         yield pd.DataFrame(out, columns=["doc_id", "table", "payload"])
