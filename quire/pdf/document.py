@@ -13,6 +13,9 @@ BOXES = (b"MediaBox", b"CropBox", b"BleedBox", b"TrimBox", b"ArtBox")
 INHERITED = (b"Resources", b"MediaBox", b"CropBox", b"Rotate")
 
 
+ENTRY = re.compile(rb"(\d{10}) (\d{5}) ([nf])(?: \r| \n|\r\n)")
+
+
 @dataclass
 class Page:
     ref: Ref
@@ -109,6 +112,13 @@ class Document:
                 count = r.token()
                 if type(t) is not int or type(count) is not int:
                     raise PdfError("bad-xref-section", str(r.at))
+                r.space()
+                rows = ENTRY.findall(data := self.data[r.at : r.at + 20 * count])
+                if count > 0 and len(rows) == count and len(data) == 20 * count:  # as the standard lays them out
+                    for k, (offset, gen, kind) in enumerate(rows, t):
+                        entries.setdefault(k, ("file" if kind == b"n" else "free", int(offset), int(gen)))
+                    r.at += 20 * count
+                    continue
                 for k in range(count):
                     offset, gen, kind = r.token(), r.token(), r.token()
                     if type(offset) is not int or type(gen) is not int or kind not in (b"n", b"f"):

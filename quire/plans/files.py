@@ -36,7 +36,8 @@ def made(df: DataFrame, make: Callable[[pd.Series], bytes]) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype(str), "content": [make(r) for r in batch.itertuples()]})
 
-    return df.mapInPandas(run, "doc_id string, content binary")
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, "doc_id").mapInPandas(run, "doc_id string, content binary")  # a small table is one partition
 
 
 def parsed(files: DataFrame, *names: str) -> list[DataFrame]:
