@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe, langid, linededup, mixing, ngramjoin, pii, secrets, sharding, vectors
-from .common import table
+from .common import modest_batches, table
 
 #: Vocabulary files of public tokenizers; operators take the path as a parameter.
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
@@ -16,6 +16,12 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 WEIGHTS = {(f"domain{d}", lang): w for d in range(4) for lang, w in (("en", 4), ("de", 2), ("fr", 2), ("es", 2))}
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of documents."""
+    modest_batches(spark)
+    return table(spark, sf_dir, "documents")
+
+
 def levels() -> dict:
     """The tree of op1 and of the pipeline, from the root on."""
     return {"domain": mixing.domain_of(F.col("source")), "lang": F.col("lang"), "source": F.col("source")}
@@ -23,13 +29,13 @@ def levels() -> dict:
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of all tokens, dealt to domains, languages and sources by weight, in at most two epochs."""
-    found = mixing.mix(table(spark, sf_dir, "documents"), levels(), WEIGHTS)
+    found = mixing.mix(documents(spark, sf_dir), levels(), WEIGHTS)
     return found.select("row.doc_id", F.array_join("path", "/").alias("leaf"), F.col("tokens").alias("n_tokens"), F.col("copies").alias("n_copies"), F.col("budget").alias("leaf_budget"), F.col("given").alias("leaf_given"))
 
 
 def op2_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every whole text."""
-    return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
+    return pii.digest(pii.find_personal_data(documents(spark, sf_dir)))
 
 
 def op3_flat_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,33 +45,33 @@ def op3_flat_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text, encoded and decoded again."""
-    return bpe.encode(table(spark, sf_dir, "documents"), BYTE_BPE, digests=True).withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
+    return bpe.encode(documents(spark, sf_dir), BYTE_BPE, digests=True).withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
 
 
 def op5_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text without the blocks of lines that an earlier document has."""
-    found = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    found = linededup.dedup_lines(documents(spark, sf_dir))
     return found.select("row.doc_id", "row.text", F.col("lines").alias("n_lines"), F.col("deleted").alias("n_deleted"))
 
 
 def op6_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of near-equal bytes."""
-    return sharding.shard(table(spark, sf_dir, "documents"), 8)
+    return sharding.shard(documents(spark, sf_dir), 8)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every whole text."""
-    return langid.identify(table(spark, sf_dir, "documents"), PIECES)
+    return langid.identify(documents(spark, sf_dir), PIECES)
 
 
 def op8_ngram_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents that share 85 % of their four-word shingles."""
-    return ngramjoin.jaccard_groups(table(spark, sf_dir, "documents"))
+    return ngramjoin.jaccard_groups(documents(spark, sf_dir))
 
 
 def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every whole text, with the spread of each over sources."""
-    return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
+    return secrets.digest(secrets.scan_secrets(documents(spark, sf_dir)))
 
 
 def op10_pruned_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
