@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import shared_dir
 from . import automaton
-from .common import RUN, columns, give_back, most_frequent
+from .common import RUN, columns, give_back, most_frequent, scratch
 
 #: Fixed value: the split of byte-level BPE into words, in the notation of the tokenizers' documentation. splitter() writes it for re.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -33,8 +33,9 @@ RARE_SPACE = "\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3
 NEVER = np.int32(2**31 - 1)
 #: Longer words are merged one by one with a heap.
 WIDE = 48
-#: Entries of a worker's memo and of its counts; beyond that they are emptied (counts: sent on).
-MEMO = 100_000
+#: Entries of a task's memo and of its counts; beyond that they are emptied (counts: sent on). Some 70 MB: a task of 16 MB of
+#: Parquet has fewer different chunks, so each is merged once.
+MEMO = 400_000
 
 
 def splitter() -> re.Pattern:
@@ -238,7 +239,7 @@ class Coder:
         v = self.vocabulary
         words, last = [], []
         for c in new:
-            if c.isalpha() or c in v.special or (c[0] == " " and c[1:].isalpha()):
+            if plain(c) or c in v.special:
                 words.append(c)
             else:
                 words += v.split.findall(c)
@@ -269,9 +270,14 @@ class Coder:
             new.update(chunks)
         if new := list(new.difference(self.ids)):
             self.learn(new)
-        for chunks in each:
+        for text, chunks in zip(texts, each, strict=True):
             ids = ",".join(map(self.ids.__getitem__, chunks))
-            yield ids, b"".join([self.raw.get(c) or c.encode() for c in chunks]).decode("utf-8", "replace") if self.raw else "".join(chunks)
+            yield ids, b"".join([self.raw.get(c) or c.encode() for c in chunks]).decode("utf-8", "replace") if self.raw else text
+
+
+def plain(chunk: str) -> bool:
+    """Whether a chunk is one word of letters, with or without the space before it."""
+    return chunk.isalpha() or (chunk[0] == " " and chunk[1:].isalpha())
 
 
 def spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -313,7 +319,7 @@ def _counts(vocab_path: str, most: int = MEMO):
         def send() -> pa.RecordBatch:
             words: Counter[str] = Counter()
             for chunk, n in held.items():
-                for w in v.words(chunk):
+                for w in (chunk,) if plain(chunk) else v.words(chunk):
                     words[w] += n
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], ["word", "n"])
@@ -332,7 +338,8 @@ def _counts(vocab_path: str, most: int = MEMO):
 def frequent_words(docs: DataFrame, vocab_path: str, text_col: str = "text", size: int = 50_000) -> list[str]:
     """The most frequent words of all texts, size of them at most."""
     counted = columns(docs, text=text_col).mapInArrow(_counts(vocab_path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in most_frequent(counted.filter("n > 1"), size, "words").select("word").collect()]
+    with scratch(docs.sparkSession):
+        return most_frequent(counted.filter("n > 1"), size, "words").select("word").toArrow().column("word").to_pylist()
 
 
 def compile_lexicon(docs: DataFrame, vocab_path: str, text_col: str = "text", size: int = 50_000) -> str:
