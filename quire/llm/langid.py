@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .bpe import groups
-from .common import columns, give_back, written
+from .common import columns, give_back, scratch, written
 
 #: Letters up to which the sums over a word's cuts need no scale: 1e-7 a letter at least stays within a double.
 SHORT = 32
@@ -240,15 +240,15 @@ def fit(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str
     keys = some.select("lang", "hash", F.xxhash64("text").alias("same")).distinct()
     first = keys.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(11), "hash"), "same"))).filter(F.col("r") <= texts).drop("r")
     sample = some.withColumn("same", F.xxhash64("text")).join(F.broadcast(first), ["lang", "hash", "same"]).groupBy("lang", "hash", "same").agg(F.first("text").alias("text"))
-    counted = written(sample.select("lang", "text").mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     model = Model.blank(pieces(vocab_path), sorted(r.lang for r in size.collect()))
-    for _ in range(rounds if model.langs else 0):
-        found = counted.mapInArrow(_expected(model), "piece int, lang int, used long").groupBy("piece", "lang").agg(F.sum("used").alias("used")).collect()
-        used = np.full_like(model.p, 0.02)
-        for r in found:
-            used[r.piece, r.lang] += r.used / STEPS
-        model.p[:-2] = used[:-2] / used[:-2].sum(0)
-        model.p[-2], model.p[-1] = 0, FLOOR
+    with scratch(docs.sparkSession):
+        counted = written(sample.select("lang", "text").mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+        for _ in range(rounds if model.langs else 0):
+            found = counted.mapInArrow(_expected(model), "piece int, lang int, used long").groupBy("piece", "lang").agg(F.sum("used").alias("used")).toArrow()
+            used = np.full_like(model.p, 0.02)
+            used[found.column("piece").to_numpy(), found.column("lang").to_numpy()] += found.column("used").to_numpy() / STEPS
+            model.p[:-2] = used[:-2] / used[:-2].sum(0)
+            model.p[-2], model.p[-1] = 0, FLOOR
     return model
 
 

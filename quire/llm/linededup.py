@@ -13,9 +13,9 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import small, written
+from .common import drop_written, latest, scratch, small, written
 
 #: A factor of the hashes of runs of lines, and its inverse modulo 2 ** 64.
 FACTOR = 0x9E3779B97F4A7C15
@@ -207,7 +207,7 @@ def _left_by_first(seq: DataFrame, shared: DataFrame, gone: DataFrame, rare: int
     reps = held.join(outline, "rid").groupBy("w", "outline").agg(F.min("key").alias("key"))
     reps = written(reps.select("w", F.col("key").alias("rep"), F.row_number().over(Window.partitionBy("w").orderBy("key")).alias("nth")), "reps")
     most = reps.agg(F.max("nth")).first()[0] or 0
-    low, high = 1, 4
+    low, high, old = 1, 4, []
     while low <= most and left.limit(1).count():
         tried = left.select("rid", "key", F.explode("runs.w").alias("w")).distinct().join(reps.filter(F.col("nth").between(low, high)), "w")
         pairs = tried.filter(F.col("rep") < F.col("key")).select(F.col("rep.rid").alias("first"), "rid").distinct()
@@ -215,7 +215,8 @@ def _left_by_first(seq: DataFrame, shared: DataFrame, gone: DataFrame, rare: int
         gone = gone.unionByName(more)
         still = left.join(_places(more), "rid", "left").select("rid", "key", "runs", "gone").mapInArrow(_still_open, left.schema)
         left = written(still.filter(F.size("runs") > 0), "left")
-        low, high = high + 1, 4 * high
+        drop_written(seq.sparkSession, old)
+        low, high, old = high + 1, 4 * high, latest()
     return gone
 
 
@@ -234,6 +235,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.monotonically_increasing_id().alias("rid")), "docs")
     text = F.col(f"row.`{text_col}`")
     lines = F.split(text, "\n", -1)
+    with scratch(docs.sparkSession, keep=1):
+        gone = _gone(rows, id_col, text, rare, least_words)
+    out = rows.join(gone.hint("shuffle_hash"), "rid", "left")
+    none = F.array().cast("array<int>")
+    kept = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n"))
+    row = F.struct(*[kept.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in names])
+    return out.select(row.alias("row"), F.when(text.isNull(), 0).otherwise(F.size(lines)).alias("lines"), F.size(F.coalesce("gone", none)).alias("deleted"))
+
+
+def _gone(rows: DataFrame, id_col: str, text: Column, rare: int, least_words: int) -> DataFrame:
+    """(rid, gone): the places of the lines to delete, as the table written last."""
+    lines = F.split(text, "\n", -1)
     seq = rows.select("rid", F.struct(F.col(f"row.`{id_col}`").alias("id"), F.xxhash64(text).alias("same"), "rid").alias("key"), F.transform(lines, lambda x: F.xxhash64(x)).alias("hashes"), F.transform(lines, lambda x: F.regexp_count(x, F.lit(r"\S+"))).alias("words")).filter("hashes is not null")
     seq = written(seq, "lines")
     held = seq.select("rid", "key", F.explode(F.array_distinct(F.filter("hashes", lambda x, i: F.element_at("words", i + 1) > 0))).alias("h"))
@@ -243,9 +256,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = few.alias("a").join(few.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.key") < F.col("b.key"))).select(F.col("a.rid").alias("first"), F.col("b.rid").alias("rid"))
     far = shared.filter((F.col("n") > rare) & (F.col("first") < F.col("key"))).select(F.col("first.rid").alias("first"), "rid")
     pairs = near.unionByName(far).distinct()
-    gone = _places(_left_by_first(seq, shared, _deleted(pairs, seq, least_words), rare, least_words))
-    out = rows.join(gone.hint("shuffle_hash"), "rid", "left")
-    none = F.array().cast("array<int>")
-    kept = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n"))
-    row = F.struct(*[kept.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in names])
-    return out.select(row.alias("row"), F.when(text.isNull(), 0).otherwise(F.size(lines)).alias("lines"), F.size(F.coalesce("gone", none)).alias("deleted"))
+    return written(_places(_left_by_first(seq, shared, _deleted(pairs, seq, least_words), rare, least_words)), "places")
